@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pixelquilt import config as C
+from pixelquilt.functions.binding import let, let_all
 
 
 def _big(value: Column | int) -> Column:
@@ -18,20 +19,26 @@ def _big(value: Column | int) -> Column:
 def best_resolution(width: Column, height: Column, candidates: list[tuple[int, int]]) -> Column:
     """The candidate keeping most of the image, then wasting least, then listed first: ``struct<tw, th>``."""
 
-    def scored(index: int, tw: int, th: int) -> Column:
-        scale = F.least(F.lit(float(tw)) / width, F.lit(float(th)) / height)
-        shown = (width * scale).cast("bigint") * (height * scale).cast("bigint")
-        kept = F.least(shown, _big(width) * _big(height))
-        return F.struct(
-            kept.alias("kept"),
-            (kept - F.lit(tw * th)).alias("unwasted"),
-            F.lit(-index).alias("first"),
-            F.lit(tw).cast("bigint").alias("tw"),
-            F.lit(th).cast("bigint").alias("th"),
-        )
+    def scored(v: Column, index: int, tw: int, th: int) -> Column:
+        scale = F.least(F.lit(float(tw)) / v["w"], F.lit(float(th)) / v["h"])
+
+        def score(s: Column) -> Column:
+            kept = F.least((v["w"] * s).cast("bigint") * (v["h"] * s).cast("bigint"), v["w"] * v["h"])
+            return F.struct(
+                kept.alias("kept"),
+                (kept - F.lit(tw * th)).alias("unwasted"),
+                F.lit(-index).alias("first"),
+                F.lit(tw).cast("bigint").alias("tw"),
+                F.lit(th).cast("bigint").alias("th"),
+            )
+
+        return let(scale, score)
 
-    best = F.array_max(F.array(*[scored(i, tw, th) for i, (tw, th) in enumerate(candidates)]))
-    return F.struct(best["tw"].alias("tw"), best["th"].alias("th"))
+    def choose(v: Column) -> Column:
+        scores = F.array(*[scored(v, i, tw, th) for i, (tw, th) in enumerate(candidates)])
+        return let(F.array_max(scores), lambda b: F.struct(b["tw"].alias("tw"), b["th"].alias("th")))
+
+    return let_all({"w": _big(width), "h": _big(height)}, choose)
 
 
 def middle_candidates(edge: int = C.SHORTEST_EDGE) -> list[tuple[int, int]]:
@@ -47,22 +54,27 @@ def parse_candidates(pinpoints: str | list) -> list[tuple[int, int]]:
 
 def patch_boxes(width: Column, height: Column, patch: Column | int) -> Column:
     """Row-major boxes of a stepped grid; the last row and column may overhang the image."""
-    patch = _big(patch)
-    across = F.ceil(_big(width) / patch).cast("bigint")
-    down = F.ceil(_big(height) / patch).cast("bigint")
-
-    def box(i: Column) -> Column:
-        left = (i % across) * patch
-        top = F.floor(i / across).cast("bigint") * patch
-        return F.struct(
-            i.alias("patch"),
-            left.alias("x0"),
-            top.alias("y0"),
-            (left + patch).alias("x1"),
-            (top + patch).alias("y1"),
-        )
+    step = _big(patch)
 
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), across * down - 1), box)
+    def steps(size: Column) -> Column:
+        return F.ceil(_big(size) / step).cast("bigint")
+
+    def grid(v: Column) -> Column:
+        def box(i: Column) -> Column:
+            return let_all(
+                {"left": (i % v["across"]) * v["step"], "top": F.floor(i / v["across"]).cast("bigint") * v["step"]},
+                lambda b: F.struct(
+                    i.alias("patch"),
+                    b["left"].alias("x0"),
+                    b["top"].alias("y0"),
+                    (b["left"] + v["step"]).alias("x1"),
+                    (b["top"] + v["step"]).alias("y1"),
+                ),
+            )
+
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), v["across"] * v["down"] - 1), box)
+
+    return let_all({"across": steps(width), "down": steps(height), "step": step}, grid)
 
 
 def crop_boxes(width: Column, height: Column, edge: int = C.SHORTEST_EDGE) -> Column:
@@ -70,7 +82,6 @@ def crop_boxes(width: Column, height: Column, edge: int = C.SHORTEST_EDGE) -> Co
 
     Each entry names the size the image is resized to (aspect not kept) and the box cut out of it.
     """
-    best = best_resolution(width, height, middle_candidates(edge))
     side = F.lit(edge).cast("bigint")
     zero = F.lit(0).cast("bigint")
 
@@ -101,10 +112,13 @@ def crop_boxes(width: Column, height: Column, edge: int = C.SHORTEST_EDGE) -> Co
             side.alias("y1"),
         )
     )
-    return F.concat(
-        whole,
-        level("middle", best["tw"], best["th"], 1),
-        level("high", best["tw"] * 3, best["th"] * 3, 5),
+    return let(
+        best_resolution(width, height, middle_candidates(edge)),
+        lambda best: F.concat(
+            whole,
+            level("middle", best["tw"], best["th"], 1),
+            level("high", best["tw"] * 3, best["th"] * 3, 5),
+        ),
     )
 
 
@@ -124,10 +138,12 @@ def fit_and_pad(width: Column, height: Column, tw: Column | int, th: Column | in
 
 
 def grid_shape(width: Column, height: Column, pinpoints: str | list, patch: int) -> Column:
-    best = best_resolution(width, height, parse_candidates(pinpoints))
-    return F.struct(
-        F.floor(best["tw"] / patch).cast("bigint").alias("across"),
-        F.floor(best["th"] / patch).cast("bigint").alias("down"),
+    return let(
+        best_resolution(width, height, parse_candidates(pinpoints)),
+        lambda best: F.struct(
+            F.floor(best["tw"] / patch).cast("bigint").alias("across"),
+            F.floor(best["th"] / patch).cast("bigint").alias("down"),
+        ),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pixelquilt import config as C
+from pixelquilt.functions.binding import let, let_all
 from pixelquilt.functions.hashing import hash32
 
 IDS = "array<int>"
@@ -67,35 +68,30 @@ def clipped_length(text: Column, max_length: int) -> Column:
 # --- the image template ------------------------------------------------------------------------
 
 _LOW = C.LOW_RES_POSITIONS
-_RUN = C.HIGH_RES_POSITIONS + 1
-_LOW_END = C.LOW_RES_IMAGES * (_LOW + 1)
-TEMPLATE_LENGTH = _LOW_END + C.HIGH_RES_IMAGES * _RUN
-PATCH_COUNT = C.LOW_RES_IMAGES * _LOW + C.HIGH_RES_IMAGES * C.HIGH_RES_POSITIONS
-
-
-def _is_newline(p: Column) -> Column:
-    return F.when(p < _LOW_END, p % (_LOW + 1) == _LOW).otherwise((p - _LOW_END) % _RUN == _RUN - 1)
+_HIGH = C.HIGH_RES_POSITIONS
+TEMPLATE_LENGTH = C.LOW_RES_IMAGES * (_LOW + 1) + C.HIGH_RES_IMAGES * (_HIGH + 1)
+PATCH_COUNT = C.LOW_RES_IMAGES * _LOW + C.HIGH_RES_IMAGES * _HIGH
+_RUNS = [_LOW] * C.LOW_RES_IMAGES + [_HIGH] * C.HIGH_RES_IMAGES
 
 
 def template_ids() -> Column:
-    """One low-resolution run and 40 high-resolution runs of placeholders, each closed by a newline id."""
-    newline, placeholder = C.SPECIAL_IDS[C.IMAGE_NEWLINE], C.SPECIAL_IDS[C.IMAGE_PLACEHOLDER]
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(TEMPLATE_LENGTH - 1)),
-        lambda p: F.when(_is_newline(p), F.lit(newline)).otherwise(F.lit(placeholder)),
-    )
-
+    """One low-resolution run and 40 high-resolution runs of placeholders, each closed by a newline id.
 
-def template_patches() -> Column:
-    """The patch index under each template position; newlines carry none."""
+    Built of foldable functions only: the optimizer turns it into one constant.
+    """
+    placeholder = F.lit(C.SPECIAL_IDS[C.IMAGE_PLACEHOLDER])
+    newline = F.array(F.lit(C.SPECIAL_IDS[C.IMAGE_NEWLINE]))
+    return F.concat(*[part for run in _RUNS for part in (F.array_repeat(placeholder, run), newline)])
 
-    def index(p: Column) -> Column:
-        low = p - F.floor(p / (_LOW + 1)).cast("int")
-        high = p - _LOW_END
-        high = F.lit(C.LOW_RES_IMAGES * _LOW) + high - F.floor(high / _RUN).cast("int")
-        return F.when(_is_newline(p), F.lit(C.NO_PATCH)).otherwise(F.when(p < _LOW_END, low).otherwise(high))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(TEMPLATE_LENGTH - 1)), lambda p: index(p).cast("int"))
+def template_patches() -> Column:
+    """The patch index under each template position; newlines carry none. Also one constant."""
+    none = F.array(F.lit(C.NO_PATCH))
+    parts, first = [], 0
+    for run in _RUNS:
+        parts += [F.sequence(F.lit(first), F.lit(first + run - 1)), none]
+        first += run
+    return F.concat(*parts)
 
 
 def reserved_length(length: Column, reserve: int = C.RESERVED_GENERATION, limit: int = C.MAX_POSITIONS) -> Column:
@@ -146,17 +142,24 @@ def drop_last(array: Column) -> Column:
 
 def label_mask(ids: Column, bos: int = C.BOS_ID, ignored: int = C.IGNORED_LABEL) -> Column:
     """Everything up to and including the first BOS is ignored, all that follows is a target."""
-    at = F.array_position(ids, F.lit(bos)).cast("int")
     missing = F.raise_error(F.lit("No beginning-of-text id in the sequence")).cast(IDS)
-    masked = F.concat(F.array_repeat(F.lit(ignored), at), F.slice(ids, at + 1, F.size(ids)))
-    return F.when(at == 0, missing).otherwise(masked)
+
+    def masked(v: Column) -> Column:
+        kept = F.concat(F.array_repeat(F.lit(ignored), v["at"]), F.slice(v["ids"], v["at"] + 1, F.size(v["ids"])))
+        return F.when(v["at"] == 0, missing).otherwise(kept)
+
+    return let(ids, lambda x: let_all({"ids": x, "at": F.array_position(x, F.lit(bos)).cast("int")}, masked))
 
 
 def repeated_bos_index(ids: Column, bos: int = C.BOS_ID) -> Column:
     """Zero-based place of the last BOS where there is more than one, else null."""
-    first = F.array_position(ids, F.lit(bos)).cast("int")
-    last = F.size(ids) - F.array_position(F.reverse(ids), F.lit(bos)).cast("int") + 1
-    return F.when((first > 0) & (last > first), last - 1)
+
+    def found(x: Column) -> Column:
+        first = F.array_position(x, F.lit(bos)).cast("int")
+        last = F.size(x) - F.array_position(F.reverse(x), F.lit(bos)).cast("int") + 1
+        return let_all({"a": first, "b": last}, lambda v: F.when((v["a"] > 0) & (v["b"] > v["a"]), v["b"] - 1))
+
+    return let(ids, found)
 
 
 def put_at(array: Column, index: Column, value: int) -> Column:
@@ -188,15 +191,30 @@ def position_ids(mask: Column, last_only: bool = False) -> Column:
     A mask with one run of ones (any padding side) has a closed form. Only a row with holes inside the run
     counts the masked-out places before each position, so padded batches stay linear.
     """
-    size = F.size(mask)
-    first = F.array_position(mask, F.lit(1)).cast("int") - 1
-    last = size - F.array_position(F.reverse(mask), F.lit(1)).cast("int")
-    ones_in = F.aggregate(mask, F.lit(0), lambda acc, m: acc + m)
-    whole = (first >= 0) & (last - first + 1 == ones_in)
-    closed = F.transform(mask, lambda m, i: F.when(m == 0, F.lit(1)).otherwise(i - first))
-    holes = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(mask, i) == 0)
-    counted = F.transform(
-        mask, lambda m, i: F.when(m == 0, F.lit(1)).otherwise(i - F.size(F.filter(holes, lambda h: h < i)))
-    )
-    result = F.when(size == 0, F.array().cast(IDS)).otherwise(F.when(whole, closed).otherwise(counted))
+
+    def positions(v: Column) -> Column:
+        whole = (v["first"] >= 0) & (v["last"] - v["first"] + 1 == v["ones"])
+        closed = F.transform(v["mask"], lambda m, i: F.when(m == 0, F.lit(1)).otherwise(i - v["first"]))
+        holes = F.filter(F.sequence(F.lit(0), F.size(v["mask"]) - 1), lambda i: F.get(v["mask"], i) == 0)
+        counted = let(
+            holes,
+            lambda h: F.transform(
+                v["mask"],
+                lambda m, i: F.when(m == 0, F.lit(1)).otherwise(i - F.size(F.filter(h, lambda x: x < i))),
+            ),
+        )
+        return F.when(F.size(v["mask"]) == 0, F.array().cast(IDS)).otherwise(F.when(whole, closed).otherwise(counted))
+
+    def bound(m: Column) -> Column:
+        return let_all(
+            {
+                "mask": m,
+                "first": F.array_position(m, F.lit(1)).cast("int") - 1,
+                "last": F.size(m) - F.array_position(F.reverse(m), F.lit(1)).cast("int"),
+                "ones": F.aggregate(m, F.lit(0), lambda acc, x: acc + x),
+            },
+            positions,
+        )
+
+    result = let(mask, bound)
     return F.slice(result, -1, 1) if last_only else result

@@ -8,6 +8,7 @@ offset, and the two are added. A key that holds a third of the rows is spread ov
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,25 +30,38 @@ def default_buckets(spark: SparkSession) -> int:
 def hash_bucket(hashed: Column, buckets: int) -> Column:
     """The leading bits of a 60-bit hash: uniform, and in the order of the hash."""
     bits = max(1, math.ceil(math.log2(buckets)))
-    return F.shiftright(hashed, HASH_BITS - bits)
+    # Never null, so that the joins on it do not add a null test that hashes every row once more.
+    return F.coalesce(F.shiftright(hashed, HASH_BITS - bits), F.lit(0))
 
 
-def quantile_buckets(df: DataFrame, order: str, buckets: int | None = None, out: str = BUCKET) -> DataFrame:
+@dataclass(frozen=True)
+class OrderCuts:
+    """Where an order column is cut into even buckets, and how many rows it has."""
+
+    cuts: list[float]
+    rows: int
+
+    def bucket(self, df: DataFrame, order: str, out: str = BUCKET) -> DataFrame:
+        if not self.cuts:
+            return df.withColumn(out, F.lit(0))
+        splits = [-float("inf"), *self.cuts, float("inf")]
+        numeric = f"{out}_v"
+        cut = Bucketizer(splits=splits, inputCol=numeric, outputCol=out)
+        placed = cut.transform(df.withColumn(numeric, F.col(order).cast("double"))).drop(numeric)
+        return placed.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
+
+
+def order_cuts(df: DataFrame, order: str, buckets: int | None = None) -> OrderCuts:
     """Cut a numeric order column at its quantiles, so that clustered or sparse ids still give even buckets.
 
-    The cuts are read once (a mergeable sketch, at most ``buckets`` numbers reach the driver) and become
-    constants of the plan: any cuts are correct, and a recomputed task sees the same ones.
+    One pass over that column alone, a mergeable sketch; at most ``buckets`` numbers and the row count reach
+    the driver and become constants of the plan. Any cuts are correct, and a recomputed task sees the same.
     """
     buckets = buckets or default_buckets(df.sparkSession)
     probabilities = [i / buckets for i in range(1, buckets)]
-    narrow = df.select(F.col(order).cast("double").alias("v"))
-    cuts = sorted(set(narrow.approxQuantile("v", probabilities, 0.5 / buckets)))
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    numeric = f"{out}_v"
-    cut = Bucketizer(splits=splits, inputCol=numeric, outputCol=out)
-    return cut.transform(df.withColumn(numeric, F.col(order).cast("double"))).drop(numeric)
+    sketch = F.percentile_approx(F.col(order).cast("double"), probabilities, 2 * buckets)
+    found = df.agg(sketch.alias("cuts"), F.count(F.lit(1)).alias("n")).first()
+    return OrderCuts(sorted(set(found["cuts"] or [])), found["n"])
 
 
 def bounded_broadcast(small: DataFrame, rows: int | None) -> DataFrame:
@@ -94,10 +108,11 @@ def ordinal(
     )
 
 
-def id_ordinal(df: DataFrame, order: str, out: str = "ord", buckets: int | None = None) -> DataFrame:
-    """Zero-based place of each row of the table by a unique numeric column."""
+def id_ordinal(df: DataFrame, order: str, out: str = "ord", buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Zero-based place of each row of the table by a unique numeric column, and the table's row count."""
     buckets = buckets or default_buckets(df.sparkSession)
-    return ordinal(quantile_buckets(df, order, buckets), [], [order], out, buckets=buckets)
+    cuts = order_cuts(df, order, buckets)
+    return ordinal(cuts.bucket(df, order), [], [order], out, buckets=buckets), cuts.rows
 
 
 def running_sums(
@@ -111,7 +126,7 @@ def running_sums(
     """Add running sums per key along a numeric order column that is unique within the key."""
     buckets = buckets or default_buckets(df.sparkSession)
     inputs = {name: f"_in_{name}" for name in measures}
-    cut = quantile_buckets(df.withColumns({inputs[n]: c for n, c in measures.items()}), order, buckets)
+    cut = order_cuts(df, order, buckets).bucket(df.withColumns({inputs[n]: c for n, c in measures.items()}), order)
     cells = [*keys, BUCKET]
     upto = Window.partitionBy(*cells).orderBy(order)
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)

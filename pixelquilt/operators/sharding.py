@@ -26,9 +26,8 @@ def row_total(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def _shard_rows(total: Column, rank: Column, world: int) -> Column:
-    extra = (rank < total % world).cast("bigint")
-    return F.floor(total / world).cast("bigint") + extra
+def _div(value: Column, by: int) -> Column:
+    return F.floor(value / by).cast("bigint")
 
 
 def shard_contiguous(df: DataFrame, key: str, world: int) -> DataFrame:
@@ -36,20 +35,21 @@ def shard_contiguous(df: DataFrame, key: str, world: int) -> DataFrame:
 
     Adds ``ord``, ``rank`` and ``shard_rows`` (the rank's size).
     """
-    placed = id_ordinal(df, key).withColumn("_n", row_total(df))
-    base = F.floor(F.col("_n") / world).cast("bigint")
-    extra = F.col("_n") % world
+    placed, rows = id_ordinal(df, key)
+    base, extra = divmod(rows, world)
     longer = extra * (base + 1)
-    inside = F.floor((F.col("ord") - longer) / F.greatest(base, F.lit(1))).cast("bigint")
-    rank = F.when(F.col("ord") < longer, F.floor(F.col("ord") / (base + 1)).cast("bigint")).otherwise(extra + inside)
-    ranked = placed.withColumn("rank", rank)
-    return ranked.withColumn("shard_rows", _shard_rows(F.col("_n"), F.col("rank"), world)).drop("_n")
+    place = F.col("ord")
+    rank = F.when(place < longer, _div(place, base + 1)).otherwise(extra + _div(place - longer, max(base, 1)))
+    ranked = placed.withColumn("rank", F.coalesce(rank, F.lit(0)))
+    return ranked.withColumn("shard_rows", base + (F.col("rank") < extra).cast("bigint"))
 
 
 def shard_strided(df: DataFrame, key: str, world: int) -> DataFrame:
     """Row ``i`` in key order goes to rank ``i % world``. Adds ``ord``, ``rank`` and ``shard_rows``."""
-    placed = id_ordinal(df, key).withColumn("rank", F.col("ord") % world).withColumn("_n", row_total(df))
-    return placed.withColumn("shard_rows", _shard_rows(F.col("_n"), F.col("rank"), world)).drop("_n")
+    placed, rows = id_ordinal(df, key)
+    base, extra = divmod(rows, world)
+    ranked = placed.withColumn("rank", F.coalesce(F.col("ord") % world, F.lit(0)))
+    return ranked.withColumn("shard_rows", base + (F.col("rank") < extra).cast("bigint"))
 
 
 def epoch_expand(df: DataFrame, epochs: int) -> DataFrame:
@@ -130,13 +130,13 @@ def pad_stride_sample(df: DataFrame, key: str, world: int) -> DataFrame:
 
     Fewer rows than the padding needs is an error.
     """
-    placed = id_ordinal(df, key).withColumn("_n", row_total(df))
-    pad = F.pmod(-F.col("_n"), F.lit(world))
-    short = F.raise_error(F.lit("Too few rows to pad every rank")).cast("bigint")
-    pad = F.when(pad > F.col("_n"), short).otherwise(pad)
-    repeated = F.array(F.col("ord"), F.when(F.col("ord") < pad, F.col("ord") + F.col("_n")))
+    placed, rows = id_ordinal(df, key)
+    pad = -rows % world
+    if pad > rows:
+        raise ValueError("Too few rows to pad every rank")
+    repeated = F.array(F.col("ord"), F.when(F.col("ord") < pad, F.col("ord") + rows))
     copies = F.explode(F.filter(repeated, lambda o: o.isNotNull()))
-    return placed.withColumn("ord", copies).withColumn("rank", F.col("ord") % world).drop("_n")
+    return placed.withColumn("ord", copies).withColumn("rank", F.col("ord") % world)
 
 
 def step_budget(df: DataFrame, total: int, step: str = "global_step") -> DataFrame:
