@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquilt import config as C
+from pixelquilt.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +33,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def doc_texts(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
+    """Documents for work that is heavy per row."""
+    return spread(table(spark, directory, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
 # --- derived inputs ----------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pixelquilt.catalog.base import (
     SEED,
     SQL_CHATS,
     digest,
+    doc_texts,
     query,
     sql_caption,
     sql_digest,
@@ -100,7 +101,7 @@ def _tagged(spark, d):
     text = F.concat(
         F.lit("Find <box>"), box, F.lit("</box> and <point>"), k % 89, F.lit(", "), k % 53, F.lit("</point> in "), "text"
     )
-    return table(spark, d, "documents").select("doc_id", text.alias("tagged"))
+    return doc_texts(spark, d).select("doc_id", text.alias("tagged"))
 
 
 _TAGGED = """SELECT doc_id, 'Find <box>' || concat_ws(', ', doc_id % 97, doc_id % 61, doc_id % 389 + 100, doc_id % 211 + 100)
@@ -202,15 +203,15 @@ def _generated(spark, d, n, opening, closing):
     numbers = [k % 97, k % 61, k % 389 + 100, k % 211 + 100][:n]
     span = F.array(F.lit(opening), *[x.cast("string") for x in numbers], F.lit(closing))
     words = tokens.text_tokens(F.col("text"))
-    spread = F.concat(
+    spans = F.concat(
         F.array(F.lit(opening), F.lit("7"), F.lit(closing)),
         F.slice(words, 1, 3),
         span,
         F.slice(words, 4, F.size(words)),
         F.array(F.lit(opening), F.lit("5")),
     )
-    return table(spark, d, "documents").select(
-        "doc_id", spread.alias("tokens"), (50 + k * 91 % 1400).alias("h"), (50 + k * 37 % 1900).alias("w"), F.lit(336).alias("th"), F.lit(336).alias("tw")
+    return doc_texts(spark, d).select(
+        "doc_id", spans.alias("tokens"), (50 + k * 91 % 1400).alias("h"), (50 + k * 37 % 1900).alias("w"), F.lit(336).alias("th"), F.lit(336).alias("tw")
     )
 
 

@@ -15,6 +15,7 @@ from pixelquilt.catalog.base import (
     WORLD,
     digest,
     doc_sizes,
+    doc_texts,
     length,
     query,
     sql_clip,
@@ -33,16 +34,17 @@ from pixelquilt.catalog.base import (
 from pixelquilt.functions import tokens as T
 from pixelquilt.operators import batching as B
 from pixelquilt.operators import vocab as V
+from pixelquilt.operators.ordinals import keyed
 from pixelquilt.plans.epochs import plan_main
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return doc_texts(spark, d)
 
 
 def _placed(spark, d):
-    docs = _docs(spark, d)
-    return plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED).join(docs, "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return keyed(plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED), "doc_id").join(docs, "doc_id")
 
 
 _PLAN = sql_plan_main("plan", "documents", "doc_id")
@@ -221,7 +223,7 @@ SELECT doc_id, {sql_digest(sql_last_bos('ids', 'ids'))} AS ids_md5, {sql_digest(
 )
 def _replace_last_bos(spark, d):
     doubled = F.when(F.col("lang") == "de", F.concat("text", F.lit(f" {C.BEGIN_OF_TEXT} "), "lang")).otherwise(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", T.tokenize(doubled).alias("input_ids"))
+    rows = doc_texts(spark, d, "lang").select("doc_id", T.tokenize(doubled).alias("input_ids"))
     fixed = B.replace_last_bos(B.with_labels(rows))
     return fixed.select("doc_id", digest(F.col("input_ids")).alias("ids_md5"), digest(F.col("labels")).alias("labels_md5"))
 
@@ -281,6 +283,6 @@ def _pair_inputs(spark, d):
 FROM plan JOIN documents USING (doc_id) GROUP BY ALL""",
 )
 def _batch_max_len(spark, d):
-    docs = _docs(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "text")
     lengths = docs.select("doc_id", T.text_length(F.col("text"), 1024).cast("bigint").alias("n"))
     return B.batch_max_len(plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED).join(lengths, "doc_id"), F.col("n"))

@@ -84,8 +84,10 @@ def drop_token(
     pad_id: int = C.PAD_ID,
 ) -> DataFrame:
     """Remove one id everywhere, then pad the three arrays of the batch to their new longest."""
-    kept = T.drop_token_arrays(F.col(ids), F.col(labels), F.col(mask), token)
-    removed = df.withColumns(dict(zip((ids, labels, mask), kept)))
+    names = (ids, labels, mask)
+    zipped = F.filter(F.arrays_zip(*names), lambda z: z[ids] != token)
+    # The three arrays are read off in a step of their own: each depends on the ids as they were.
+    removed = df.withColumn("_kept", zipped).withColumns({c: F.col(f"_kept.{c}") for c in names}).drop("_kept")
     sized = with_batch_max(removed, {"_len": F.size(ids)}, keys)
     fills = {ids: pad_id, labels: C.IGNORED_LABEL, mask: 0}
     return sized.withColumns({c: T.pad_right(F.col(c), F.col("_len"), v) for c, v in fills.items()}).drop("_len")

@@ -27,6 +27,15 @@ def default_buckets(spark: SparkSession) -> int:
     return max(64, min(4 * partitions, 1 << 16))
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """Partition by key in as many tasks as the session asks for.
+
+    Narrow rows that each start heavy work must not be merged by their size: a fixed number of partitions is
+    left alone by adaptive coalescing. A following join on the key reuses the partitioning.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def hash_bucket(hashed: Column, buckets: int) -> Column:
     """The leading bits of a 60-bit hash: uniform, and in the order of the hash."""
     bits = max(1, math.ceil(math.log2(buckets)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pixelquilt import config as C
 from pixelquilt.functions import tokens as T
 from pixelquilt.operators import batching as B
+from pixelquilt.operators.ordinals import keyed
 
 
 def encode_text_batches(
@@ -21,7 +22,7 @@ def encode_text_batches(
     """Text-only training rows: ids, mask and labels of one length per batch."""
     lengths = samples.select(key, T.text_length(F.col(text), max_length).alias("_n"))
     placed = B.with_batch_max(plan.join(lengths, key), {"_ids_len": F.col("_n")}, batch).drop("_n")
-    rows = placed.join(samples.select(key, text), key)
+    rows = keyed(placed, key).join(samples.select(key, text), key)
     encoded = rows.withColumn("input_ids", T.encode_text(F.col(text), max_length)).drop(text)
     return _finish(_pad_to(encoded, "_ids_len"))
 
@@ -54,7 +55,7 @@ def encode_training_batches(
         (F.max("_n_clip").over(window) + T.TEMPLATE_LENGTH).alias("_image_len"),
     )
     placed = placed.withColumn("_ids_len", F.when(F.col("has_images"), F.col("_image_len")).otherwise(F.col("_text_len")))
-    rows = placed.join(samples.select(key, prompt), key)
+    rows = keyed(placed, key).join(samples.select(key, prompt), key)
     text = F.col(prompt)
     encoded = rows.withColumn(
         "_text_ids",
@@ -79,7 +80,7 @@ def encode_serving_batches(
     placed = B.with_batch_max(
         plan.join(lengths, key), {"_ids_len": F.col("_n") + T.TEMPLATE_LENGTH}, batch
     )
-    rows = placed.join(questions.select(key, prompt), key)
+    rows = keyed(placed, key).join(questions.select(key, prompt), key)
     clipped = rows.withColumn("_text_ids", T.clip_text(T.tokenize(F.col(prompt)), max_length))
     encoded = clipped.withColumn("input_ids", F.concat(T.template_ids(), F.col("_text_ids")))
     own = T.image_patch_indices(F.size("input_ids"))

@@ -27,6 +27,16 @@ def scan_samples(
     return reader.parquet(f"{directory.rstrip('/')}/{glob}")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy row-by-row work all cores when a small input comes in fewer splits than there are cores.
+
+    ``df`` is a plain scan with its columns chosen. Inputs with enough splits are returned as they are, so no
+    exchange is added where there is much to move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def scan_file_list(spark: SparkSession, files: str, schema: T.StructType | None = SAMPLE_SCHEMA) -> DataFrame:
     """A comma-separated list of files."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -71,9 +81,9 @@ def cached_scan(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def write_samples(df: DataFrame, path: str, batches_per_file: int = 4096) -> None:
-    """Batched rows by epoch and rank, each file a run of batches in order.
+    """Batched rows by epoch and rank; files hold runs of consecutive batches, in order.
 
-    A rank is split into runs of batches, so that no task writes a whole rank.
+    A rank is split into runs of batches, so that no task writes a whole rank. Small runs may share a file.
     """
     run = F.floor(F.col("batch_id") / batches_per_file)
     (
