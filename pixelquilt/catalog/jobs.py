@@ -30,7 +30,7 @@ from pixelquilt.catalog.base import (
     sql_plan_main,
     table,
 )
-from pixelquilt.catalog.sharding import EPOCHS, MATH_N, SQL_FEED, SQL_SIDES, SQL_STEPS, TEXT_N, feed_plans, sql_schedule
+from pixelquilt.catalog.sharding import MATH_N, SQL_FEED, SQL_SIDES, SQL_STEPS, TEXT_N, feed_plans, sql_schedule
 from pixelquilt.functions.prompts import caption_prompt, inference_prompt
 from pixelquilt.functions.tokens import text_tokens
 from pixelquilt.operators.batching import BATCH
@@ -127,7 +127,7 @@ SELECT epoch, rank, global_step, kind, batch_id, pos, doc_id, m AS n, {sql_diges
 )
 def _training_feed(spark, d):
     main, text, math = feed_plans(spark, d)
-    rows = feed.plan_feed(main, text, math, WORLD, EPOCHS, total_steps=60, text_every=TEXT_N, math_every=MATH_N)
+    rows = feed.plan_feed(main, text, math, total_steps=60, text_every=TEXT_N, math_every=MATH_N)
     docs = table(spark, d, "documents").select("doc_id", "text")
     encoded = encode.encode_text_batches(docs, rows, "doc_id", "text", 512, feed.FEED_BATCH)
     return encoded.select(

@@ -74,9 +74,9 @@ _MATH = "(SELECT * FROM documents WHERE lang = 'de')"
 
 def feed_plans(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    main = E.plan_main(docs.filter(F.col("lang") == "en"), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
-    text = E.plan_side(docs.filter(F.col("lang").isin("fr", "es")), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
-    math = E.plan_side(docs.filter(F.col("lang") == "de"), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
+    main = E.main_plan(docs.filter(F.col("lang") == "en"), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
+    text = E.side_plan(docs.filter(F.col("lang").isin("fr", "es")), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
+    math = E.side_plan(docs.filter(F.col("lang") == "de"), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
     return main, text, math
 
 
@@ -110,7 +110,7 @@ UNION ALL {sql_cycle('text', 'txt')} UNION ALL {sql_cycle('math', 'mth')}"""
 @query("mixture_schedule", f"WITH {SQL_STEPS}, {sql_schedule(10, 50)} SELECT * FROM schedule")
 def _schedule(spark, d):
     main, _, _ = feed_plans(spark, d)
-    schedule = M.mixture_schedule(feed.training_steps(main, WORLD, EPOCHS))
+    schedule = M.mixture_schedule(feed.training_steps(main))
     return schedule.select("epoch", "rank", "global_step", "kind", "kind_order", "k")
 
 
@@ -120,20 +120,20 @@ def _schedule(spark, d):
 )
 def _step_budget(spark, d):
     main, _, _ = feed_plans(spark, d)
-    return S.step_budget(feed.training_steps(main, WORLD, EPOCHS), 25)
+    return S.step_budget(feed.training_steps(main), 25)
 
 
 @query("cycle_batches", f"WITH {SQL_STEPS}, {sql_schedule(TEXT_N, MATH_N)}, {SQL_SIDES} {sql_cycle('text', 'txt')}")
 def _cycle(spark, d):
     main, text, _ = feed_plans(spark, d)
-    schedule = M.mixture_schedule(feed.training_steps(main, WORLD, EPOCHS), TEXT_N, MATH_N)
-    return M.cycle_batches(schedule, text, "text", WORLD * EPOCHS).drop("k")
+    schedule = M.mixture_schedule(feed.training_steps(main), TEXT_N, MATH_N)
+    return M.cycle_batches(schedule, text.rows, "text", groups=WORLD * EPOCHS)
 
 
 @query("interleave", f"WITH {SQL_STEPS}, {sql_schedule(TEXT_N, MATH_N)}, {SQL_SIDES} {SQL_FEED}")
 def _interleave(spark, d):
     main, text, math = feed_plans(spark, d)
-    return feed.plan_feed(main, text, math, WORLD, EPOCHS, text_every=TEXT_N, math_every=MATH_N)
+    return feed.ordered_feed(main, text, math, text_every=TEXT_N, math_every=MATH_N)
 
 
 @query(

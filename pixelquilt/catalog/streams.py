@@ -45,7 +45,7 @@ def _stream_meter(spark, d):
     meter.drain_updates(meters, path, f"{path}-log")
     latest = meter.latest_updates(spark, path, ["window_start", "event_type"])
     return latest.select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        meter.utc_ntz(F.col("window_start")).alias("window_start"),
         "event_type",
         "meter_val",
         "meter_sum",

@@ -56,27 +56,41 @@ def mixture_schedule(steps: DataFrame, text_every: int = C.TEXT_EVERY, math_ever
 
 
 def cycle_batches(
-    schedule: DataFrame, rows: DataFrame, kind: str, world: int | None = None, keys: list[str] | None = None
+    schedule: DataFrame,
+    rows: DataFrame,
+    kind: str,
+    batches: Column | None = None,
+    groups: int | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Rows of one side stream for every draw of it; after its last batch the stream starts again.
 
-    The joined key is the drawn batch. A stream with few batches is small as a whole and passes Spark's own
+    ``batches`` is the stream's number of batches for the draw's rank; without it the batches are counted. The
+    joined key is the drawn batch. A stream with few batches is small as a whole and passes Spark's own
     broadcast check; a long one spreads its draws over its batches.
     """
     keys = keys or ["epoch", "rank"]
-    counts = bounded_broadcast(batches_per_rank(rows, keys), world)
-    draws = schedule.filter(F.col("kind") == kind).join(counts, keys)
-    draws = draws.withColumn("batch_id", F.col("k") % F.col("batches")).drop("batches")
-    return draws.join(rows, [*keys, "batch_id"])
+    draws = schedule.filter(F.col("kind") == kind)
+    if batches is None:
+        draws = draws.join(bounded_broadcast(batches_per_rank(rows, keys), groups), keys)
+    else:
+        draws = draws.withColumn("batches", batches).filter(F.col("batches") > 0)
+    drawn = draws.withColumn("batch_id", F.col("k") % F.nullif("batches", F.lit(0))).drop("batches", "k")
+    return drawn.join(rows, [*keys, "batch_id"])
 
 
-def interleave(parts: list[DataFrame], steps_per_chunk: int = 1024) -> DataFrame:
-    """The mixed stream: all parts as one table, each rank's steps in order inside chunks of steps."""
+def mix(parts: list[DataFrame]) -> DataFrame:
+    """All parts as one table."""
     mixed = parts[0]
     for part in parts[1:]:
         mixed = mixed.unionByName(part, allowMissingColumns=True)
+    return mixed
+
+
+def interleave(parts: list[DataFrame], steps_per_chunk: int = 1024) -> DataFrame:
+    """The mixed stream: all parts as one table, each rank's steps in order inside chunks of steps."""
     chunk = F.floor(F.col("global_step") / steps_per_chunk)
-    return mixed.repartition("rank", chunk).sortWithinPartitions("rank", "global_step", "kind_order", "pos")
+    return mix(parts).repartition("rank", chunk).sortWithinPartitions("rank", "global_step", "kind_order", "pos")
 
 
 def mixed_loss(main: Column, text: Column, math: Column) -> Column:

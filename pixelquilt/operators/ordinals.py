@@ -18,6 +18,8 @@ from pixelquilt import config as C
 from pixelquilt.functions.hashing import HASH_BITS
 
 BUCKET = "_bucket"
+MAX_CUTS = 1 << 14
+SAMPLE_PER_CUT = 200
 _OFFSET = "_offset"
 
 
@@ -63,14 +65,19 @@ class OrderCuts:
 def order_cuts(df: DataFrame, order: str, buckets: int | None = None) -> OrderCuts:
     """Cut a numeric order column at its quantiles, so that clustered or sparse ids still give even buckets.
 
-    One pass over that column alone, a mergeable sketch; at most ``buckets`` numbers and the row count reach
-    the driver and become constants of the plan. Any cuts are correct, and a recomputed task sees the same.
+    Reads that column alone. At most ``buckets`` numbers and the row count reach the driver and become constants
+    of the plan: any cuts are correct, only evenness depends on them, and a recomputed task sees the same. Large
+    tables are sampled for the cuts (never for the rows), which keeps the merged sketch at a fixed size.
     """
-    buckets = buckets or default_buckets(df.sparkSession)
+    buckets = min(buckets or default_buckets(df.sparkSession), MAX_CUTS)
+    narrow = df.select(F.col(order).cast("double").alias("v"))
+    rows = narrow.count()
+    enough = SAMPLE_PER_CUT * buckets
+    if rows > 2 * enough:
+        narrow = narrow.sample(enough / rows, seed=0)
     probabilities = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(F.col(order).cast("double"), probabilities, 2 * buckets)
-    found = df.agg(sketch.alias("cuts"), F.count(F.lit(1)).alias("n")).first()
-    return OrderCuts(sorted(set(found["cuts"] or [])), found["n"])
+    found = narrow.agg(F.percentile_approx("v", probabilities, 2 * buckets).alias("cuts")).first()["cuts"]
+    return OrderCuts(sorted(set(found or [])), rows)
 
 
 def bounded_broadcast(small: DataFrame, rows: int | None) -> DataFrame:

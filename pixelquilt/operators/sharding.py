@@ -30,26 +30,39 @@ def _div(value: Column, by: int) -> Column:
     return F.floor(value / by).cast("bigint")
 
 
-def shard_contiguous(df: DataFrame, key: str, world: int) -> DataFrame:
-    """Rank by contiguous blocks in key order; the first ``n mod world`` ranks hold one row more.
-
-    Adds ``ord``, ``rank`` and ``shard_rows`` (the rank's size).
-    """
+def contiguous(df: DataFrame, key: str, world: int) -> tuple[DataFrame, int]:
+    """``shard_contiguous`` and the table's row count."""
     placed, rows = id_ordinal(df, key)
     base, extra = divmod(rows, world)
     longer = extra * (base + 1)
     place = F.col("ord")
     rank = F.when(place < longer, _div(place, base + 1)).otherwise(extra + _div(place - longer, max(base, 1)))
+    return _with_rank(placed, rank, base, extra), rows
+
+
+def strided(df: DataFrame, key: str, world: int) -> tuple[DataFrame, int]:
+    """``shard_strided`` and the table's row count."""
+    placed, rows = id_ordinal(df, key)
+    return _with_rank(placed, F.col("ord") % world, *divmod(rows, world)), rows
+
+
+def _with_rank(placed: DataFrame, rank: Column, base: int, extra: int) -> DataFrame:
+    # Never null, so that later joins on the rank add no null test over its whole expression.
     ranked = placed.withColumn("rank", F.coalesce(rank, F.lit(0)))
     return ranked.withColumn("shard_rows", base + (F.col("rank") < extra).cast("bigint"))
 
 
+def shard_contiguous(df: DataFrame, key: str, world: int) -> DataFrame:
+    """Rank by contiguous blocks in key order; the first ``n mod world`` ranks hold one row more.
+
+    Adds ``ord``, ``rank`` and ``shard_rows`` (the rank's size).
+    """
+    return contiguous(df, key, world)[0]
+
+
 def shard_strided(df: DataFrame, key: str, world: int) -> DataFrame:
     """Row ``i`` in key order goes to rank ``i % world``. Adds ``ord``, ``rank`` and ``shard_rows``."""
-    placed, rows = id_ordinal(df, key)
-    base, extra = divmod(rows, world)
-    ranked = placed.withColumn("rank", F.coalesce(F.col("ord") % world, F.lit(0)))
-    return ranked.withColumn("shard_rows", base + (F.col("rank") < extra).cast("bigint"))
+    return strided(df, key, world)[0]
 
 
 def epoch_expand(df: DataFrame, epochs: int) -> DataFrame:

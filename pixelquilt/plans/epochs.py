@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquilt.operators import sharding as S
@@ -10,27 +12,57 @@ from pixelquilt.operators import sharding as S
 PLACE = ["epoch", "rank", "batch_id", "pos"]
 
 
-def plan_main(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
+@dataclass(frozen=True)
+class EpochPlan:
+    """Planned rows with the numbers they follow from, so that counts need no further pass."""
+
+    rows: DataFrame
+    total: int
+    world: int
+    batch_size: int
+    epochs: int
+
+    def batches(self, rank: Column) -> Column:
+        """Full batches of a rank per epoch."""
+        base, extra = divmod(self.total, self.world)
+        size = F.when(rank < extra, F.lit(base + 1)).otherwise(F.lit(base))
+        return F.floor(size / self.batch_size).cast("bigint")
+
+
+def _finish(shuffled: DataFrame, key: str, total: int, world: int, batch_size: int, epochs: int) -> EpochPlan:
+    batched = S.assign_batches(shuffled, batch_size, ["epoch", "rank"], group_rows="shard_rows")
+    return EpochPlan(batched.select(key, *PLACE), total, world, batch_size, epochs)
+
+
+def main_plan(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> EpochPlan:
     """The main table: contiguous shards, a full shuffle per rank and epoch, full batches."""
-    sharded = S.shard_contiguous(samples.select(key), key, world)
+    sharded, total = S.contiguous(samples.select(key), key, world)
     shuffled = S.seeded_shuffle(
         S.epoch_expand(sharded, epochs), key, seed, ["epoch", "rank"], "epoch", groups=world * epochs
     )
-    return S.assign_batches(shuffled, batch_size, ["epoch", "rank"], group_rows="shard_rows").select(key, *PLACE)
+    return _finish(shuffled, key, total, world, batch_size, epochs)
 
 
-def plan_side(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
+def side_plan(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> EpochPlan:
     """A lazily read table: strided shards, a bounded shuffle per rank and epoch, full batches."""
-    sharded = S.shard_strided(samples.select(key), key, world)
+    sharded, total = S.strided(samples.select(key), key, world)
     local = sharded.withColumn("ord", F.floor(F.col("ord") / world).cast("bigint"))
     shuffled = S.buffer_shuffle(S.epoch_expand(local, epochs), key, seed, ["epoch", "rank"], "epoch")
-    return S.assign_batches(shuffled, batch_size, ["epoch", "rank"], group_rows="shard_rows").select(key, *PLACE)
+    return _finish(shuffled, key, total, world, batch_size, epochs)
+
+
+def plan_main(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
+    return main_plan(samples, key, world, batch_size, seed, epochs).rows
+
+
+def plan_side(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
+    return side_plan(samples, key, world, batch_size, seed, epochs).rows
 
 
 def plan_validation(samples: DataFrame, key: str, world: int) -> DataFrame:
     """Strided shards in order, one row per batch."""
-    sharded = S.shard_strided(samples.select(key), key, world)
+    sharded, total = S.strided(samples.select(key), key, world)
     local = sharded.withColumn("ord", F.floor(F.col("ord") / world).cast("bigint")).withColumn(
         "epoch", F.lit(0).cast("bigint")
     )
-    return S.assign_batches(local, 1, ["epoch", "rank"], group_rows="shard_rows").select(key, *PLACE)
+    return _finish(local, key, total, world, 1, 1).rows

@@ -7,41 +7,54 @@ from pyspark.sql import functions as F
 
 from pixelquilt import config as C
 from pixelquilt.operators import mixture as M
-from pixelquilt.operators.ordinals import bounded_broadcast
 from pixelquilt.operators.sharding import step_budget
+from pixelquilt.plans.epochs import EpochPlan
 
 FEED_BATCH = ["rank", "global_step", "kind"]
 
 
-def training_steps(main: DataFrame, world: int, epochs: int, overlap: bool = False) -> DataFrame:
+def _stepped(main: EpochPlan, overlap: bool) -> DataFrame:
+    """The main rows with their step: arithmetic on what each row already carries."""
+    return M.global_steps(main.rows, main.batches(F.col("rank")), overlap)
+
+
+def training_steps(main: EpochPlan, overlap: bool = False) -> DataFrame:
     """One row per rank and step of the main plan."""
-    counts = M.batches_per_rank(main, ["epoch", "rank"])
-    batches = M.batches_of(main, ["epoch", "rank"]).join(bounded_broadcast(counts, world * epochs), ["epoch", "rank"])
-    return M.global_steps(batches, F.col("batches"), overlap).drop("batches")
+    return _stepped(main, overlap).filter(F.col("pos") == 0).select(
+        "epoch", "rank", "batch_id", "epoch_start", "global_step"
+    )
 
 
-def plan_feed(
-    main: DataFrame,
-    text: DataFrame | None,
-    math: DataFrame | None,
-    world: int,
-    epochs: int,
+def feed_parts(
+    main: EpochPlan,
+    text: EpochPlan | None,
+    math: EpochPlan | None,
     total_steps: int | None = None,
     text_every: int = C.TEXT_EVERY,
     math_every: int = C.MATH_EVERY,
     overlap: bool = False,
-) -> DataFrame:
-    """Every row of the feed as ``(key, epoch, rank, global_step, kind, kind_order, batch_id, pos)``.
+) -> list[DataFrame]:
+    """The rows of each kind as ``(key, epoch, rank, global_step, kind, kind_order, batch_id, pos)``.
 
-    The three plans share the key name. A missing side stream has no steps.
+    The three plans share the key name. A missing side stream has no steps. Main rows need no join; only the
+    draws of the side streams meet their batches.
     """
-    steps = training_steps(main, world, epochs, overlap)
+    lead, steps = _stepped(main, overlap), training_steps(main, overlap)
     if total_steps is not None:
-        steps = step_budget(steps, total_steps)
+        lead, steps = step_budget(lead, total_steps), step_budget(steps, total_steps)
+    parts = [lead.drop("epoch_start").withColumns({"kind": F.lit("main"), "kind_order": F.lit(0)})]
     schedule = M.mixture_schedule(steps, text_every, math_every)
-    lead = schedule.filter(F.col("kind") == "main").withColumnRenamed("k", "batch_id")
-    parts = [lead.join(main, ["epoch", "rank", "batch_id"])]
-    for kind, rows in (("text", text), ("math", math)):
-        if rows is not None:
-            parts.append(M.cycle_batches(schedule, rows, kind, world * epochs).drop("k"))
-    return M.interleave(parts)
+    for kind, plan in (("text", text), ("math", math)):
+        if plan is not None:
+            parts.append(M.cycle_batches(schedule, plan.rows, kind, plan.batches(F.col("rank"))))
+    return parts
+
+
+def plan_feed(main: EpochPlan, text: EpochPlan | None, math: EpochPlan | None, **options) -> DataFrame:
+    """All rows of the feed, in no order; to be encoded."""
+    return M.mix(feed_parts(main, text, math, **options))
+
+
+def ordered_feed(main: EpochPlan, text: EpochPlan | None, math: EpochPlan | None, **options) -> DataFrame:
+    """All rows of the feed, each rank's steps in order."""
+    return M.interleave(feed_parts(main, text, math, **options))

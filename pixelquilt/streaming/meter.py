@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _instant(stream: DataFrame, ts: str) -> Column:
+    """Watermarks need an instant; a timestamp without zone is read as UTC, whatever the session's zone."""
+    if not isinstance(stream.schema[ts].dataType, T.TimestampNTZType):
+        return F.col(ts)
+    origin = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", origin, F.col(ts)))
+
+
+def utc_ntz(instant: Column) -> Column:
+    """An instant as its UTC wall clock."""
+    return F.convert_timezone(None, F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def windowed_meter(stream: DataFrame, key: str, ts: str, value: Column, window: str, watermark: str) -> DataFrame:
     """Last value, sum, count and average per key and tumbling window."""
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withColumn("_v", value)
+    timed = stream.withColumn("_ts", _instant(stream, ts)).withColumn("_v", value)
     grouped = timed.withWatermark("_ts", watermark).groupBy(F.window("_ts", window).alias("_w"), key)
     meters = grouped.agg(
         F.max_by("_v", "_ts").alias("meter_val"),
