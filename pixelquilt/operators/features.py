@@ -29,20 +29,15 @@ def grid_mean_pool(
 ) -> DataFrame:
     """Mean-pool each crop's grid in blocks; the first crop and every crop's leading vector pass unchanged.
 
-    The mean is a mergeable aggregate: blocks shrink before the exchange.
+    One pass over the vectors. The mean is a mergeable aggregate, so blocks shrink before the exchange; what
+    passes unchanged is a block of its own.
     """
     if side % window:
         raise ValueError("The grid must divide into pooling blocks")
-    doubles = F.col(vec).cast("array<double>")
-    whole = df.filter(F.col(crop) == 0).select(*keys, crop, F.col(pos).cast("bigint").alias(pos), doubles.alias(vec))
-    pooled = (
-        df.filter(F.col(crop) != 0)
-        .select(*keys, crop, pool_block(F.col(pos), side, window).alias(pos), array_to_vector(doubles).alias("_v"))
-        .groupBy(*keys, crop, pos)
-        .agg(Summarizer.mean(F.col("_v")).alias("_m"))
-        .select(*keys, crop, pos, vector_to_array("_m").alias(vec))
-    )
-    return whole.unionByName(pooled)
+    block = F.when(F.col(crop) == 0, F.col(pos).cast("bigint")).otherwise(pool_block(F.col(pos), side, window))
+    vectors = df.select(*keys, crop, block.alias(pos), array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    pooled = vectors.groupBy(*keys, crop, pos).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return pooled.select(*keys, crop, pos, vector_to_array("_m").alias(vec))
 
 
 def overlay_embeddings(

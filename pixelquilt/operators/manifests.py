@@ -22,8 +22,10 @@ def keep_last_k(manifest: DataFrame, k: int, run: str = "run", path: str = "path
     """
     numbered = manifest.withColumn("step", trailing_step(F.col(path)))
     newest = Window.partitionBy(run).orderBy(F.desc("step"), F.desc(path))
-    kept = numbered.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= k).select(run, path)
-    return numbered.join(kept, [run, path], "left_anti")
+    kept = numbered.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= k)
+    kept = kept.select(F.col(run).alias("_run"), F.col(path).alias("_path"))
+    same = F.col(run).eqNullSafe(F.col("_run")) & F.col(path).eqNullSafe(F.col("_path"))
+    return numbered.join(kept, same, "left_anti")
 
 
 def latest_entry(manifest: DataFrame, run: str = "run", path: str = "path") -> DataFrame:

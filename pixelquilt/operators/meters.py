@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquilt.operators.ordinals import running_sums
+from pixelquilt.operators.ordinals import BUCKET, order_cuts, running_sums, whole_keys
 
 
 def running_meter(
-    df: DataFrame, keys: list[str], order: str, value: Column, weight: Column | int = 1, prefix: str = "meter_"
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: Column,
+    weight: Column | int = 1,
+    prefix: str = "meter_",
+    bucket: str | None = None,
 ) -> DataFrame:
     """The state of an average meter after each update: last value, sum, count, average.
 
@@ -23,23 +29,32 @@ def running_meter(
         keys,
         order,
         {f"{prefix}sum": (value * weight).cast("double"), f"{prefix}count": counted.cast("bigint")},
+        bucket=bucket,
     )
     average = F.col(f"{prefix}sum") / F.nullif(F.col(f"{prefix}count"), F.lit(0))
     return summed.withColumn(f"{prefix}avg", average)
 
 
-def meter_segments(df: DataFrame, keys: list[str], order: str, is_reset: Column, out: str = "segment") -> DataFrame:
+def meter_segments(
+    df: DataFrame, keys: list[str], order: str, is_reset: Column, out: str = "segment", bucket: str | None = None
+) -> DataFrame:
     """Number the stretches between resets. The resetting row still belongs to the stretch it ends."""
     flag = F.when(is_reset, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    return running_sums(df, keys, order, {out: flag}, inclusive=False)
+    return running_sums(df, keys, order, {out: flag}, inclusive=False, bucket=bucket)
 
 
 def meter_reset(
     df: DataFrame, keys: list[str], order: str, value: Column, is_reset: Column, weight: Column | int = 1
 ) -> DataFrame:
-    """A running meter that starts again after every reset."""
-    segmented = meter_segments(df, keys, order, is_reset)
-    return running_meter(segmented, [*keys, "segment"], order, value, weight)
+    """A running meter that starts again after every reset.
+
+    Both running sums use the same cells of (key, bucket); the second adds the segment to them and needs no
+    exchange of the rows again.
+    """
+    df, names, added = whole_keys(df, keys)
+    cut = order_cuts(df, order).bucket(df, order)
+    segmented = meter_segments(cut, names, order, is_reset, bucket=BUCKET)
+    return running_meter(segmented, [*names, "segment"], order, value, weight, bucket=BUCKET).drop(BUCKET, *added)
 
 
 def throughput(df: DataFrame, step_time: Column, batch_size: int, world: int, accumulation: int = 1) -> DataFrame:

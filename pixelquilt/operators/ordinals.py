@@ -87,6 +87,17 @@ def bounded_broadcast(small: DataFrame, rows: int | None) -> DataFrame:
     return small
 
 
+def whole_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Group keys that are never null, so that joining on them loses no group.
+
+    A nullable key is wrapped in a struct, which compares equal on a null inside and keeps the join an ordinary
+    equality that can reuse the group's partitioning. Returns the table, the names to group by and the added ones.
+    """
+    wrapped = {f"_key_{k}": F.struct(k) for k in keys if df.schema[k].nullable}
+    names = [f"_key_{k}" if f"_key_{k}" in wrapped else k for k in keys]
+    return (df.withColumns(wrapped) if wrapped else df), names, list(wrapped)
+
+
 def _group_count(keys: list[str], groups: int | None, buckets: int) -> int | None:
     if not keys:
         return buckets
@@ -106,6 +117,7 @@ def ordinal(
 
     ``groups`` is the number of key combinations where the caller knows it from parameters.
     """
+    df, keys, added = whole_keys(df, keys)
     cells = [*keys, bucket]
     buckets = buckets or default_buckets(df.sparkSession)
     within = F.row_number().over(Window.partitionBy(*cells).orderBy(*order)) - 1
@@ -120,7 +132,7 @@ def ordinal(
         df.withColumn(out, within)
         .join(offsets, cells)
         .withColumn(out, (F.col(out) + F.col(_OFFSET)).cast("bigint"))
-        .drop(bucket, _OFFSET)
+        .drop(bucket, _OFFSET, *added)
     )
 
 
@@ -138,15 +150,25 @@ def running_sums(
     measures: dict[str, Column],
     inclusive: bool = True,
     buckets: int | None = None,
+    bucket: str | None = None,
 ) -> DataFrame:
-    """Add running sums per key along a numeric order column that is unique within the key."""
+    """Add running sums per key along a numeric order column that is unique within the key.
+
+    ``bucket`` names a column that already cuts the order; it is kept, so that a following step can use the same
+    partitioning.
+    """
     buckets = buckets or default_buckets(df.sparkSession)
+    df, keys, added = whole_keys(df, keys)
     inputs = {name: f"_in_{name}" for name in measures}
-    cut = order_cuts(df, order, buckets).bucket(df.withColumns({inputs[n]: c for n, c in measures.items()}), order)
-    cells = [*keys, BUCKET]
+    cut = df.withColumns({inputs[n]: c for n, c in measures.items()})
+    if bucket is None:
+        bucket = BUCKET
+        added = [*added, BUCKET]
+        cut = order_cuts(df, order, buckets).bucket(cut, order)
+    cells = [*keys, bucket]
     upto = Window.partitionBy(*cells).orderBy(order)
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*cells).agg(*[F.sum(inputs[n]).alias(f"_all_{n}") for n in measures])
     offsets = totals.select(*cells, *[F.sum(f"_all_{n}").over(before).alias(f"_off_{n}") for n in measures])
     local = cut.withColumns({n: F.sum(inputs[n]).over(upto) for n in measures})
@@ -154,4 +176,4 @@ def running_sums(
     joined = local.join(bounded_broadcast(offsets, _group_count(keys, None, buckets)), cells)
     return joined.withColumns(
         {n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_off_{n}"), zero) for n in measures}
-    ).drop(BUCKET, *inputs.values(), *[f"_off_{n}" for n in measures])
+    ).drop(*added, *inputs.values(), *[f"_off_{n}" for n in measures])

@@ -18,6 +18,7 @@ from pixelquilt.operators.ordinals import (
     hash_bucket,
     id_ordinal,
     ordinal,
+    whole_keys,
 )
 
 
@@ -127,8 +128,9 @@ def assign_batches(
         if group_rows:
             sized = df.withColumn("_n", F.col(group_rows))
         elif keys:
-            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            sized = df.join(bounded_broadcast(counts, groups), keys)
+            sized, names, added = whole_keys(df, keys)
+            counts = sized.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+            sized = sized.join(bounded_broadcast(counts, groups), names).drop(*added)
         else:
             sized = df.withColumn("_n", row_total(df))
         full = F.floor(F.col("_n") / batch_size).cast("bigint") * batch_size

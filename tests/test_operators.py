@@ -133,6 +133,31 @@ def test_meter_matches_a_plain_loop(spark):
         state[k] = (0.0, 0, seg + 1) if r else (s, c, seg)
 
 
+def test_null_keys_are_groups_like_others(spark):
+    data = [(i, None if i % 3 else 1, 1.0) for i in range(30)]
+    df = spark.createDataFrame(data, "t long, k long, v double")
+    for got in (
+        meters.running_meter(df, ["k"], "t", F.col("v")),
+        meters.meter_reset(df, ["k"], "t", F.col("v"), F.lit(False)),
+    ):
+        assert got.count() == 30
+        assert {(r["k"], r["m"]) for r in got.groupBy("k").agg(F.max("meter_count").alias("m")).collect()} == {(None, 20), (1, 10)}
+    shuffled = sharding.seeded_shuffle(df, "t", 1, ["k"])
+    assert shuffled.filter("k IS NULL").count() == 20
+    assert sharding.assign_batches(shuffled, 10, ["k"]).count() == 30
+    runs = spark.createDataFrame([(None, f"c_0_{i}") for i in range(5)], "run string, path string")
+    assert manifests.keep_last_k(runs, 2).count() == 3
+
+
+def test_reset_meter_shares_its_exchange(spark):
+    df = spark.range(100).select(F.col("id").alias("t"), (F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    df = df.repartition(4)
+    metered = meters.meter_reset(df, ["k"], "t", F.col("v"), F.col("t") % 7 == 0)
+    plan = metered._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert metered.count() == 100 and len(windows) >= 4
+
+
 def test_throughput_of_zero_time_is_null(spark):
     df = spark.createDataFrame([(0.0,), (2.0,)], "t double")
     got = meters.throughput(df, F.col("t"), 4, 8, 2).orderBy("t").collect()
