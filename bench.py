@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2, the
-better one counts). Every column of every row is produced (noop sink).
+better one counts). Every column of every row is produced (noop sink). The encoding jobs are timed on the arrays
+they hand to a trainer, not on the digests their registered queries reduce them to.
 """
 
 from __future__ import annotations
@@ -31,8 +32,18 @@ HEADLINES = [
 
 def main() -> None:
     from pixelquilt.catalog import QUERIES
+    from pixelquilt.catalog import intake, jobs, sequences
     from pixelquilt.session import build_session
 
+    raw = {
+        "text_training_batches": intake.text_batches,
+        "image_training_batches": jobs.image_rows,
+        "serving_batches": jobs.serving_rows,
+        "training_feed": jobs.feed_rows,
+        "pad_right": sequences.padded_rows,
+    }
+    timed = {**QUERIES, **raw}
+
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
@@ -46,7 +57,7 @@ def main() -> None:
         best = None
         for _ in range(runs):
             start = time.perf_counter()
-            QUERIES[name](spark, directory).write.format("noop").mode("overwrite").save()
+            timed[name](spark, directory).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)

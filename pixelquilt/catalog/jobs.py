@@ -69,12 +69,17 @@ SELECT doc_id, epoch, rank, batch_id, pos, img AS has_images, m AS n, n_real, {s
  {sql_digest(sql_last_bos('ids', 'labels'))} AS labels_md5, {sql_digest('patches')} AS patches_md5 FROM l"""
 
 
-@query("image_training_batches", _MIXED_BATCHES)
-def _image_batches(spark, d):
+def image_rows(spark, d):
+    """Captions to padded, labelled rows; batches keep their images where every row has one."""
     docs = table(spark, d, "documents")
     samples = docs.select("doc_id", "source", caption_prompt(F.col("text"), F.col("doc_id"), SEED).alias("prompt"))
     plan = plan_main(samples, "doc_id", WORLD, BATCH_SIZE, SEED)
-    rows = encode.encode_training_batches(samples, plan, "doc_id", "prompt", doc_usable(), 2048)
+    return encode.encode_training_batches(samples, plan, "doc_id", "prompt", doc_usable(), 2048)
+
+
+@query("image_training_batches", _MIXED_BATCHES)
+def _image_batches(spark, d):
+    rows = image_rows(spark, d)
     return rows.select(
         "doc_id",
         *BATCH,
@@ -88,6 +93,13 @@ def _image_batches(spark, d):
     )
 
 
+def serving_rows(spark, d):
+    """Questions to left-padded rows for generation."""
+    docs = table(spark, d, "documents").select("doc_id", inference_prompt(F.col("text")).alias("prompt"))
+    plan = plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED)
+    return encode.encode_serving_batches(docs, plan, "doc_id", "prompt", 1024)
+
+
 _QUESTION = f"""'{C.START_HEADER}user{C.END_HEADER}' || chr(10) || chr(10) || text || '{C.END_OF_TURN}{C.START_HEADER}assistant{C.END_HEADER}'"""
 
 
@@ -102,9 +114,7 @@ SELECT doc_id, epoch, rank, batch_id, pos, m - 1 AS n, m + 9 AS n_patches, {sql_
  {sql_digest('pt[1:m + 9]')} AS patches_md5, {sql_digest('k[1:m - 1]')} AS mask_md5 FROM x""",
 )
 def _serving(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", inference_prompt(F.col("text")).alias("prompt"))
-    plan = plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED)
-    rows = encode.encode_serving_batches(docs, plan, "doc_id", "prompt", 1024)
+    rows = serving_rows(spark, d)
     return rows.select(
         "doc_id",
         *BATCH,
@@ -117,6 +127,14 @@ def _serving(spark, d):
     )
 
 
+def feed_rows(spark, d):
+    """Three streams mixed by step, encoded."""
+    main, text, math = feed_plans(spark, d)
+    rows = feed.plan_feed(main, text, math, total_steps=60, text_every=TEXT_N, math_every=MATH_N)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return encode.encode_text_batches(docs, rows, "doc_id", "text", 512, feed.FEED_BATCH)
+
+
 @query(
     "training_feed",
     f"""WITH {SQL_STEPS}, {sql_schedule(TEXT_N, MATH_N)}, {SQL_SIDES}, feed AS ({SQL_FEED}),
@@ -126,10 +144,7 @@ x AS (SELECT * EXCLUDE (ids), {sql_pad_right('ids', 'm', C.PAD_ID)} AS ids FROM
 SELECT epoch, rank, global_step, kind, batch_id, pos, doc_id, m AS n, {sql_digest('ids')} AS ids_md5, {sql_digest('labels')} AS labels_md5 FROM l""",
 )
 def _training_feed(spark, d):
-    main, text, math = feed_plans(spark, d)
-    rows = feed.plan_feed(main, text, math, total_steps=60, text_every=TEXT_N, math_every=MATH_N)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    encoded = encode.encode_text_batches(docs, rows, "doc_id", "text", 512, feed.FEED_BATCH)
+    encoded = feed_rows(spark, d)
     return encoded.select(
         "epoch",
         "rank",

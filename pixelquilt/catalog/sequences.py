@@ -148,7 +148,7 @@ def _encode_image_text(spark, d):
 
 
 def _image_rows(rows):
-    clipped = rows.withColumn("_clip", T.clip_text(T.tokenize(F.col("text")), MAX_LENGTH)).drop("text")
+    clipped = rows.withColumn("_clip", T.tokenize_clipped(F.col("text"), MAX_LENGTH)).drop("text")
     encoded = clipped.withColumn("input_ids", F.concat(T.template_ids(), F.col("_clip"))).drop("_clip")
     return encoded.withColumn("image_patches_indices", T.image_patch_indices(F.size("input_ids")))
 
@@ -169,14 +169,17 @@ _BATCHED = f"""WITH {_PLAN}, m AS (SELECT *, max(len(ids)) {_OVER} AS mi, max(le
 _ONES = "list_transform(ids, lambda x: 1)"
 
 
+def padded_rows(spark, d):
+    return B.pad_right(_image_rows(_placed(spark, d)), patches="image_patches_indices")
+
+
 @query(
     "pad_right",
     f"""{_BATCHED} SELECT doc_id, mi AS n, mp AS n_patches, {sql_digest(sql_pad_right('ids', 'mi', C.PAD_ID))} AS ids_md5,
  {sql_digest(sql_pad_right('patches', 'mp', -1))} AS patches_md5, {sql_digest(sql_pad_right(_ONES, 'mi', 0))} AS attention_mask_md5 FROM m""",
 )
 def _pad_right(spark, d):
-    padded = B.pad_right(_image_rows(_placed(spark, d)), patches="image_patches_indices")
-    return _arrays(padded, "attention_mask")
+    return _arrays(padded_rows(spark, d), "attention_mask")
 
 
 _LEFT = f"""SELECT doc_id, {sql_pad_left('ids', 'mi', C.PAD_ID)} AS ids, {sql_pad_left('patches', 'mp', -1)} AS patches,

@@ -30,8 +30,13 @@ def token_id(token: Column) -> Column:
     return F.when(token.startswith("<|"), F.coalesce(F.try_element_at(specials, token), hashed)).otherwise(hashed)
 
 
-def tokenize(text: Column, bos: bool = True) -> Column:
-    ids = F.transform(text_tokens(text), token_id)
+def tokenize(text: Column, bos: bool = True, limit: int | None = None) -> Column:
+    """Text to ids. With ``limit`` only the first ids are kept, and only those are looked up."""
+    front = 1 if bos else 0
+    found = text_tokens(text)
+    if limit is not None:
+        found = F.slice(found, 1, max(limit - front, 0))
+    ids = F.transform(found, token_id)
     return F.concat(F.array(F.lit(C.BOS_ID)), ids) if bos else ids
 
 
@@ -47,7 +52,7 @@ def text_length(text: Column, max_length: int) -> Column:
 
 def encode_text(text: Column, max_length: int) -> Column:
     """Text-only rows: end marker appended, BOS in front, cut to ``max_length`` (which may cut the marker)."""
-    return F.slice(tokenize(F.concat(text, F.lit(C.END_OF_TEXT))), 1, max_length)
+    return tokenize(F.concat(text, F.lit(C.END_OF_TEXT)), limit=max_length)
 
 
 def text_budget(max_length: int) -> int:
@@ -57,8 +62,16 @@ def text_budget(max_length: int) -> int:
 
 def clip_text(ids: Column, max_length: int, boa: bool = False) -> Column:
     """Keep the text budget less one, then close with one id."""
-    closing = C.SPECIAL_IDS[C.END_HEADER] if boa else C.EOS_ID
-    return F.concat(F.slice(ids, 1, text_budget(max_length) - 1), F.array(F.lit(closing)))
+    return F.concat(F.slice(ids, 1, text_budget(max_length) - 1), _closing(boa))
+
+
+def _closing(boa: bool) -> Column:
+    return F.array(F.lit(C.SPECIAL_IDS[C.END_HEADER] if boa else C.EOS_ID))
+
+
+def tokenize_clipped(text: Column, max_length: int, boa: bool = False) -> Column:
+    """``clip_text(tokenize(text))`` without looking up the ids that are clipped."""
+    return F.concat(tokenize(text, limit=text_budget(max_length) - 1), _closing(boa))
 
 
 def clipped_length(text: Column, max_length: int) -> Column:

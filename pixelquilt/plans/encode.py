@@ -59,7 +59,7 @@ def encode_training_batches(
     text = F.col(prompt)
     encoded = rows.withColumn(
         "_text_ids",
-        F.when(F.col("has_images"), T.clip_text(T.tokenize(text), max_length)).otherwise(
+        F.when(F.col("has_images"), T.tokenize_clipped(text, max_length)).otherwise(
             T.encode_text(text, max_length)
         ),
     ).drop(prompt)
@@ -81,7 +81,7 @@ def encode_serving_batches(
         plan.join(lengths, key), {"_ids_len": F.col("_n") + T.TEMPLATE_LENGTH}, batch
     )
     rows = keyed(placed, key).join(questions.select(key, prompt), key)
-    clipped = rows.withColumn("_text_ids", T.clip_text(T.tokenize(F.col(prompt)), max_length))
+    clipped = rows.withColumn("_text_ids", T.tokenize_clipped(F.col(prompt), max_length))
     encoded = clipped.withColumn("input_ids", F.concat(T.template_ids(), F.col("_text_ids")))
     own = T.image_patch_indices(F.size("input_ids"))
     encoded = encoded.withColumn("image_patches_indices", T.pad_left(own, T.reserved_length(F.col("_ids_len")), C.NO_PATCH))

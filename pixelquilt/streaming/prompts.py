@@ -16,7 +16,7 @@ def prompt_rows(samples: DataFrame, rules: dict[str, list[str]], key: str, text:
     """Route, render, tokenise, clip and label each row on its own. Works on batch and streaming tables."""
     routed = route_by_prefix(samples, rules)
     prompted = routed.withColumn("_prompt", caption_prompt(F.col(text), F.col(key), seed))
-    clipped = prompted.withColumn("input_ids", K.clip_text(K.tokenize(F.col("_prompt")), max_length))
+    clipped = prompted.withColumn("input_ids", K.tokenize_clipped(F.col("_prompt"), max_length))
     return clipped.withColumn("labels", K.label_mask(F.col("input_ids"))).select(key, "category", "input_ids", "labels")
 
 
