@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2, the
-better one counts). Every column of every row is produced (noop sink). The encoding jobs are timed on the arrays
+better one counts), BENCH_QUERIES (set: time the registered queries as they are). Every column of every row is produced (noop sink). The encoding jobs are timed on the arrays
 they hand to a trainer, not on the digests their registered queries reduce them to.
 """
 
@@ -42,7 +42,7 @@ def main() -> None:
         "training_feed": jobs.feed_rows,
         "pad_right": sequences.padded_rows,
     }
-    timed = {**QUERIES, **raw}
+    timed = dict(QUERIES) if os.environ.get("BENCH_QUERIES") else {**QUERIES, **raw}
 
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
