@@ -36,7 +36,9 @@ def best_resolution(width: Column, height: Column, candidates: list[tuple[int, i
 
     def choose(v: Column) -> Column:
         scores = F.array(*[scored(v, i, tw, th) for i, (tw, th) in enumerate(candidates)])
-        return let(F.array_max(scores), lambda b: F.struct(b["tw"].alias("tw"), b["th"].alias("th")))
+        best = let(F.array_max(scores), lambda b: F.struct(b["tw"].alias("tw"), b["th"].alias("th")))
+        # No size, no choice: the comparisons above would skip a null.
+        return F.when(v["w"].isNotNull() & v["h"].isNotNull(), best)
 
     return let_all({"w": _big(width), "h": _big(height)}, choose)
 
@@ -129,12 +131,13 @@ def fit_and_pad(width: Column, height: Column, tw: Column | int, th: Column | in
     by_width = scale_w < scale_h
     new_w = F.when(by_width, tw).otherwise(F.least(F.ceil(width * scale_h).cast("bigint"), tw))
     new_h = F.when(by_width, F.least(F.ceil(height * scale_w).cast("bigint"), th)).otherwise(th)
-    return F.struct(
+    placed = F.struct(
         new_w.alias("nw"),
         new_h.alias("nh"),
         F.floor((tw - new_w) / 2).cast("bigint").alias("px"),
         F.floor((th - new_h) / 2).cast("bigint").alias("py"),
     )
+    return F.when(width.isNotNull() & height.isNotNull(), placed)
 
 
 def grid_shape(width: Column, height: Column, pinpoints: str | list, patch: int) -> Column:
@@ -149,9 +152,9 @@ def grid_shape(width: Column, height: Column, pinpoints: str | list, patch: int)
 
 def fit_scale(height: Column, width: Column, th: Column, tw: Column) -> Column:
     """1.0 where the image fits the target, else the factor that makes it fit."""
-    return F.when((width <= tw) & (height <= th), F.lit(1.0)).otherwise(
-        F.least(th.cast("double") / height, tw.cast("double") / width)
-    )
+    by_height, by_width = th.cast("double") / height, tw.cast("double") / width
+    smaller = F.when(by_height < by_width, by_height).when(by_height >= by_width, by_width)
+    return F.when((width <= tw) & (height <= th), F.lit(1.0)).otherwise(smaller)
 
 
 def any_of(conditions: list[Column]) -> Column:

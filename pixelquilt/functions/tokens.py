@@ -16,6 +16,11 @@ from pixelquilt.functions.hashing import hash32
 IDS = "array<int>"
 
 
+def capped(value: Column, limit: int) -> Column:
+    """At most ``limit``. Unlike ``least`` it keeps a null, so that a missing text has no length."""
+    return F.when(value > limit, F.lit(limit)).otherwise(value)
+
+
 # --- text to ids -------------------------------------------------------------------------------
 
 
@@ -37,7 +42,9 @@ def tokenize(text: Column, bos: bool = True, limit: int | None = None) -> Column
     if limit is not None:
         found = F.slice(found, 1, max(limit - front, 0))
     ids = F.transform(found, token_id)
-    return F.concat(F.array(F.lit(C.BOS_ID)), ids) if bos else ids
+    if not bos or limit == 0:
+        return ids
+    return F.concat(F.array(F.lit(C.BOS_ID)), ids)
 
 
 def token_count(text: Column, bos: bool = True) -> Column:
@@ -47,7 +54,7 @@ def token_count(text: Column, bos: bool = True) -> Column:
 
 def text_length(text: Column, max_length: int) -> Column:
     """Length of ``encode_text`` from the text alone: BOS, text, end marker, cut to the budget."""
-    return F.least(token_count(text) + 1, F.lit(max_length))
+    return capped(token_count(text) + 1, max_length)
 
 
 def encode_text(text: Column, max_length: int) -> Column:
@@ -56,7 +63,9 @@ def encode_text(text: Column, max_length: int) -> Column:
 
 
 def text_budget(max_length: int) -> int:
-    """Image rows give half of the budget to text."""
+    """Image rows give half of the budget to text, at least the closing id."""
+    if max_length < 2:
+        raise ValueError("The budget leaves no room for text")
     return max_length // 2
 
 
@@ -75,7 +84,7 @@ def tokenize_clipped(text: Column, max_length: int, boa: bool = False) -> Column
 
 
 def clipped_length(text: Column, max_length: int) -> Column:
-    return F.least(token_count(text), F.lit(text_budget(max_length) - 1)) + 1
+    return capped(token_count(text), text_budget(max_length) - 1) + 1
 
 
 # --- the image template ------------------------------------------------------------------------
@@ -109,7 +118,7 @@ def template_patches() -> Column:
 
 def reserved_length(length: Column, reserve: int = C.RESERVED_GENERATION, limit: int = C.MAX_POSITIONS) -> Column:
     """Length with the generation slots, as far as the positions reach."""
-    return F.least(length + reserve, F.lit(limit))
+    return capped(length + reserve, limit)
 
 
 def sequence_plan(length: Column, reserve: int = C.RESERVED_GENERATION, limit: int = C.MAX_POSITIONS) -> Column:

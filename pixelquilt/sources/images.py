@@ -21,6 +21,12 @@ def image_metadata(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def with_image_size(samples: DataFrame, sizes: DataFrame, path: str = "image_path") -> DataFrame:
-    """Attach sizes by resolved path; rows without an image keep nulls."""
-    return samples.join(sizes.withColumnRenamed("path", path), path, "left")
+def with_image_size(samples: DataFrame, sizes: DataFrame, path: str = "image_path", salts: int = 1024) -> DataFrame:
+    """Attach sizes by resolved path; rows without an image keep nulls.
+
+    Rows without a path match nothing. They are spread by their content, or all of them would meet in one task.
+    """
+    without = F.pmod(F.xxhash64(*samples.columns), F.lit(salts))
+    salted = samples.withColumn("_salt", F.when(F.col(path).isNull(), without).otherwise(F.lit(0).cast("bigint")))
+    keyed = sizes.withColumnRenamed("path", path).withColumn("_salt", F.lit(0).cast("bigint"))
+    return salted.join(keyed, [path, "_salt"], "left").drop("_salt")

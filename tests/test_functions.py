@@ -226,3 +226,35 @@ def test_position_ids(spark, mask):
 def test_strip_placeholders(spark):
     seeded = C.IMAGE_PLACEHOLDER + "a" + C.IMAGE_NEWLINE + C.IMAGE_PLACEHOLDER + "b"
     assert value(spark, prompts.strip_placeholders(F.lit(seeded))) == "ab"
+
+
+def test_missing_values_stay_missing(spark):
+    none, size = F.lit(None).cast("string"), F.lit(None).cast("int")
+    ten = F.lit(10)
+    for column in (
+        tokens.text_length(none, 100),
+        tokens.clipped_length(none, 100),
+        tokens.encode_text(none, 100),
+        tokens.tokenize_clipped(none, 100),
+        tokens.reserved_length(size),
+        tags.segment_tags(none),
+        tags.tokenize_tagged(none, 1.0),
+        geometry.best_resolution(ten, size, geometry.middle_candidates()),
+        geometry.crop_boxes(size, ten),
+        geometry.fit_and_pad(size, ten, 5, 5),
+        geometry.fit_scale(ten, size, ten, ten),
+        geometry.patch_boxes(ten, size, 3),
+        prompts.truncate_middle(none),
+        prompts.inference_prompt(none),
+    ):
+        assert value(spark, column) is None
+
+
+def test_clipped_tokens_are_the_same(spark):
+    text_ = F.lit("one two three four five")
+    for limit in (2, 4, 8, 100):
+        for boa in (False, True):
+            both = F.struct(tokens.tokenize_clipped(text_, limit, boa), tokens.clip_text(tokens.tokenize(text_), limit, boa))
+            got = value(spark, both)
+            assert got[0] == got[1]
+        assert value(spark, tokens.tokenize(text_, limit=limit)) == value(spark, tokens.tokenize(text_))[:limit]
