@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,7 +154,3 @@ def fit_scale(height: Column, width: Column, th: Column, tw: Column) -> Column:
     by_height, by_width = th.cast("double") / height, tw.cast("double") / width
     smaller = F.when(by_height < by_width, by_height).when(by_height >= by_width, by_width)
     return F.when((width <= tw) & (height <= th), F.lit(1.0)).otherwise(smaller)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

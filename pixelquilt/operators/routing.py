@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquilt import config as C
-from pixelquilt.functions.geometry import any_of
 
 DEFAULT_RULES = {"hq": C.DEFAULT_HQ_PREFIXES, "lq": [], "text": [], "math": []}
 
@@ -19,7 +20,7 @@ def parse_rules(**settings: str) -> dict[str, list[str]]:
 def matching_categories(name: Column, rules: dict[str, list[str]]) -> Column:
     """Each category once whose prefixes include one that starts ``name``."""
     tests = [
-        F.when(any_of([name.startswith(p) for p in prefixes]), F.lit(category))
+        F.when(reduce(Column.__or__, [name.startswith(p) for p in prefixes]), F.lit(category))
         for category, prefixes in rules.items()
         if prefixes
     ]
