@@ -46,11 +46,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bitmap_of(df: DataFrame, key: Column, words: int = BITMAP_WORDS) -> np.ndarray:
-    """A bitmap over the hashes of ``key``: ``words`` numbers reach the driver however many rows there are."""
-    hashed = F.xxhash64(key)
+def bitmap_of(df: DataFrame, key: Column, words: int = BITMAP_WORDS, hashed: bool = False) -> np.ndarray:
+    """A bitmap over the hashes of ``key``, or over ``key`` itself where it is a hash: ``words`` numbers reach the
+    driver however many rows there are."""
     marked = (
-        df.select(hashed.alias("h"))
+        df.select((key if hashed else F.xxhash64(key)).alias("h"))
         .select(F.pmod(F.col("h"), F.lit(words)).alias("w"), F.shiftrightunsigned(F.col("h"), 58).cast("int").alias("b"))
         .groupBy("w")
         .agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))

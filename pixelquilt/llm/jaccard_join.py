@@ -250,6 +250,17 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return full.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df``, as they are, without those of a component that is named by another key.
+
+    Texts without words stay, and so do rows with a null key: they have no smaller key to give way to. Rows that
+    repeat the smallest key of a component all stay, as they are one document to the key.
+    """
+    found = classes(df, key, text, width, percent)
+    dropped = stage(found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_dropped")).distinct(), "dropped")
+    return df.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
+
+
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
