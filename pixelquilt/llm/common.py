@@ -21,9 +21,12 @@ BITMAP_WORDS = 1 << 18
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: cuts the lineage, and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Shuffle files go once the driver's collector has seen that nothing needs them, as its periodic run would do.
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:

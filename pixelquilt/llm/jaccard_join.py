@@ -1,8 +1,8 @@
 """Exact Jaccard join of documents over word n-grams, as a blocked sparse matrix product.
 
 The incidence matrix has a row for each different set of n-grams (equal sets are one row) and a column for each
-n-gram. Only a part of each row can decide: in any order of the columns, rows of size n that link share a column among
-each one's first n - ceil(t n) + 1, so the product runs over those, block of columns by block of columns, and adds up
+n-gram. Only a part of each row can decide: in any order of the columns, a row of size n that links shares at least m
+columns among its first n - ceil(t n) + m with the other one, so the product runs over those, block of columns by block of columns, and adds up
 how much two rows have in common. A pair goes on only if that sum and the columns not yet seen, whose number follows
 from the sizes, can reach the bound ceil((n1 + n2) t / (1 + t)). For pairs that do, the remaining columns are counted.
 
@@ -19,10 +19,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import bitmap_of, in_bitmap, lower_ascii, stage, table, task_batches, words_of
+from pixelquilt.llm.common import bitmap_of, in_bitmap, stage, table, task_batches
 from pixelquilt.llm.components import components
 from pixelquilt.llm.registry import query
 
@@ -30,6 +30,8 @@ WIDTH = 5
 PERCENT = 75
 #: A column of more rows than this is frequent.
 FREQUENT = 48
+#: Blocks of columns that are multiplied one after the other.
+COLUMN_BLOCKS = 2
 #: Rounds in which rows meet one row for each of their frequent columns.
 STAR_ROUNDS = 2
 
@@ -42,8 +44,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a text that are hashed at a time.
+BLOCK_BYTES = 1 << 20
+_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD[65:91] += np.uint64(32)  # A-Z as a-z
+_LETTER = _mixed(_FOLD + _MIX)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xD6E8FEB86659FD93
+_UNDO = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n - 1, 0), base, np.uint64))])[:n]
+
+
+_UP, _DOWN = _powers(_BASE, 1 << 12), _powers(_UNDO, 1 << 12)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash for every word, of its bytes with A-Z lowered: a polynomial over their mixed values, taken from
+    prefix sums and mixed with the length. Long texts are hashed in blocks that end at white space."""
+    global _UP, _DOWN
+    data = np.frombuffer(raw, np.uint8)
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        part = data[at:end]
+        at = end
+        if len(part) > len(_UP):
+            _UP, _DOWN = _powers(_BASE, 2 * len(part)), _powers(_UNDO, 2 * len(part))
+        gap = np.concatenate([[True], _SPACE[part], [True]])
+        turns = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[part] * _UP[: len(part)], dtype=np.uint64)])
+        if len(starts):
+            found.append(_mixed((sums[ends] - sums[starts]) * _DOWN[starts] ^ _mixed((ends - starts).astype(np.uint64))))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def grams_of(words: np.ndarray, width: int) -> np.ndarray:
-    """The different n-grams of a text, from 64-bit hashes of its words; a shorter text is one n-gram."""
+    """The different n-grams of a text, from the hashes of its words; a shorter text is one n-gram."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -54,20 +98,22 @@ def grams_of(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(found)
 
 
+def set_of(text: str | None, width: int) -> np.ndarray:
+    return grams_of(word_hashes((text or "").encode("utf-8")), width)
+
+
 def leading(n: int, percent: int) -> int:
-    """How many columns of a row of size n decide."""
+    """How many columns of a row of size n decide: any row that links shares one of them."""
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _word_lists(batch: pa.RecordBatch, at: int):
-    column = batch.column(at)
-    ends, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+def demand(n: int, percent: int) -> int:
+    """How many of its leading columns a row of size n is made to share: a third of those that decide."""
+    return max(1, leading(n, percent) // 3)
 
 
-def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-    words = words_of(lower_ascii(F.col(text)))
-    return df.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("hk"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+def _demand(n: Column, percent: int) -> Column:
+    return F.greatest(F.lit(1), F.floor((n - F.ceil(n * percent / 100) + 1) / 3))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -76,35 +122,49 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``key, n, row`` (digest of the set), ``c`` (its first 64 bits) and ``lead``, the deciding columns of the row in
-    the order of their hashes."""
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """The whole digest of each set, and its first 64 bits."""
+    found = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+    return pa.array(found, pa.binary()), pa.array(np.frombuffer(b"".join(d[:8] for d in found), np.int64))
+
+
+def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``key, n`` (size of the set), ``row`` (its digest) and ``c`` (the digest's first 64 bits)."""
     task_batches(df.sparkSession)
-    rows = _hashed(df, key, text)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def sign(batches):
         for batch in batches:
-            sets = [grams_of(words, width) for words in _word_lists(batch, 2)]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            codes = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
-            leads = [s[: leading(len(s), percent)] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(codes), _lists(leads)], ["key", "n", "row", "c", "lead"])
+            sets = [set_of(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets)], ["key", "n", "row", "c"])
+
+    return rows.mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, n long, row binary, c long")
+
+
+def leads(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """``row, c, n, last, lead``: the first columns of every set in the order of their hashes, as many as decide and
+    as are demanded besides, and the last of them."""
+
+    def lead(batches):
+        for batch in batches:
+            sets = [s for t in batch.column(0) if len(s := set_of(t.as_py(), width))]
+            firsts = [s[: leading(len(s), percent) - 1 + demand(len(s), percent)] for s in sets]
+            last = np.array([f[-1] for f in firsts], np.uint64).view(np.int64)
+            row, c = _digests(sets)
+            yield pa.RecordBatch.from_arrays([row, c, pa.array([len(s) for s in sets], pa.int64()), pa.array(last), _lists(firsts)], ["row", "c", "n", "last", "lead"])
 
-    return rows.mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, n long, row binary, c long, lead array<long>")
+    return df.select(text).filter(F.col(text).isNotNull()).mapInArrow(lead, "row binary, c long, n long, last long, lead array<long>")
 
 
 def _sets(df: DataFrame, key: str, text: str, wanted: np.ndarray, width: int) -> DataFrame:
     """``row, c, n, grams`` of the documents whose key is marked in a bitmap."""
-    rows = _hashed(df, key, text)
-    rows = rows.filter(F.col("hk").isNotNull())
+    rows = df.select(F.xxhash64(F.col(key)).alias("hk"), F.col(text).alias("text"))
 
     def collect(batches):
         for batch in batches:
-            keep = in_bitmap(wanted, batch.column(1).to_numpy())
-            sets = [grams_of(w, width) for w, k in zip(_word_lists(batch, 2), keep, strict=True) if k]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            codes = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(codes), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["row", "c", "n", "grams"])
+            kept = batch.column(1).filter(pa.array(in_bitmap(wanted, batch.column(0).to_numpy())))
+            sets = [s for t in kept if len(s := set_of(t.as_py(), width))]
+            yield pa.RecordBatch.from_arrays([*_digests(sets), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["row", "c", "n", "grams"])
 
     return rows.mapInArrow(collect, "row binary, c long, n long, grams array<long>")
 
@@ -169,13 +229,18 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
 
     Every listed pair links; every pair that links is listed or its sets are connected by listed ones.
     """
-    signed = stage(signatures(df, key, text, width, percent), "signatures")
-    rows = stage(signed.filter("n > 0").dropDuplicates(["row"]), "rows")
-    cells = _shared(rows.select(F.explode("lead").alias("gram"), "c", "n"), "cells")
-    # How the order's first columns of a row end, and how many of them are frequent.
+    signed = stage(signatures(df, key, text, width), "signatures")
+    rows = stage(leads(df, text, width, percent).dropDuplicates(["row"]), "rows")
+    cells = None
+    for block in range(COLUMN_BLOCKS):
+        own = rows.select(F.explode("lead").alias("gram"), "c", "n").filter(F.pmod("gram", F.lit(COLUMN_BLOCKS)) == block)
+        own = _shared(own, f"cells-{block}")
+        cells = own if cells is None else cells.unionByName(own)
+    # How many of the leading columns of a row are frequent.
     often = cells.filter(F.col("df") > FREQUENT)
-    late = stage(often.groupBy("c").agg(F.count(F.lit(1)).alias("late")), "late")
-    facts = rows.select("c", (F.col("n") - F.size("lead")).alias("unseen"), F.element_at("lead", -1).alias("last")).join(late, "c", "left").select("c", "unseen", "last", F.coalesce("late", F.lit(0)).alias("late"))
+    late = stage(often.groupBy("c").agg(F.count(F.lit(1)).alias("late"), F.first("n").alias("n")), "late")
+    unseen = F.col("n") - (F.col("n") - F.ceil(F.col("n") * percent / 100) + _demand(F.col("n"), percent))
+    facts = rows.select("c", "n", "last").withColumn("unseen", unseen).drop("n").join(late.drop("n"), "c", "left").withColumn("late", F.coalesce("late", F.lit(0)))
     pairs = _products(cells.filter(F.col("df") <= FREQUENT), percent)
     first = facts.select([F.col(x).alias(f"{x}1") for x in facts.columns])
     second = facts.select([F.col(x).alias(f"{x}2") for x in facts.columns])
@@ -186,10 +251,11 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
     reach = F.when(unsigned("last1") <= unsigned("last2"), F.col("late1") + F.col("unseen1")).otherwise(F.col("late2") + F.col("unseen2"))
     pairs = stage(pairs.join(first, "c1").join(second, "c2").filter(F.col("common") + reach >= needed).select("c1", "c2"), "pairs")
 
+    # A pair that meets in frequent columns only must share the demand of one of the two rows, whose sizes are close.
+    late = late.filter(F.col("late") >= _demand(F.ceil(F.col("n") * percent / 100), percent)).select("c")
     wanted = pairs.select(F.col("c1").alias("c")).unionByName(pairs.select(F.col("c2").alias("c"))).unionByName(late.select("c")).distinct()
-    holders = rows.join(wanted, "c", "left_semi").select("key", "row")
-    # A set whose only holders have a null key still needs one document to be read again.
-    marked = bitmap_of(holders, F.col("key"))
+    holders = signed.groupBy("row", "c").agg(F.min(F.struct("key")).alias("held")).join(wanted, "c", "left_semi")
+    marked = bitmap_of(holders, F.col("held.key"))
     found = _sets(df, key, text, marked, width)
     sets = stage(found.join(wanted, "c", "left_semi").dropDuplicates(["row"]), "sets")
     linked = stage(_verified(pairs, sets, percent), "links")
