@@ -129,16 +129,16 @@ def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``key, n`` (size of the set), ``row`` (its digest) and ``c`` (the digest's first 64 bits)."""
+    """``key, text_hash, n`` (size of the set), ``row`` (its digest) and ``c`` (the digest's first 64 bits)."""
     task_batches(df.sparkSession)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     def sign(batches):
         for batch in batches:
-            sets = [set_of(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets)], ["key", "n", "row", "c"])
+            sets = [set_of(t.as_py(), width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets)], ["key", "text_hash", "n", "row", "c"])
 
-    return rows.mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, n long, row binary, c long")
+    return rows.mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, text_hash long, n long, row binary, c long")
 
 
 def leads(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -299,7 +299,8 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of ``df``: key, ``n_shingles`` and ``component_id``, the smallest key that links reach.
+    """A row for each row of ``df``: key, ``n_shingles``, ``component_id``, the smallest key that links reach, and
+    ``text_hash``, which tells rows of one key apart.
 
     A text without words has no set: its component is its own key. Equal sets link. A null key can be in a component
     but not name it; a component of null keys alone has a null id. Rows may repeat, other columns are not read, an
@@ -311,22 +312,23 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # Only sets in a component of several need its smallest key.
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_row = placed.select("row", "root").join(named, "root").select("row", "component_id")
-    full = signed.select("key", "n", "row").filter("n > 0").join(by_row, "row").select("key", "n", "component_id")
-    empty = signed.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    return full.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    full = signed.select("key", "text_hash", "n", "row").filter("n > 0").join(by_row, "row").drop("row")
+    empty = signed.filter("n = 0").select("key", "text_hash", "n", F.col("key").alias("component_id"))
+    return full.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "text_hash")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, as they are, without those of a component that is named by another key.
 
     Texts without words stay, and so do rows with a null key: they have no smaller key to give way to. Rows that
-    repeat the smallest key of a component all stay, as they are one document to the key.
+    repeat the smallest key of a component all stay, as they are one document to the key. Of a key with several texts,
+    each text is judged on its own.
     """
     found = classes(df, key, text, width, percent)
-    dropped = stage(found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_dropped")).distinct(), "dropped")
-    return df.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
+    dropped = stage(found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_dropped"), F.col("text_hash").alias("_text_hash")).distinct(), "dropped")
+    return df.join(dropped, (F.col(key) == F.col("_dropped")) & (F.xxhash64(F.col(text)) == F.col("_text_hash")), "left_anti")
 
 
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("text_hash")
