@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 WORLD = 4
 BATCH_SIZE = 4
 SEED = 42
-MAX_LENGTH = 2048
+MAX_LENGTH = 4096
 
 
 def query(name: str, sql: str | None = None):
@@ -174,7 +174,7 @@ def sql_plan_side(name: str, source: str, key: str, world=WORLD, batch=BATCH_SIZ
    WHERE ord < (sn // {batch}) * {batch})"""
 
 
-SQL_CHATS = f"""SELECT conv_id, string_agg('{C.START_HEADER}' || role || '{C.END_HEADER}' || chr(10) || chr(10) || text
+SQL_CHATS = f"""SELECT conv_id, string_agg('{C.START_HEADER}' || coalesce(role, '') || '{C.END_HEADER}' || chr(10) || chr(10) || coalesce(text, '')
  || '{C.END_OF_TURN}', '' ORDER BY turn) AS conversations FROM conversations GROUP BY conv_id"""
 
 

@@ -8,6 +8,7 @@ from pixelquilt import config as C
 from pixelquilt.catalog.base import (
     BATCH_SIZE,
     DOC_USABLE,
+    MAX_LENGTH,
     PAGE_IMAGE_URL,
     SEED,
     SQL_PATCHES,
@@ -130,15 +131,15 @@ def _serving(spark, d):
 def feed_rows(spark, d):
     """Three streams mixed by step, encoded."""
     main, text, math = feed_plans(spark, d)
-    rows = feed.plan_feed(main, text, math, total_steps=60, text_every=TEXT_N, math_every=MATH_N)
+    rows = feed.plan_feed(main, text, math, text_every=TEXT_N, math_every=MATH_N)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return encode.encode_text_batches(docs, rows, "doc_id", "text", 512, feed.FEED_BATCH)
+    return encode.encode_text_batches(docs, rows, "doc_id", "text", MAX_LENGTH, feed.FEED_BATCH)
 
 
 @query(
     "training_feed",
     f"""WITH {SQL_STEPS}, {sql_schedule(TEXT_N, MATH_N)}, {SQL_SIDES}, feed AS ({SQL_FEED}),
-e AS (SELECT f.*, {sql_encode('text', 512)} AS ids FROM feed f JOIN documents USING (doc_id) WHERE global_step < 60),
+e AS (SELECT f.*, {sql_encode('text', MAX_LENGTH)} AS ids FROM feed f JOIN documents USING (doc_id)),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY rank, global_step, kind) AS m FROM e),
 x AS (SELECT * EXCLUDE (ids), {sql_pad_right('ids', 'm', C.PAD_ID)} AS ids FROM m), l AS (SELECT *, {sql_labels('ids')} AS labels FROM x)
 SELECT epoch, rank, global_step, kind, batch_id, pos, doc_id, m AS n, {sql_digest('ids')} AS ids_md5, {sql_digest('labels')} AS labels_md5 FROM l""",

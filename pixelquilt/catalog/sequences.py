@@ -131,10 +131,12 @@ def _image_template(spark, d):
 @query(
     "sequence_plan",
     f"""SELECT doc_id, least(n + {C.RESERVED_GENERATION}, {C.MAX_POSITIONS}) AS target, n + {C.RESERVED_GENERATION} > {C.MAX_POSITIONS} AS over
-FROM (SELECT doc_id, least(len({sql_tokens('text')}) + 1, 1023) + 1 AS n FROM documents)""",
+FROM (SELECT doc_id, least(least(len({sql_tokens('text')}) + 2, {C.MAX_POSITIONS}) + 2098, {C.MAX_POSITIONS}) AS n FROM documents)""",
 )
 def _sequence_plan(spark, d):
-    lengths = _docs(spark, d).select("doc_id", T.clipped_length(F.col("text"), MAX_LENGTH).alias("n"))
+    # Whole texts beside the image template, as far as the positions reach: the longest leave no room to generate.
+    whole = T.text_length(F.col("text"), C.MAX_POSITIONS) + F.size(T.template_ids())
+    lengths = _docs(spark, d).select("doc_id", F.least(whole, F.lit(C.MAX_POSITIONS)).alias("n"))
     plans = lengths.select("doc_id", T.sequence_plan(F.col("n")).alias("s"))
     return plans.select("doc_id", F.col("s.target").cast("bigint").alias("target"), "s.over")
 

@@ -34,13 +34,13 @@ def _stream_prompts(spark, d):
 
 @query(
     "stream_meter",
-    f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, max_by({CENTS}, ts) AS meter_val, sum({CENTS}) AS meter_sum,
+    f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, (array_agg({CENTS} ORDER BY ts DESC, event_id DESC))[1] AS meter_val, sum({CENTS}) AS meter_sum,
  count(value) AS meter_count, avg({CENTS}) AS meter_avg FROM events GROUP BY 1, 2""",
 )
 def _stream_meter(spark, d):
     schema = table(spark, d, "events").schema
     arrivals = prompts.read_arrivals(spark, f"{d}/events.parquet*", schema)
-    meters = meter.windowed_meter(arrivals, "event_type", "ts", cents(), "1 hour", "2 hours")
+    meters = meter.windowed_meter(arrivals, "event_type", "ts", cents(), "1 hour", "2 hours", "event_id")
     path = scratch_path(spark, "meters")
     meter.drain_updates(meters, path, f"{path}-log")
     latest = meter.latest_updates(spark, path, ["window_start", "event_type"])

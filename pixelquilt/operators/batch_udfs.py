@@ -1,4 +1,4 @@
-"""User functions over column batches and over logical batches, and a real tokenizer."""
+"""User functions over column batches and over logical batches."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from pixelquilt import config as C
 from pixelquilt.operators.batching import BATCH
 
 
@@ -45,22 +43,3 @@ def collate_batches(
         return partial(fn, **bound)(frame.sort_values(order, ignore_index=True))
 
     return df.groupBy(*keys).applyInPandas(collate, schema)
-
-
-def tokenizer_column(text: Column, tokenizer_json: str, bos: int | None = C.BOS_ID) -> Column:
-    """Ids from a tokenizer file's content (the ``tokenizers`` JSON format), by Arrow batches.
-
-    The content rides with the task closure; the tokenizer is built once per batch stream.
-    """
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        front = [] if bos is None else [bos]
-        for batch in batches:
-            encoded = tokenizer.encode_batch(batch.tolist(), add_special_tokens=False)
-            yield pd.Series([front + e.ids for e in encoded])
-
-    return encode(text)

@@ -50,9 +50,9 @@ def overlay_embeddings(
     """Put patch vector ``patch_idx`` over the word vector wherever the index is not negative.
 
     ``words`` is (sample, pos, vec, patch_idx), ``patches`` is (sample, patch_idx, vec). Unused patches are
-    fine, an index without a patch is an error. Rows without an index skip the join, and with it the exchange.
+    fine, an index without a patch is an error. A null index means none. Rows without an index skip the join, and with it the exchange.
     """
-    plain = words.filter(F.col(index) < 0)
+    plain = words.filter(F.coalesce(F.col(index), F.lit(-1)) < 0)
     placed = words.filter(F.col(index) >= 0).withColumnRenamed(vec, "_word")
     found = placed.join(patches.withColumn("_found", F.lit(True)), [sample, index], "left")
     missing = F.raise_error(F.lit("A patch index has no patch vector")).cast(patches.schema[vec].dataType)

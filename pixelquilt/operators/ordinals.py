@@ -18,15 +18,13 @@ from pixelquilt import config as C
 from pixelquilt.functions.hashing import HASH_BITS
 
 BUCKET = "_bucket"
-MAX_CUTS = 1 << 14
-SAMPLE_PER_CUT = 200
 _OFFSET = "_offset"
 
 
 def default_buckets(spark: SparkSession) -> int:
     """A few buckets per shuffle partition. The number only shapes tasks, results do not depend on it."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(64, min(4 * partitions, 1 << 16))
+    return max(64, 4 * partitions)
 
 
 def keyed(df: DataFrame, key: str) -> DataFrame:
@@ -65,19 +63,15 @@ class OrderCuts:
 def order_cuts(df: DataFrame, order: str, buckets: int | None = None) -> OrderCuts:
     """Cut a numeric order column at its quantiles, so that clustered or sparse ids still give even buckets.
 
-    Reads that column alone. At most ``buckets`` numbers and the row count reach the driver and become constants
-    of the plan: any cuts are correct, only evenness depends on them, and a recomputed task sees the same. Large
-    tables are sampled for the cuts (never for the rows), which keeps the merged sketch at a fixed size.
+    Reads that column alone, whole. At most ``buckets`` numbers and the row count reach the driver and become constants
+    of the plan: any cuts are correct, only evenness depends on them, and a recomputed task sees the same.
     """
-    buckets = min(buckets or default_buckets(df.sparkSession), MAX_CUTS)
+    buckets = buckets or default_buckets(df.sparkSession)
     narrow = df.select(F.col(order).cast("double").alias("v"))
-    rows = narrow.count()
-    enough = SAMPLE_PER_CUT * buckets
-    if rows > 2 * enough:
-        narrow = narrow.sample(enough / rows, seed=0)
     probabilities = [i / buckets for i in range(1, buckets)]
-    found = narrow.agg(F.percentile_approx("v", probabilities, 2 * buckets).alias("cuts")).first()["cuts"]
-    return OrderCuts(sorted(set(found or [])), rows)
+    # The sketch is merged where the rows lie, and the count comes with it: one pass.
+    found = narrow.agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("v", probabilities, 2 * buckets).alias("cuts")).first()
+    return OrderCuts(sorted(set(found["cuts"] or [])), found["rows"])
 
 
 def bounded_broadcast(small: DataFrame, rows: int | None) -> DataFrame:

@@ -12,8 +12,8 @@ def render_chat(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
     """``(key, conversations)``: the closed turns of a conversation in order, as one string.
 
     The result is a single cell per conversation, so its turns must meet; each turn is rendered before the
-    exchange and only the finished string and its place travel.
+    exchange and only the finished string and its place travel. A null text or role is an empty one: the turn stays.
     """
-    rendered = turns.select(key, F.struct(F.col(order).alias("o"), message(F.col(role), F.col(text)).alias("m")).alias("_t"))
+    rendered = turns.select(key, F.struct(F.col(order).alias("o"), message(F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))).alias("m")).alias("_t"))
     chats = rendered.groupBy(key).agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
     return chats.select(key, F.array_join("_turns.m", "").alias("conversations"))

@@ -13,17 +13,17 @@ from pixelquilt.operators.vocab import token_strings
 def with_target_sizes(outputs: DataFrame, sizes: DataFrame | None, key: str, default: tuple[int, int]) -> DataFrame:
     """Attach ``(th, tw)`` per output: the default for all of them, or one row of ``sizes`` each.
 
-    An output without its size is an error.
+    An output without its size, with two, or a size without an output is an error.
     """
     if sizes is None:
         return outputs.withColumn("th", F.lit(default[0])).withColumn("tw", F.lit(default[1]))
     if set(sizes.columns) != {key, "th", "tw"}:
         raise ValueError("Target sizes need exactly a height and a width per output")
-    missing = F.raise_error(F.lit("An output sequence has no target size")).cast("int")
-    joined = outputs.join(sizes.withColumn("_sized", F.lit(True)), key, "left")
-    return joined.withColumns(
-        {c: F.when(F.col("_sized").isNull(), missing).otherwise(F.col(c)) for c in ("th", "tw")}
-    ).drop("_sized")
+    wrong = F.raise_error(F.lit("Outputs and target sizes do not match one to one")).cast("int")
+    single = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("_sizes"), F.first("th").alias("th"), F.first("tw").alias("tw"))
+    joined = outputs.withColumn("_output", F.lit(True)).join(single, key, "full")
+    matched = F.col("_output").isNotNull() & (F.coalesce("_sizes", F.lit(0)) == 1)
+    return joined.withColumns({c: F.when(matched, F.col(c)).otherwise(wrong) for c in ("th", "tw")}).drop("_sizes", "_output")
 
 
 def clean_outputs(outputs: DataFrame, key: str, ids: str, vocab: DataFrame, default: tuple[int, int]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,14 @@ def build_session(app: str = "pixelquilt", master: str | None = None, shuffle_pa
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new path below the cluster's shared ``spark.checkpoint.dir``.
+
+    Where that is unset, one machine alone takes a folder of its own; on a cluster, whose executors would not see it,
+    it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="pixelquilt-")
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir() + "/pixelquilt"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -21,12 +21,12 @@ def utc_ntz(instant: Column) -> Column:
     return F.convert_timezone(None, F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
-def windowed_meter(stream: DataFrame, key: str, ts: str, value: Column, window: str, watermark: str) -> DataFrame:
-    """Last value, sum, count and average per key and tumbling window."""
+def windowed_meter(stream: DataFrame, key: str, ts: str, value: Column, window: str, watermark: str, tie: str) -> DataFrame:
+    """Last value, sum, count and average per key and tumbling window. ``tie`` orders updates of one instant."""
     timed = stream.withColumn("_ts", _instant(stream, ts)).withColumn("_v", value)
     grouped = timed.withWatermark("_ts", watermark).groupBy(F.window("_ts", window).alias("_w"), key)
     meters = grouped.agg(
-        F.max_by("_v", "_ts").alias("meter_val"),
+        F.max_by("_v", F.struct("_ts", tie)).alias("meter_val"),
         F.sum("_v").alias("meter_sum"),
         F.count("_v").alias("meter_count"),
         F.avg("_v").alias("meter_avg"),

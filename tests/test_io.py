@@ -151,7 +151,7 @@ def test_stream_meter_keeps_state_between_triggers(spark, tmp_path):
             F.col("t").cast("timestamp_ntz").alias("ts"), "k", "v"
         ).coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schema).parquet(landing)
-        meter.drain_updates(meter.windowed_meter(stream, "k", "ts", F.col("v"), "1 hour", "1 hour"), out, log)
+        meter.drain_updates(meter.windowed_meter(stream, "k", "ts", F.col("v"), "1 hour", "1 hour", "v"), out, log)
 
     arrive([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 3.0)])
     arrive([("2024-01-01 00:30:00", "a", 8.0), ("2024-01-01 01:10:00", "b", 5.0)])

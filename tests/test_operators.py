@@ -380,11 +380,23 @@ def test_collate_orders_rows(spark):
     assert rows(got, "batch_id", "t") == [(0, "a-b"), (1, "c")]
 
 
-def test_real_tokenizer(spark):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    words = Tokenizer(models.WordLevel({"a": 3, "b": 4, "[UNK]": 0}, unk_token="[UNK]"))
-    words.pre_tokenizer = pre_tokenizers.Whitespace()
-    df = spark.createDataFrame([(1, "a b a"), (2, "zz")], "k int, t string")
-    got = df.select("k", batch_udfs.tokenizer_column(F.col("t"), words.to_str()).alias("ids"))
-    assert rows(got, "k", "ids") == [(1, [C.BOS_ID, 3, 4, 3]), (2, [C.BOS_ID, 0])]
+def test_null_patch_index_keeps_the_word(spark):
+    words = spark.createDataFrame([(1, 0, [1.0], None), (1, 1, [2.0], -1), (1, 2, [3.0], 0)], "sample_id int, pos int, vec array<double>, patch_idx int")
+    patches = spark.createDataFrame([(1, 0, [9.0])], "sample_id int, patch_idx int, vec array<double>")
+    got = features.overlay_embeddings(words, patches)
+    assert rows(got, "pos", "vec") == [(0, [1.0]), (1, [2.0]), (2, [9.0])]
+
+
+def test_null_turn_stays_in_the_chat(spark):
+    from pixelquilt.plans.chats import render_chat
+
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, None, "b")], "conv_id int, turn int, role string, text string")
+    assert render_chat(turns).first()["conversations"].count(C.END_OF_TURN) == 3
+
+
+@pytest.mark.parametrize("sizes", [[(1, 1, 1), (1, 2, 2), (2, 1, 1)], [(1, 1, 1), (2, 1, 1), (3, 1, 1)]])
+def test_sizes_match_outputs_one_to_one(spark, sizes):
+    outputs = spark.createDataFrame([(1,), (2,)], "k int")
+    given = spark.createDataFrame(sizes, "k int, th int, tw int")
+    with pytest.raises(Exception, match="one to one"):
+        postprocess.with_target_sizes(outputs, given, "k", (3, 4)).collect()
