@@ -132,7 +132,7 @@ def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
     spark = df.sparkSession
     task_batches(spark, BLOCK)
     vectors = whole_vectors(df, key, vector, scale)
-    width = vectors.agg(F.max(F.size("x"))).first()[0] or 0
+    width = max(1, vectors.agg(F.max(F.size("x"))).first()[0] or 0)
     chosen = choose_pivots(vectors, width, pivots)
     schema = "query_id long, neg_score long, vec_id long"
     if not len(chosen):
