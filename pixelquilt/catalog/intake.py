@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -83,6 +84,32 @@ def _route(spark, d):
     return routing.route_by_prefix(table(spark, d, "documents").select("doc_id", "source"), RULES)
 
 
+@query(
+    "route_files",
+    """SELECT 'hq' AS category, doc_id FROM documents UNION ALL SELECT 'hq', doc_id FROM labels
+UNION ALL SELECT 'text', doc_id FROM documents""",
+)
+def _route_files(spark, d):
+    """The tables' own files, by the prefixes of their names."""
+    rules = {"hq": ["docu", "doc", "lab"], "lq": [], "text": ["documents"], "math": ["none"]}
+    found = tables.scan_routed(spark, d, rules, T.StructType([T.StructField("doc_id", T.LongType())]))
+    parts = [rows.select(F.lit(category).alias("category"), "doc_id") for category, rows in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "ordered_samples",
+    f"""WITH s AS (SELECT row_number() OVER () - 1 AS row_order, text FROM documents), {sql_plan_main('plan', 's', 'row_order')}
+SELECT row_order, epoch, rank, batch_id, pos, md5(text) AS text_md5 FROM plan JOIN s USING (row_order)""",
+)
+def _ordered_samples(spark, d):
+    """Samples without an id: scanned, numbered by file and row, sharded, shuffled, batched."""
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("source", T.StringType())])
+    samples = tables.with_row_order(tables.scan_samples(spark, d, schema, "documents.parquet*"))
+    rows = plan_main(samples, "row_order", 4, BATCH_SIZE, 42).join(samples, "row_order")
+    return rows.select("row_order", "epoch", "rank", "batch_id", "pos", F.md5("text").alias("text_md5"))
+
+
 @query(
     "resolve_image_ref",
     f"""SELECT page_id, CASE WHEN u IS NULL OR trim(u, ' ' || chr(9)) = '' THEN NULL
@@ -146,11 +173,11 @@ SELECT conv_id, epoch, rank, batch_id, pos, m AS n_ids, n_real, {sql_digest(sql_
  {sql_digest(sql_last_bos('ids', 'labels'))} AS labels_md5 FROM lab"""
 
 
-def text_batches(spark, d):
+def text_batches(spark, d, arrange=None):
     """The text-only training path: chats to padded, labelled batch rows."""
     chats = render_chat(table(spark, d, "conversations"))
     plan = plan_main(chats, "conv_id", 4, BATCH_SIZE, 42)
-    return encode_text_batches(chats, plan, "conv_id", "conversations", 1024)
+    return encode_text_batches(chats, plan, "conv_id", "conversations", 1024, arrange=arrange)
 
 
 def summarised(rows, key):
@@ -175,7 +202,7 @@ def _text_batches(spark, d):
 @query("write_samples", _TEXT_BATCHES)
 def _write_samples(spark, d):
     path = scratch_path(spark, "samples")
-    tables.write_samples(text_batches(spark, d), path)
+    tables.write_samples(text_batches(spark, d, tables.arrange_batches), path, arranged=True)
     written = spark.read.parquet(path).withColumns({c: F.col(c).cast("bigint") for c in ("epoch", "rank")})
     return summarised(written, "conv_id")
 

@@ -42,9 +42,26 @@ def _docs(spark, d):
     return doc_texts(spark, d)
 
 
-def _placed(spark, d):
+def _placed(spark, d, **lengths):
+    """Texts at their places, with batch maxima of ``lengths``: these are found on narrow rows, and the text is the
+    last to move. Arrays are made where it arrives."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return keyed(plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED), "doc_id").join(docs, "doc_id")
+    plan = plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED)
+    known = plan.join(docs.select("doc_id", *[n.alias(f"_own_{name}") for name, n in lengths.items()]), "doc_id")
+    placed = B.with_batch_max(known, {name: F.col(f"_own_{name}") for name in lengths})
+    return keyed(placed.drop(*[f"_own_{name}" for name in lengths]), "doc_id").join(docs, "doc_id")
+
+
+def _placed_texts(spark, d):
+    return _placed(spark, d, ids_len=T.text_length(F.col("text"), 1024)).withColumn("input_ids", T.encode_text(F.col("text"), 1024)).drop("text")
+
+
+def _placed_images(spark, d):
+    n = T.clipped_length(F.col("text"), MAX_LENGTH) + T.TEMPLATE_LENGTH
+    return _image_rows(_placed(spark, d, ids_len=n, patch_len=T.reserved_length(n)))
+
+
+_LENGTHS = {"ids_len": "ids_len", "patch_len": "patch_len", "patches": "image_patches_indices"}
 
 
 _PLAN = sql_plan_main("plan", "documents", "doc_id")
@@ -92,8 +109,7 @@ m AS (SELECT *, max(len(ids)) {_OVER} AS m FROM enc)
 SELECT doc_id, m AS n, len(ids) AS n_real, {sql_digest(sql_pad_right('ids', 'm', C.PAD_ID))} AS ids_md5 FROM m""",
 )
 def _encode_text(spark, d):
-    rows = _placed(spark, d).withColumn("input_ids", T.encode_text(F.col("text"), 1024)).drop("text")
-    padded = B.pad_right(rows)
+    padded = B.pad_right(_placed_texts(spark, d), ids_len="ids_len")
     return padded.select(
         "doc_id",
         length(F.col("input_ids")).alias("n"),
@@ -172,7 +188,7 @@ _ONES = "list_transform(ids, lambda x: 1)"
 
 
 def padded_rows(spark, d):
-    return B.pad_right(_image_rows(_placed(spark, d)), patches="image_patches_indices")
+    return B.pad_right(_placed_images(spark, d), **_LENGTHS)
 
 
 @query(
@@ -194,7 +210,7 @@ _LEFT = f"""SELECT doc_id, {sql_pad_left('ids', 'mi', C.PAD_ID)} AS ids, {sql_pa
  {sql_digest('patches')} AS patches_md5, {sql_digest('mask')} AS attention_mask_md5 FROM ({_LEFT})""",
 )
 def _pad_left(spark, d):
-    padded = B.pad_left(_image_rows(_placed(spark, d)), patches="image_patches_indices")
+    padded = B.pad_left(_placed_images(spark, d), **_LENGTHS)
     return _arrays(padded, "attention_mask")
 
 
@@ -204,7 +220,7 @@ def _pad_left(spark, d):
  {sql_digest('patches[1:len(patches) - 1]')} AS patches_md5, {sql_digest('mask[1:len(mask) - 1]')} AS attention_mask_md5 FROM ({_LEFT})""",
 )
 def _generation_trim(spark, d):
-    padded = B.pad_left(_image_rows(_placed(spark, d)), patches="image_patches_indices")
+    padded = B.pad_left(_placed_images(spark, d), **_LENGTHS)
     return _arrays(B.generation_trim(padded), "attention_mask")
 
 
@@ -245,8 +261,10 @@ SELECT doc_id, m AS n, {sql_digest(sql_pad_right('kept', 'm', C.PAD_ID))} AS ids
  {sql_digest(sql_pad_right('list_transform(kept, lambda x: 1)', 'm', 0))} AS mask_md5 FROM m""",
 )
 def _drop_token(spark, d):
-    rows = _placed(spark, d).withColumn("input_ids", T.encode_text(F.col("text"), 1024)).drop("text")
-    dropped = B.drop_token(B.with_labels(B.pad_right(rows)), C.EOS_ID)
+    ids = T.encode_text(F.col("text"), 1024)
+    kept = F.size(F.filter(ids, lambda x: x != C.EOS_ID))
+    rows = _placed(spark, d, ids_len=T.text_length(F.col("text"), 1024), kept_len=kept).withColumn("input_ids", ids).drop("text")
+    dropped = B.drop_token(B.with_labels(B.pad_right(rows, ids_len="ids_len")), C.EOS_ID, kept_len="kept_len")
     return dropped.select(
         "doc_id",
         length(F.col("input_ids")).alias("n"),
@@ -265,8 +283,7 @@ c AS (SELECT doc_id, i, CASE WHEN k = 0 THEN 1 ELSE sum(k) OVER (PARTITION BY do
 SELECT doc_id, md5(string_agg(p::BIGINT::VARCHAR, ' ' ORDER BY i)) AS positions_md5, max_by(p, i)::BIGINT AS last FROM c GROUP BY doc_id""",
 )
 def _position_ids(spark, d):
-    rows = _placed(spark, d).withColumn("input_ids", T.encode_text(F.col("text"), 1024)).drop("text")
-    masks = B.pad_left(rows).select("doc_id", "attention_mask")
+    masks = B.pad_left(_placed_texts(spark, d), ids_len="ids_len").select("doc_id", "attention_mask")
     last = F.element_at(T.position_ids(F.col("attention_mask"), True), 1).cast("bigint")
     return masks.select("doc_id", digest(T.position_ids(F.col("attention_mask"))).alias("positions_md5"), last.alias("last"))
 

@@ -28,32 +28,49 @@ def with_batch_max(df: DataFrame, lengths: dict[str, Column], keys: list[str] =
     return df.withColumns({name: F.max(length).over(window) for name, length in lengths.items()})
 
 
-def _pad_batch(df: DataFrame, keys: list[str], ids: str, patches: str | None, left: bool, pad_id: int) -> DataFrame:
+def _pad_batch(df: DataFrame, keys: list[str], ids: str, patches: str | None, left: bool, pad_id: int, ids_len: str | None, patch_len: str | None) -> DataFrame:
     pad = T.pad_left if left else T.pad_right
-    lengths = {"_ids_len": F.size(ids)}
-    if patches:
+    lengths = {} if ids_len else {"_ids_len": F.size(ids)}
+    if patches and not patch_len:
         lengths["_patch_len"] = F.size(patches)
-    sized = with_batch_max(df, lengths, keys)
+    sized = with_batch_max(df, lengths, keys) if lengths else df
+    ids_to, patches_to = F.col(ids_len or "_ids_len"), F.col(patch_len or "_patch_len")
     # The mask is made from the unpadded ids, so it comes first.
-    padded = sized.withColumn("attention_mask", pad(T.ones(F.col(ids)), F.col("_ids_len"), 0))
-    padded = padded.withColumn(ids, pad(F.col(ids), F.col("_ids_len"), pad_id))
+    padded = sized.withColumn("attention_mask", pad(T.ones(F.col(ids)), ids_to, 0))
+    padded = padded.withColumn(ids, pad(F.col(ids), ids_to, pad_id))
     if patches:
-        padded = padded.withColumn(patches, pad(F.col(patches), F.col("_patch_len"), C.NO_PATCH))
+        padded = padded.withColumn(patches, pad(F.col(patches), patches_to, C.NO_PATCH))
     return padded.drop(*lengths)
 
 
 def pad_right(
-    df: DataFrame, keys: list[str] = BATCH, ids: str = "input_ids", patches: str | None = None, pad_id: int = C.PAD_ID
+    df: DataFrame,
+    keys: list[str] = BATCH,
+    ids: str = "input_ids",
+    patches: str | None = None,
+    pad_id: int = C.PAD_ID,
+    ids_len: str | None = None,
+    patch_len: str | None = None,
 ) -> DataFrame:
-    """Pad ids and mask to the longest ids of the batch, the patch index to its own longest."""
-    return _pad_batch(df, keys, ids, patches, False, pad_id)
+    """Pad ids and mask to the longest ids of the batch, the patch index to its own longest.
+
+    ``ids_len`` and ``patch_len`` name columns with these lengths where they are known, as ``with_batch_max`` finds
+    them on narrow rows. Then nothing is moved; otherwise the rows with their arrays meet by batch.
+    """
+    return _pad_batch(df, keys, ids, patches, False, pad_id, ids_len, patch_len)
 
 
 def pad_left(
-    df: DataFrame, keys: list[str] = BATCH, ids: str = "input_ids", patches: str | None = None, pad_id: int = C.PAD_ID
+    df: DataFrame,
+    keys: list[str] = BATCH,
+    ids: str = "input_ids",
+    patches: str | None = None,
+    pad_id: int = C.PAD_ID,
+    ids_len: str | None = None,
+    patch_len: str | None = None,
 ) -> DataFrame:
     """The same with the padding in front, for generation."""
-    return _pad_batch(df, keys, ids, patches, True, pad_id)
+    return _pad_batch(df, keys, ids, patches, True, pad_id, ids_len, patch_len)
 
 
 def generation_trim(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -82,15 +99,19 @@ def drop_token(
     labels: str = "labels",
     mask: str = "attention_mask",
     pad_id: int = C.PAD_ID,
+    kept_len: str | None = None,
 ) -> DataFrame:
-    """Remove one id everywhere, then pad the three arrays of the batch to their new longest."""
+    """Remove one id everywhere, then pad the three arrays of the batch to their new longest.
+
+    ``kept_len`` names a column with that length where it is known; then nothing is moved.
+    """
     names = (ids, labels, mask)
     zipped = F.filter(F.arrays_zip(*names), lambda z: z[ids] != token)
     # The three arrays are read off in a step of their own: each depends on the ids as they were.
     removed = df.withColumn("_kept", zipped).withColumns({c: F.col(f"_kept.{c}") for c in names}).drop("_kept")
-    sized = with_batch_max(removed, {"_len": F.size(ids)}, keys)
+    sized = removed if kept_len else with_batch_max(removed, {"_len": F.size(ids)}, keys)
     fills = {ids: pad_id, labels: C.IGNORED_LABEL, mask: 0}
-    return sized.withColumns({c: T.pad_right(F.col(c), F.col("_len"), v) for c, v in fills.items()}).drop("_len")
+    return sized.withColumns({c: T.pad_right(F.col(c), F.col(kept_len or "_len"), v) for c, v in fills.items()}).drop("_len")
 
 
 def pair_inputs(prompts: DataFrame, images: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ The 2098 constants of the image template are added after that last exchange.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,22 @@ from pixelquilt.operators.ordinals import keyed
 
 
 def encode_text_batches(
-    samples: DataFrame, plan: DataFrame, key: str, text: str, max_length: int, batch: list[str] = B.BATCH
+    samples: DataFrame,
+    plan: DataFrame,
+    key: str,
+    text: str,
+    max_length: int,
+    batch: list[str] = B.BATCH,
+    arrange: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Text-only training rows: ids, mask and labels of one length per batch."""
+    """Text-only training rows: ids, mask and labels of one length per batch.
+
+    ``arrange`` moves the texts and their places to where they are written, before they become arrays.
+    """
     lengths = samples.select(key, T.text_length(F.col(text), max_length).alias("_n"))
     placed = B.with_batch_max(plan.join(lengths, key), {"_ids_len": F.col("_n")}, batch).drop("_n")
     rows = keyed(placed, key).join(samples.select(key, text), key)
+    rows = arrange(rows) if arrange else rows
     encoded = rows.withColumn("input_ids", T.encode_text(F.col(text), max_length)).drop(text)
     return _finish(_pad_to(encoded, "_ids_len"))
 

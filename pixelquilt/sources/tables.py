@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelquilt.operators.routing import matching_categories
-
 SAMPLE_SCHEMA = T.StructType(
     [
         T.StructField("image_url", T.StringType()),
@@ -47,31 +47,46 @@ def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
-def list_parquet_names(spark: SparkSession, directory: str) -> DataFrame:
-    """Name and path of the parquet files directly in a directory; file content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory).select("path")
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+def _name_pattern(prefixes: list[str]) -> str:
+    """A file name pattern for parquet files that begin with one of the prefixes."""
+    plain = [re.sub(r"([\\*?\[\]{},])", r"\\\1", p) for p in prefixes]
+    return "{" + ",".join(plain) + "}*.parquet"
 
 
 def scan_routed(
     spark: SparkSession, directory: str, rules: dict[str, list[str]], schema: T.StructType = SAMPLE_SCHEMA
 ) -> dict[str, DataFrame]:
-    """One table per category from the files whose names match it; a category without files is empty.
+    """One table per category from the files directly in a directory whose names match it; a category without files
+    is empty.
 
-    Only paths reach the driver, which Spark's own file index needs there as well. Each file is read once per
-    category, however many of the category's prefixes it matches.
+    The scan itself filters the names, so a file is read once per category, however many of the category's prefixes
+    it matches, and no path is collected.
     """
-    listed = list_parquet_names(spark, directory)
-    hits = listed.withColumn("category", F.explode(matching_categories(F.col("name"), rules)))
-    paths: dict[str, list[str]] = {category: [] for category in rules}
-    for row in hits.orderBy("path").collect():
-        paths[row["category"]].append(row["path"])
     return {
-        category: spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
-        for category, found in paths.items()
+        category: spark.read.schema(schema).option("pathGlobFilter", _name_pattern(prefixes)).parquet(directory)
+        if prefixes
+        else spark.createDataFrame([], schema)
+        for category, prefixes in rules.items()
     }
 
 
+def with_row_order(df: DataFrame, out: str = "row_order") -> DataFrame:
+    """Number the rows of a parquet scan in file order: files by path, rows by their place in the file.
+
+    Gives samples without an id the unique numeric key that shards, shuffles and batches need. Numbers begin at 0 and
+    have no gaps; of a filtered scan they keep order and stay unique. Nothing is sorted but the table of files.
+    """
+    names = {c.lower() for c in df.columns}
+    path, place, before = (next(n for n in (f"_{stem}{'_' * i}" for i in range(len(names) + 1)) if n not in names) for stem in ("file", "place", "before"))
+    where = F.col("_metadata.file_path").alias(path)
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], where, F.col("_metadata.row_index").alias(place))
+    files = df.select(where, F.col("_metadata.row_index").alias(place)).groupBy(path).agg((F.max(place) + 1).alias("_rows"))
+    # One row for each file.
+    earlier = Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select(path, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(before))
+    return rows.join(offsets, path).withColumn(out, F.col(place) + F.col(before)).drop(path, place, before)
+
+
 def cached_scan(df: DataFrame, path: str | None = None) -> DataFrame:
     """Keep a scan for reuse: a written table where a path is given (it survives lost executors), else on disk."""
     if path is None:
@@ -80,19 +95,23 @@ def cached_scan(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_samples(df: DataFrame, path: str, batches_per_file: int = 4096) -> None:
-    """Batched rows by epoch and rank; files hold runs of consecutive batches, in order.
+def arrange_batches(df: DataFrame, batches_per_file: int = 4096) -> DataFrame:
+    """Rows where ``write_samples`` writes them: by epoch, rank and run of consecutive batches, in order.
 
     A rank is split into runs of batches, so that no task writes a whole rank. Small runs may share a file.
     """
     run = F.floor(F.col("batch_id") / batches_per_file)
-    (
-        df.repartition("epoch", "rank", run)
-        .sortWithinPartitions("epoch", "rank", "batch_id", "pos")
-        .write.partitionBy("epoch", "rank")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, "epoch", "rank", run).sortWithinPartitions("epoch", "rank", "batch_id", "pos")
+
+
+def write_samples(df: DataFrame, path: str, batches_per_file: int = 4096, arranged: bool = False) -> None:
+    """Batched rows by epoch and rank; files hold runs of consecutive batches, in order.
+
+    ``arranged``: the rows went through ``arrange_batches`` while they were narrow and are written where they are.
+    """
+    rows = df if arranged else arrange_batches(df, batches_per_file)
+    rows.write.partitionBy("epoch", "rank").mode("overwrite").parquet(path)
 
 
 def metric_log(records: DataFrame, path: str) -> None:

@@ -9,15 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pixelquilt.functions import tokens as K
 from pixelquilt.functions.prompts import caption_prompt
-from pixelquilt.operators.routing import route_by_prefix
+from pixelquilt.operators.routing import matching_categories
 
 
 def prompt_rows(samples: DataFrame, rules: dict[str, list[str]], key: str, text: str, max_length: int, seed: int) -> DataFrame:
-    """Route, render, tokenise, clip and label each row on its own. Works on batch and streaming tables."""
-    routed = route_by_prefix(samples, rules)
-    prompted = routed.withColumn("_prompt", caption_prompt(F.col(text), F.col(key), seed))
+    """Render, tokenise, clip and label each row that has a category, then route it. Works on batch and streaming
+    tables; a row of several categories is tokenised once."""
+    wanted = samples.withColumn("_categories", matching_categories(F.col("source"), rules)).filter(F.size("_categories") > 0)
+    prompted = wanted.withColumn("_prompt", caption_prompt(F.col(text), F.col(key), seed))
     clipped = prompted.withColumn("input_ids", K.tokenize_clipped(F.col("_prompt"), max_length))
-    return clipped.withColumn("labels", K.label_mask(F.col("input_ids"))).select(key, "category", "input_ids", "labels")
+    labelled = clipped.withColumn("labels", K.label_mask(F.col("input_ids")))
+    return labelled.select(key, F.explode("_categories").alias("category"), "input_ids", "labels")
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:

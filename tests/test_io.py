@@ -51,6 +51,52 @@ def test_scan_is_not_recursive(spark, tmp_path):
     assert tables.scan_samples(spark, str(folder)).count() == 1
 
 
+def test_scan_routed_takes_names_literally(spark, tmp_path):
+    for name in ("a{b.parquet", "ab.parquet", "a,c.parquet"):
+        folder = one_file(spark, tmp_path, name, [(name, "chat", "s")])
+    (folder / "deep").mkdir()
+    shutil.copy(folder / "ab.parquet", folder / "deep" / "abc.parquet")
+    found = tables.scan_routed(spark, str(folder), {"x": ["a{", "a,"], "y": ["ab"]})
+    assert sorted(r["image_url"] for r in found["x"].collect()) == ["a,c.parquet", "a{b.parquet"]
+    assert [r["image_url"] for r in found["y"].collect()] == ["ab.parquet"]
+
+
+def test_row_order_over_files(spark, tmp_path):
+    for name, n in (("b.parquet", 3), ("a.parquet", 2), ("c.parquet", 0), ("d.parquet", 2)):
+        folder = one_file(spark, tmp_path, name, [(f"{name}{i}", "chat", "s") for i in range(n)])
+    scan = tables.scan_samples(spark, str(folder))
+    got = {r["row_order"]: r["image_url"] for r in tables.with_row_order(scan).collect()}
+    expected = [f"{name}{i}" for name, n in (("a.parquet", 2), ("b.parquet", 3), ("d.parquet", 2)) for i in range(n)]
+    assert got == dict(enumerate(expected))
+    part = tables.with_row_order(scan.filter("image_url <> 'b.parquet1'").withColumn("_file", F.lit(1)))
+    assert [r["image_url"] for r in part.orderBy("row_order").collect()] == [e for e in expected if e != "b.parquet1"]
+    assert part.columns == [*scan.columns, "_file", "row_order"]
+
+
+def _exchanged(plan):
+    """Schemas of the rows that exchanges move."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    own = [plan.schema().simpleString()] if plan.nodeName() == "Exchange" else []
+    children = plan.children()
+    return own + [s for i in range(children.size()) for s in _exchanged(children.apply(i))]
+
+
+@pytest.mark.parametrize("name", ["pad_right", "pad_left", "generation_trim", "encode_text", "drop_token", "position_ids"])
+def test_no_exchange_moves_padded_arrays(spark, name):
+    from pixelquilt.catalog import QUERIES
+
+    moved = _exchanged(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan())
+    assert moved and not any("array<int>" in schema for schema in moved)
+
+
+def test_write_samples_moves_texts_only(spark):
+    from pixelquilt.catalog.intake import text_batches
+
+    plan = text_batches(spark, SF, tables.arrange_batches)._jdf.queryExecution().executedPlan()
+    assert not any("array<int>" in schema for schema in _exchanged(plan))
+
+
 def test_spread_only_small_inputs(spark):
     docs = tables.scan_samples(spark, SF, None, "documents.parquet")
     assert tables.spread(docs, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
