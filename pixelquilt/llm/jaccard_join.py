@@ -278,13 +278,16 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
     if crowded.isEmpty():
         return known
     codes = sets.select("row", "c")
+    roots = _label(known.select("a", "b"))
     for turn in range(STAR_ROUNDS + 1):
-        roots = _label(known)
         at = codes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("c", F.coalesce("root", "row").alias("root"))
         placed = crowded.join(at, "c")
         # The centre of a column: the row of the smallest hash.
         order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("c"), F.col("n").alias("n"), F.col("root").alias("root"))
         spread = placed.groupBy("gram").agg(F.min(order).alias("centre"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("gram", "centre")
+        spread = stage(spread, "spread")
+        if spread.isEmpty():  # every frequent column lies in one component
+            return known
         outside = placed.join(spread, "gram").filter("root <> centre.root")
         if turn < STAR_ROUNDS:
             met = outside.filter(_close("n", "centre.n", percent)).select(F.col("c").alias("c1"), F.col("centre.c").alias("c2"))
@@ -294,7 +297,11 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
             others = placed.select("gram", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
             met = mine.join(others, "gram").filter((F.col("root1") != F.col("root2")) & _close("n1", "n2", percent)).select("c1", "c2")
         met = met.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
-        known = stage(known.unionByName(_verified(met, sets, percent)), "links")
+        new = stage(_verified(met, sets, percent), "links")
+        known = known.unionByName(new)
+        if turn < STAR_ROUNDS and not new.isEmpty():
+            # Stars around the roots connect what the links so far do.
+            roots = _label(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new.select("a", "b")))
     return known
 
 
