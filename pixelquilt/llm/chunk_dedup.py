@@ -1,9 +1,15 @@
-"""Repeated passages, found by content-defined chunks.
-
-A gear hash rolls over the bytes of a text; where its top bits are zero, the chunk ends at the next white space. The
-hash depends on the last 32 bytes alone, so cuts return to the same places soon after an insertion, and a passage has
-the same inner chunks wherever it stands. A chunk whose digest occurs before, in the order of (key, place), repeats;
-runs of repeating chunks with enough words are taken out, the first occurrence stays.
+"""Repeated passages, found by content-defined chunks and, at their edges, word by word.
+
+A passage repeats if MIN_WORDS words or more, with the white space between them, stand at an earlier place, in the order
+of (key, place). Every window of MIN_WORDS words whose content occurs before goes, so a passage goes up to its true
+ends; the first occurrence stays.
+
+Not every window is compared. The smallest hash of the half-windows in a window is its anchor: equal windows have equal
+anchors, so only windows whose anchor occurs twice matter. Those that begin in the same chunk are compared as one unit
+first. A gear hash rolls over the bytes of a text; where its top bits are zero, the chunk ends at the next white space.
+It depends on the last 32 bytes alone, so a passage has the same inner units wherever it stands. A unit that occurs
+before repeats as a whole. Windows of the other units, at the edges and in first occurrences, are compared on their own.
+The first occurrence of a window is never in a repeating unit, so none is missed.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pixelquilt.llm.registry import query
 CUT_BITS = 5
 #: Bytes that a cut waits for white space.
 PATIENCE = 64
-#: Words that a run of repeating chunks needs to be taken out.
+#: Words that a passage needs to be taken out.
 MIN_WORDS = 16
 
 WINDOW = 32
@@ -31,6 +37,10 @@ GEAR = np.array([0] + [xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(1, 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: For each half of a digest: values of the bytes by rule, and the base of the polynomial.
+VALUES = [np.array([xxhash.xxh64_intdigest(bytes([b]), seed) for b in range(256)], dtype=np.uint64) for seed in (2, 3)]
+BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
     """h_i = sum of G[b_(i-j)] << j over the last 32 bytes, by doubling the span five times."""
@@ -59,26 +69,89 @@ def cuts_of(data: np.ndarray) -> np.ndarray:
     return np.unique(np.append(ends[(ends > 0) & (ends < n)], n)) if n else np.zeros(0, np.int64)
 
 
-def chunks_of(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Bytes of a text, ends of its chunks and how many words begin in each."""
-    raw = (text or "").encode("utf-8")
-    data = np.frombuffer(raw, np.uint8)
-    ends = cuts_of(data)
-    if not len(ends):
-        return raw, ends, ends
-    space = _SPACE[data]
-    begins = ~space & np.concatenate([[True], space[:-1]])
-    upto = np.cumsum(begins)[ends - 1]
-    return raw, ends, np.diff(np.concatenate([[0], upto]))
-
-
-def digests_of(raw: bytes, ends: np.ndarray) -> np.ndarray:
-    """Two 64-bit halves of each chunk's digest."""
-    view, digest, at, out = memoryview(raw), xxhash.xxh3_128_digest, 0, []
-    for end in ends.tolist():
-        out.append(digest(view[at:end]))
-        at = end
-    return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, remembered up to the longest text so far."""
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.multiply.accumulate(steps)
+    return _POWERS[base][:n]
+
+
+def _sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
+    """pick (minimum or maximum) of every ``width`` neighbours, by doubling the span."""
+    out, span = values, 1
+    while 2 * span <= width:
+        out, span = pick(out[:-span], out[span:]), 2 * span
+    rest = width - span
+    return pick(out[:-rest], out[rest:]) if rest else out
+
+
+class Windows:
+    """The windows of ``width`` words of a text, with ``anchors`` (the hash that each window has at least)."""
+
+    def __init__(self, text: str | None, width: int):
+        self.raw, self.width = (text or "").encode("utf-8"), width
+        self.data = np.frombuffer(self.raw, np.uint8)
+        space = np.concatenate([[True], _SPACE[self.data], [True]])
+        turns = np.flatnonzero(space[1:] != space[:-1])
+        #: Bytes at which words begin and end.
+        self.starts, self.ends = turns[::2], turns[1::2]
+        self.n = max(len(self.starts) - width + 1, 0)
+        if not self.n:
+            self.anchors = np.zeros(0, np.int64)
+            return
+        self._sums: dict[int, np.ndarray] = {}
+        half = max(width // 2, 1)
+        self._grams = self._digest(0, self.starts[: len(self.starts) - half + 1], self.ends[half - 1 :])
+        self._least = _sliding(np.minimum, self._grams, width - half + 1)
+        self.anchors = self._least.view(np.int64)
+
+    def _digest(self, which: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(self.data)
+        if which not in self._sums:
+            terms = VALUES[which][self.data] * _powers(BASES[which], n)
+            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        sums, back = self._sums[which], _powers(pow(BASES[which], -1, 1 << 64), n)
+        return _mixed((sums[end] - sums[begin]) * back[begin])
+
+    def chosen(self, windows: np.ndarray | None = None) -> np.ndarray:
+        """The anchors of all windows or of those that are true in ``windows``, once for each place."""
+        if not self.n:
+            return self.anchors
+        least = self._least if windows is None else np.where(windows, self._least, np.uint64(0))
+        reach = len(self._grams) - self.n + 1
+        edge = np.zeros(reach - 1, np.uint64)
+        return self._grams[_sliding(np.maximum, np.concatenate([edge, least, edge]), reach) == self._grams].view(np.int64)
+
+    def digest(self, which: int, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Half of the digest of the text of the windows from ``first`` up to before ``after``."""
+        return self._digest(which, self.starts[first], self.ends[after + self.width - 2]).view(np.int64)
+
+    def units(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First windows and ends of the units with a marked anchor, and which windows have one."""
+        marked = in_bitmap(marks, self.anchors)
+        if not marked.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), marked
+        chunk = np.searchsorted(cuts_of(self.data), self.starts[: self.n], "right")
+        first = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1])
+        after = np.append(first[1:], self.n)
+        some = np.logical_or.reduceat(marked, first)
+        return first[some], after[some], marked
+
+
+def _places(doc: int, first: np.ndarray) -> np.ndarray:
+    """A hash of the place of a unit."""
+    return _mixed(_mixed(first.astype(np.uint64)) ^ np.uint64(doc & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
 
 def _identity(key: Column, text: Column) -> Column:
@@ -86,69 +159,114 @@ def _identity(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
-def _digests(rows: DataFrame) -> DataFrame:
-    def split(batches):
+def _each(rows: DataFrame, name: str, find) -> DataFrame:
+    """One column of 64-bit numbers: all that ``find(doc, text)`` gives for ``doc, text``."""
+
+    def numbers(batches):
         for batch in batches:
-            found = [digests_of(*chunks_of(t)[:2])[:, 0] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["d"])
+            found = [find(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], [name])
 
-    return rows.mapInArrow(split, "d long")
+    return rows.select("doc", "text").mapInArrow(numbers, f"{name} long")
 
 
-def _marked_chunks(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``key, doc, idx, d1, d2`` of the chunks whose digest may occur again."""
+_COLUMNS = ["idx", "n", "d1", "d2", "place"]
+
+
+def _spans(rows: DataFrame, find) -> DataFrame:
+    """``key, doc, idx, n, d1, d2, place``: n windows from word idx on, as ``find(doc, text)`` gives them."""
     kind = rows.schema["key"].dataType.simpleString()
-    held = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-    def split(batches):
-        marks = held.value
+    def spans(batches):
         for batch in batches:
-            row, number, halves = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                raw, ends, _ = chunks_of(text)
-                both = digests_of(raw, ends)
-                kept = np.flatnonzero(in_bitmap(marks, both[:, 0].copy()))
-                row.append(np.full(len(kept), i))
-                number.append(kept)
-                halves.append(both[kept])
-            rows_, numbers = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, number))
-            pairs = np.concatenate(halves) if halves else np.zeros((0, 2), np.int64)
-            taken = pa.array(rows_, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(numbers, pa.int32()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["key", "doc", "idx", "d1", "d2"])
-
-    return rows.mapInArrow(split, f"key {kind}, doc long, idx int, d1 long, d2 long")
-
-
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, doc, places``: for every document with any, the numbers of its chunks that occur before."""
+            found = [find(d, t) for d, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            taken = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
+            parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 5)]
+            columns = [pa.array(p.astype(np.int32 if i < 2 else np.int64)) for i, p in enumerate(parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *columns], ["key", "doc", *_COLUMNS])
+
+    return rows.mapInArrow(spans, f"key {kind}, doc long, idx int, n int, d1 long, d2 long, place long")
+
+
+def _judged(spans: DataFrame, width: int) -> DataFrame:
+    """``spans`` with ``later``: whether the content occurs before. What overlaps its own first occurrence does not count."""
+    at = F.struct("key", "doc", "idx")
+    owners = spans.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
+    # Staged, so that the join reads two plain exchanges, whose frequent digests adaptive execution splits.
+    owners = stage(owners, "owners")
+    same = F.struct("key", "doc").eqNullSafe(F.struct(F.col("first.key"), F.col("first.doc")))
+    later = F.col("first").isNotNull() & (~same | (F.col("idx") >= F.col("first.idx") + width))
+    return spans.join(owners, ["d1", "d2"], "left").select("key", "doc", "idx", "n", "place", later.alias("later"))
+
+
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, doc, places``: for every document with any, the spans of its words (first, end) that occur before."""
     task_batches(df.sparkSession)
+    context = df.sparkSession.sparkContext
     rows = df.select(F.col(key).alias("key"), _identity(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    twice = _digests(rows.select("text")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    chunks = stage(_marked_chunks(rows, bitmap_of(twice, F.col("d"), hashed=True)), "chunks")
-    place = F.struct("key", "doc", "idx")
-    owners = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
-    later = chunks.join(owners, ["d1", "d2"]).filter(place != F.col("first"))
-    # The chunks of one document, at most.
-    return later.groupBy("key", "doc").agg(F.sort_array(F.collect_set("idx")).alias("places"))
 
+    def twice(numbers: DataFrame):
+        more = numbers.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return context.broadcast(bitmap_of(more, F.col("d"), hashed=True))
+
+    anchors = twice(_each(rows, "d", lambda doc, t: Windows(t, min_words).chosen()))
+
+    def units(doc, t):
+        w = Windows(t, min_words)
+        first, after, _ = w.units(anchors.value)
+        if not len(first):
+            return [first] * 5
+        return first, after - first, w.digest(0, first, after), w.digest(1, first, after), _places(doc, first)
+
+    judged = stage(_judged(stage(_spans(rows, units), "units"), min_words), "judged-units")
+    own = context.broadcast(bitmap_of(judged.filter("NOT later"), F.col("place"), hashed=True))
+
+    def open_windows(doc, t):
+        """Windows with a marked anchor, outside of repeating units."""
+        w = Windows(t, min_words)
+        first, after, marked = w.units(anchors.value)
+        kept = in_bitmap(own.value, _places(doc, first))
+        inside = np.zeros(w.n + 1, np.int64)
+        inside[first[kept]] += 1
+        inside[after[kept]] -= 1
+        return w, marked & (np.cumsum(inside)[:-1] > 0)
+
+    def open_anchors(doc, t):
+        w, some = open_windows(doc, t)
+        return w.chosen(some) if some.any() else np.zeros(0, np.int64)
+
+    again = twice(_each(rows, "d", open_anchors))
+
+    def windows(doc, t):
+        w, some = open_windows(doc, t)
+        at = np.flatnonzero(some)
+        at = at[in_bitmap(again.value, w.anchors[at])]
+        return (at, np.ones_like(at), w.digest(0, at, at + 1), w.digest(1, at, at + 1), np.zeros_like(at)) if len(at) else [at] * 5
 
-def runs(places, ends: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Byte spans of runs of neighbouring chunks with enough words."""
-    at = np.asarray(places, dtype=np.int64)
-    if not len(at):
-        return []
-    parts = np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)
-    starts = np.concatenate([[0], ends])
-    return [(int(starts[p[0]]), int(ends[p[-1]])) for p in parts if words[p[0] : p[-1] + 1].sum() >= min_words]
+    edges = _judged(stage(_spans(rows, windows), "windows"), min_words)
+    later = judged.unionByName(edges).filter("later").select("key", "doc", F.struct(F.col("idx").alias("at"), (F.col("idx") + F.col("n") + (min_words - 1)).alias("upto")).alias("span"))
+    # The units and windows of one document, at most.
+    return later.groupBy("key", "doc").agg(F.sort_array(F.collect_set("span")).alias("places"))
 
 
 def without(text: str, places, min_words: int = MIN_WORDS) -> str:
-    raw, ends, words = chunks_of(text)
-    kept, at = [], 0
-    for start, end in runs(places, ends, words, min_words):
-        kept.append(raw[at:start])
-        at = end
-    return (b"".join(kept) + raw[at:]).decode("utf-8").lstrip(" ") if at else text
+    """A text without spans of its words, given in order; they may overlap. The white space after a span goes with it."""
+    w = Windows(text, min_words)
+    total, kept, done = len(w.starts), [], 0
+    joined: list[list[int]] = []
+    for at, upto in places:
+        if joined and at <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], upto)
+        else:
+            joined.append([at, upto])
+    for at, upto in joined:
+        if upto < total:
+            begin, end = w.starts[at] if at else 0, w.starts[upto]
+        else:
+            begin, end = (w.ends[at - 1], w.ends[-1]) if at else (0, len(w.raw))
+        kept.append(w.raw[done:begin])
+        done = end
+    return (b"".join(kept) + w.raw[done:]).decode("utf-8")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -158,7 +276,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
     or repeat, and rows with the same key and text are treated as one document. Other columns are carried along
     whatever their names; an empty table stays empty. Only documents with repeats are moved.
     """
-    found = stage(repeats(df, key, text), "repeats").select(F.struct(F.col("key").alias("k"), F.col("doc").alias("d")).alias("_id"), "places")
+    found = stage(repeats(df, key, text, min_words), "repeats").select(F.struct(F.col("key").alias("k"), F.col("doc").alias("d")).alias("_id"), "places")
     marked = bitmap_of(found, F.col("_id.d"), hashed=True)
     held = df.sparkSession.sparkContext.broadcast(marked)
     doc, places = fresh(df, "doc"), fresh(df, "places")
@@ -168,13 +286,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
         return pd.Series(in_bitmap(held.value, docs.to_numpy()))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or p is None else without(t, p, min_words) for t, p in zip(texts, at, strict=True)], dtype=object)
+    def cut(texts: pd.Series, ats: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or a is None else without(t, zip(a.tolist(), e.tolist(), strict=True), min_words) for t, a, e in zip(texts, ats, ends, strict=True)], dtype=object)
 
     with_id = df.withColumn(doc, _identity(F.col(key), F.col(text)))
     moved = with_id.filter(touched(F.col(doc))).withColumn(doc, F.struct(F.col(key).alias("k"), F.col(doc).alias("d")))
     moved = moved.join(found.select(F.col("_id").alias(doc), F.col("places").alias(places)), doc, "left")
-    cleaned = moved.withColumn(text, cut(F.col(text), F.col(places))).select(df.columns)
+    cleaned = moved.withColumn(text, cut(F.col(text), F.col(places)["at"], F.col(places)["upto"])).select(df.columns)
     return with_id.filter(~touched(F.col(doc))).select(df.columns).unionByName(cleaned)
 
 
