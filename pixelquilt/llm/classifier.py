@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from pixelquilt.llm.common import fresh, table, task_batches
 from pixelquilt.llm.registry import query
 
 #: Labelled rows that the fit takes at most: for each dictionary, and for the curve. They are those with the smallest
-#: hashes of their keys; texts of the dictionaries are cut to SAMPLE_BYTES. Scores read whole texts.
+#: hashes of their keys and texts. A text gives a dictionary SAMPLE_BYTES at most, in pieces of SAMPLE_PIECE bytes that a
+#: hash chooses from all of it. The curve and the scores read whole texts.
 DICTIONARY_ROWS, CURVE_ROWS = 3000, 8000
 SAMPLE_BYTES, SAMPLE_PIECE = 4096, 2048
 DICTIONARY_BYTES = 1 << 16
@@ -47,11 +49,18 @@ class Scale:
         return total / max(len(data), 1)
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def sample_of(text: str) -> bytes:
+    """All of a short text; else pieces from anywhere in it, in order, only the last of which may be shorter."""
+    data = text.encode("utf-8")
+    starts = range(0, len(data), SAMPLE_PIECE)
+    chosen = sorted(starts, key=lambda i: xxhash.xxh64_intdigest(data[i : i + SAMPLE_PIECE], i))[: SAMPLE_BYTES // SAMPLE_PIECE]
+    return b"".join(data[i : i + SAMPLE_PIECE] for i in sorted(chosen))
+
+
+def _dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
-    data = [t.encode("utf-8")[:SAMPLE_BYTES] for t in texts]
-    pieces = [d[i : i + SAMPLE_PIECE] for d in data for i in range(0, len(d), SAMPLE_PIECE)]
+    pieces = [d[i : i + SAMPLE_PIECE] for d in samples for i in range(0, len(d), SAMPLE_PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too few or too even samples to train on: their text itself is the dictionary
@@ -87,19 +96,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     parts = [known.filter((F.col("y") == y) & (fold != 3)).orderBy(order).limit(DICTIONARY_ROWS) for y in (0, 1)]
     parts.append(known.filter(fold == 3).orderBy(order).limit(CURVE_ROWS))
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("fold", fold)
-    # At most 2 x DICTIONARY_ROWS + CURVE_ROWS keys.
+    # At most 2 x DICTIONARY_ROWS + CURVE_ROWS keys. Keys may repeat in the documents, so the rows are bounded again.
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").join(F.broadcast(chosen), "k")
-    samples = rows.filter("fold <> 3").select("y", F.substring("t", 1, SAMPLE_BYTES).alias("t")).dropDuplicates().collect()
-    good, bad = (_dictionary(sorted(r["t"] for r in samples if r["y"] == y)) for y in (1, 0))
+    rows = rows.select("y", "fold", "t", F.xxhash64("k", "t").alias("h"))
     task_batches(docs.sparkSession)
 
+    def sample(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sample_of(t) for t in batch.column(2).to_pylist()], pa.binary())], ["y", "h", "s"])
+
+    samples = rows.filter("fold <> 3").select("y", "h", "t").mapInArrow(sample, "y int, h long, s binary").groupBy("y", "s").agg(F.min("h").alias("h"))
+    # At most DICTIONARY_ROWS x SAMPLE_BYTES for each.
+    taken = ([bytes(r["s"]) for r in samples.filter(F.col("y") == y).orderBy("h", "s").limit(DICTIONARY_ROWS).collect()] for y in (1, 0))
+    good, bad = (_dictionary(sorted(t)) for t in taken)
+
     def measure(batches):
         scale = Scale(good, bad)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scale.difference(t) for t in batch.column(1).to_pylist()], pa.float64())], ["y", "x"])
+            x = [scale.difference(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.float64())], ["y", "h", "x"])
 
-    pairs = rows.filter("fold = 3").select("y", "t").mapInArrow(measure, "y int, x double").collect()
-    pairs.sort()
+    # Rows are bounded once they are numbers, so whole texts stay where they are.
+    measured = rows.filter("fold = 3").select("y", "h", "t").mapInArrow(measure, "y int, h long, x double")
+    pairs = sorted(measured.orderBy("h", "y", "x").limit(CURVE_ROWS).select("y", "x").collect())
     slope, offset = fit_curve(np.array([p["x"] for p in pairs], dtype=float), np.array([p["y"] for p in pairs], dtype=float))
     return good, bad, slope, offset
 
