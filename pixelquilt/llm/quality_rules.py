@@ -2,7 +2,7 @@
 
 Statistics of a text become a vector. For every language and source the minimum covariance determinant estimate is
 found: a centre and covariance of the three quarters of its documents that lie closest together, by concentration
-steps from a start at the medians. A document is rejected if its Mahalanobis distance from its group's estimate is
+steps from a start at the medians until the determinant no longer falls: the local minimum of that start. A document is rejected if its Mahalanobis distance from its group's estimate is
 too large. Groups with few documents are pooled, first by language, then all together.
 
 All of it is DataFrame work: array functions inside a row, sums and counted bins for each group. No group is gathered;
@@ -28,7 +28,8 @@ MIN_GROUP = 60
 SUBSET = 0.75
 #: 0.75 / P(chi2(6) <= median-like quantile of chi2(4) at 0.75): makes the subset's covariance that of the whole.
 CONSISTENCY = 1.4866
-STEPS = 3
+#: A fall of the determinant's logarithm that is more than rounding.
+LEAST_FALL = 1e-9
 #: Squared distance beyond which a document is an outlier.
 CUTOFF = 25.0
 #: Spread that every statistic has at least, so that one that is constant in a group rejects nothing on its own.
@@ -165,10 +166,24 @@ def _fit(rows: DataFrame) -> DataFrame:
     spread = [F.greatest((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, F.lit(f)) for x, f in zip(X, FLOORS)]
     diagonal = {(i, j): spread[i] * spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
     found = start.select("g", *[F.get(X[i], F.lit(1)).alias(f"c{i}") for i in range(P)], *[c.alias(n) for n, c in _inverse_root(diagonal).items()])
-    for step in range(STEPS):
-        found = _concentrate(rows, stage(found, f"estimate-{step}"))
-    found = stage(found, "estimate")
-    return groups.join(found, "g").drop("g")
+    return groups.join(_settled(rows, stage(found, "start")), "g").drop("g")
+
+
+def _settled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Concentration steps until no group's determinant falls. A group keeps its last estimate that fell, so steps that
+    would go round in a circle end as well."""
+    found, names = stage(_concentrate(rows, found), "estimate"), [c for c in found.columns if c != "g"]
+
+    def height(estimate: Column) -> Column:
+        return -2 * sum((F.log(estimate[f"m{i}{i}"]) for i in range(P)), F.lit(0.0))
+
+    while True:
+        both = found.select("g", F.struct(*names).alias("last")).join(_concentrate(rows, found).select("g", F.struct(*names).alias("next")), "g")
+        falls = height(F.col("next")) < height(F.col("last")) - LEAST_FALL
+        judged = stage(both.select("g", falls.alias("falls"), F.when(falls, F.col("next")).otherwise(F.col("last")).alias("e")).select("g", "falls", "e.*"), "estimate")
+        found = judged.drop("falls")
+        if judged.filter("falls").isEmpty():
+            return found
 
 
 def _concentrate(rows: DataFrame, found: DataFrame) -> DataFrame:
