@@ -49,7 +49,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("pseudonyms", pseudonyms), ("packing", packed)]
 
-#: Not expressible: tokenizers, rolling hashes and keyed digests. Tests compare with a brute-force version.
+#: Not expressible: tokenizers, rolling hashes and keyed digests. Tests compare single steps with plain versions, not the whole pipeline.
 ORACLE_SQL = None
 
 
