@@ -3,7 +3,7 @@
 import shutil
 
 import pytest
-from conftest import SF
+from tests.paths import SF
 from pyspark.sql import functions as F
 
 from pixelquilt.catalog.intake import _write_pngs

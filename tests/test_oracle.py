@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from tests.paths import SF
 
 from pixelquilt.catalog import QUERIES, SQL
 from tools.compare import TABLES, compare
