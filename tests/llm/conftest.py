@@ -1,13 +1,5 @@
-import importlib.util
-import pathlib
-
 import pytest
 
-base = importlib.util.spec_from_file_location("base_conftest", pathlib.Path(__file__).parents[1] / "conftest.py")
-module = importlib.util.module_from_spec(base)
-base.loader.exec_module(module)
-spark = module.spark
-
 TEXTS = [
     None,
     "",
