@@ -72,9 +72,13 @@ def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bitmap[word] >> bit) & np.uint64(1) == 1
 
 
+def importable(spark: SparkSession) -> None:
+    """Let workers on this machine import the package from where the driver has it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def task_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small where rows are whole texts (a user's own smaller setting stays), and let workers on
-    this machine import the package from where the driver has it."""
+    """Keep Arrow batches small where rows are whole texts (a user's own smaller setting stays)."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
