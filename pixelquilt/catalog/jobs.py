@@ -35,11 +35,13 @@ from pixelquilt.catalog.sharding import MATH_N, SQL_FEED, SQL_SIDES, SQL_STEPS,
 from pixelquilt.functions.prompts import caption_prompt, inference_prompt
 from pixelquilt.functions.tokens import text_tokens
 from pixelquilt.operators.batching import BATCH
-from pixelquilt.operators.vocab import build_vocab, vocab_lookup
+from pixelquilt.operators.vocab import build_coded_vocab, coded_rows, placed
 from pixelquilt.plans import encode, feed
 from pixelquilt.plans.epochs import plan_main
 from pixelquilt.plans.ingest import ingest
 from pixelquilt.plans.postprocess import clean_outputs
+from pixelquilt.session import scratch_path
+from pixelquilt.sources.tables import cached_scan
 
 _OVER = f"OVER (PARTITION BY {', '.join(BATCH)})"
 
@@ -176,8 +178,9 @@ def _clean_outputs(spark, d):
     outputs = table(spark, d, "documents").select(
         "doc_id", tokens.alias("tokens"), (50 + k * 91 % 1400).alias("height"), (50 + k * 37 % 1900).alias("width")
     )
-    vocab = build_vocab(outputs.select(F.array_join("tokens", " ").alias("t")), "t")
-    ids = vocab_lookup(outputs, "doc_id", "tokens", vocab)
+    coded = cached_scan(coded_rows(outputs, "doc_id", "tokens"), scratch_path(spark, "coded"))
+    vocab = build_coded_vocab(coded, "doc_id")
+    ids = placed(coded, "doc_id", vocab, "token", "id", "Token is not in the vocabulary: ")
     generated = ids.join(outputs.drop("tokens"), "doc_id")
     cleaned = clean_outputs(generated, "doc_id", "ids", vocab, (336, 336))
     return cleaned.select("doc_id", F.md5("text").alias("text_md5"))

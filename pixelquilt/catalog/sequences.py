@@ -36,6 +36,8 @@ from pixelquilt.operators import batching as B
 from pixelquilt.operators import vocab as V
 from pixelquilt.operators.ordinals import keyed
 from pixelquilt.plans.epochs import plan_main
+from pixelquilt.session import scratch_path
+from pixelquilt.sources.tables import cached_scan
 
 
 def _docs(spark, d):
@@ -81,6 +83,13 @@ _VOCAB = f"""SELECT token, row_number() OVER (ORDER BY {sql_h60('token')}, token
  (SELECT DISTINCT unnest({sql_tokens('text')}) AS token FROM documents)"""
 
 
+def _coded(spark, d):
+    """Texts tokenised and coded once, and the vocabulary that comes out of the codes."""
+    words = _docs(spark, d).select("doc_id", T.text_tokens(F.col("text")).alias("tokens"))
+    coded = cached_scan(V.coded_rows(words, "doc_id", "tokens"), scratch_path(spark, "coded"))
+    return coded, V.build_coded_vocab(coded, "doc_id")
+
+
 @query(
     "vocab_lookup",
     f"""WITH vocab AS ({_VOCAB}), words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS token FROM
@@ -88,17 +97,15 @@ _VOCAB = f"""SELECT token, row_number() OVER (ORDER BY {sql_h60('token')}, token
 SELECT doc_id, count(*) AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY i)) AS ids_md5 FROM words JOIN vocab USING (token) GROUP BY doc_id""",
 )
 def _vocab_lookup(spark, d):
-    docs = _docs(spark, d)
-    words = docs.select("doc_id", T.text_tokens(F.col("text")).alias("tokens"))
-    found = V.vocab_lookup(words, "doc_id", "tokens", V.build_vocab(docs, "text"))
+    coded, vocab = _coded(spark, d)
+    found = V.placed(coded, "doc_id", vocab, "token", "id", "Token is not in the vocabulary: ")
     return found.select("doc_id", length(F.col("ids")).alias("n"), digest(F.col("ids")).alias("ids_md5"))
 
 
 @query("decode_tokens", f"SELECT doc_id, md5(array_to_string({sql_tokens('text')}, ' ')) AS text_md5 FROM documents")
 def _decode(spark, d):
-    docs = _docs(spark, d)
-    vocab = V.build_vocab(docs, "text")
-    ids = V.vocab_lookup(docs.select("doc_id", T.text_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens", vocab)
+    coded, vocab = _coded(spark, d)
+    ids = V.placed(coded, "doc_id", vocab, "token", "id", "Token is not in the vocabulary: ")
     return V.decode_tokens(ids, "doc_id", "ids", vocab).select("doc_id", F.md5("text").alias("text_md5"))
 
 

@@ -94,3 +94,6 @@ TOKEN_PATTERN = r"<\|[a-z0-9_]+\|>|[^ \t\n\x0B\f\r<]+|<"
 # A helper table is only hinted for broadcast when its row count is bounded by parameters
 # (ranks, epochs, buckets) below this limit; past it the join stays co-partitioned.
 BROADCAST_ROWS = 100_000
+
+# The most used tokens of a vocabulary, which go to the rows that hold them; as many rows at most.
+FREQUENT_TOKENS = 8192

@@ -1,51 +1,161 @@
-"""Look-ups between token strings and vocabulary ids over whole tables."""
+"""Look-ups between token strings and vocabulary ids over whole tables.
+
+Rows are dictionary coded first: each row keeps its distinct elements once, and for every element the place of its
+entry in that list. Only the entries look for their partners; what occurs a thousand times in a row is looked up once.
+The row itself, codes in hand, waits where its key lies and puts the partners in place when they come back. No element
+of an array is ever a row of its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pixelquilt import config as C
 from pixelquilt.functions.hashing import hash60
 from pixelquilt.functions.tokens import text_tokens
 from pixelquilt.operators.ordinals import BUCKET, default_buckets, hash_bucket, ordinal
+from pixelquilt.session import scratch_path
+from pixelquilt.sources.buckets import stored_by
+from pixelquilt.sources.tables import cached_scan
 
+CODES, ENTRIES = "codes", "entries"
 
-def build_vocab(texts: DataFrame, text: str, first_id: int = 0) -> DataFrame:
-    """``(token, id)`` for the distinct tokens of a column, numbered in the order of their hash."""
-    buckets = default_buckets(texts.sparkSession)
-    tokens = texts.select(F.explode(text_tokens(F.col(text))).alias("token")).distinct()
+
+def _code_batch(arrays: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Codes and distinct elements of every array of a batch. A null element has the code -1, a null array none."""
+    lengths = np.where(arrays.is_valid().to_numpy(zero_copy_only=False), arrays.value_lengths().fill_null(0).to_numpy(), 0).astype(np.int64)
+    coded = arrays.flatten().dictionary_encode()
+    known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    number = coded.indices.fill_null(0).to_numpy().astype(np.int64)
+    size = max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(len(arrays)), lengths)
+    distinct, at = np.unique(row[known] * size + number[known], return_inverse=True)
+    owner = distinct // size
+    counts = np.bincount(owner, minlength=len(arrays))
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    codes = np.full(len(row), -1, dtype=np.int32)
+    codes[known] = at - starts[owner[at]] if len(at) else 0
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return (
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes)),
+        pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), coded.dictionary.take(pa.array(distinct % size))),
+    )
+
+
+def coded_rows(df: DataFrame, key: str, array: str) -> DataFrame:
+    """``(key, codes, entries)``: distinct elements of each row and, per element, its place among them (from 0)."""
+    element = df.schema[array].dataType.elementType
+    schema = T.StructType([df.schema[key], T.StructField(CODES, T.ArrayType(T.IntegerType())), T.StructField(ENTRIES, T.ArrayType(element))])
+
+    def code(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_code_batch(batch.column(1))], schema.names)
+
+    return df.select(key, array).mapInArrow(code, schema)
+
+
+def entry_rows(coded: DataFrame, key: str, name: str) -> DataFrame:
+    """``(key, _slot, name)``: one row for each distinct element of a row."""
+    return coded.select(key, F.posexplode(ENTRIES).alias("_slot", name))
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """A vocabulary at rest: bucketed by token, and by id where decoding asks for it."""
+
+    by_token: DataFrame
+    by_id: DataFrame
+    frequent: DataFrame
+
+    @property
+    def table(self) -> DataFrame:
+        return self.by_token
+
+
+def _numbered(tokens: DataFrame, first_id: int) -> DataFrame:
+    """``(token, id, ...)`` of distinct tokens, numbered in the order of their hash."""
+    buckets = default_buckets(tokens.sparkSession)
     hashed = tokens.withColumn("_h", hash60(F.col("token")))
     hashed = hashed.withColumn(BUCKET, hash_bucket(F.col("_h"), buckets))
     numbered = ordinal(hashed, [], ["_h", "token"], "id", buckets=buckets)
-    return numbered.select("token", (F.col("id") + first_id).cast("int").alias("id"))
+    return numbered.withColumn("id", (F.col("id") + first_id).cast("int")).drop("_h")
+
+
+def build_vocab(texts: DataFrame, text: str, first_id: int = 0) -> DataFrame:
+    """``(token, id)`` for the distinct tokens of a column, numbered in the order of their hash."""
+    tokens = texts.select(F.explode(text_tokens(F.col(text))).alias("token")).distinct()
+    return _numbered(tokens, first_id).select("token", "id")
 
 
-def _mapped(df: DataFrame, key: str, array: str, table: DataFrame, source: str, target: str, error: str) -> DataFrame:
-    """``(key, <target>s)``: every element of an array replaced by its partner in ``table``, in order.
+def build_coded_vocab(coded: DataFrame, key: str, first_id: int = 0) -> Vocabulary:
+    """The vocabulary of coded rows, stored. Counts of rows per token come with it: tokens that are in most rows are
+    known as such, and there is no second look at any text."""
+    spark = coded.sparkSession
+    counted = entry_rows(coded, key, "token").filter("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    # Written before it is numbered: the numbering reads it twice.
+    return store_vocab(_numbered(cached_scan(counted, scratch_path(spark, "tokens")), first_id))
 
-    Spark picks the join by the table's measured size: small vocabularies are broadcast, large ones meet the
-    elements on the token, where adaptive execution splits the frequent tokens. The regroup is by row key.
-    """
-    elements = df.select(key, F.posexplode_outer(array).alias("_pos", source))
-    joined = elements.join(table.select(source, target), source, "left")
+
+def store_vocab(vocab: DataFrame, frequent: int = C.FREQUENT_TOKENS) -> Vocabulary:
+    """Store ``(token, id)`` and, where it is counted, ``uses``. The ``frequent`` most used tokens are kept aside: as many
+    rows at most, they go to the entries instead of meeting all of them in a few tasks."""
+    kept = vocab.select("token", "id", *(["uses"] if "uses" in vocab.columns else []))
+    by_token = stored_by(kept, ["token"], "vocab_by_token")
+    by_id = stored_by(by_token, ["id"], "vocab_by_id")
+    if "uses" not in kept.columns:
+        return Vocabulary(by_token, by_id, by_token.limit(0))
+    top = cached_scan(by_token.orderBy(F.desc("uses"), "token").limit(frequent), scratch_path(vocab.sparkSession, "frequent"))
+    return Vocabulary(by_token, by_id, top)
+
+
+def _partners(entries: DataFrame, key: str, vocab: Vocabulary | DataFrame, source: str, target: str, error: str) -> DataFrame:
+    """``(key, _slot, target)`` of all entries; an entry without a partner is an error."""
+    stored = isinstance(vocab, Vocabulary)
+    table = (vocab.by_token if source == "token" else vocab.by_id) if stored else vocab
     unknown = F.raise_error(F.concat(F.lit(error), F.col(source).cast("string"))).cast(table.schema[target].dataType)
-    found = F.when(F.col(source).isNotNull() & F.col(target).isNull(), unknown).otherwise(F.col(target))
-    # An empty array leaves one row without a position; it collects to an empty array again.
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", found.alias("_value")))
-    arrays = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    return arrays.select(key, F.col("_all._value").alias(target + "s"))
+    checked = F.coalesce(target, unknown).alias(target)
+    if not stored:
+        return entries.join(table.select(source, target), source, "left").select(key, "_slot", checked)
+    known = entries.join(F.broadcast(vocab.frequent.select(source, F.col(target).alias("_known"))), source, "left")
+    held = known.filter(F.col("_known").isNotNull()).select(key, "_slot", F.col("_known").alias(target))
+    rest = known.filter(F.col("_known").isNull()).drop("_known").join(table.select(source, target), source, "left")
+    return held.unionByName(rest.select(key, "_slot", checked))
+
+
+def placed(coded: DataFrame, key: str, vocab: Vocabulary | DataFrame, source: str, target: str, error: str) -> DataFrame:
+    """``(key, <target>s)``: coded rows with the partner of every element, in order."""
+    entries = entry_rows(coded, key, source)
+    found = _partners(entries, key, vocab, source, target, error)
+    # The entries of one row; there are as many as the row has distinct elements.
+    values = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_slot", target))).alias("_found"))
+    rows = coded.select(key, CODES).join(values.select(key, F.col(f"_found.{target}").alias("_values")), key, "left")
+
+    def value(code: Column) -> Column:
+        return F.when(code >= 0, F.get(F.col("_values"), code))
+
+    array = F.transform(CODES, value)
+    matched = F.coalesce(F.array_size("_values"), F.lit(0)) == F.coalesce(F.array_max(CODES), F.lit(-1)) + 1
+    wrong = F.raise_error(F.lit("Keys of looked-up rows must be unique and not null")).cast(T.ArrayType(found.schema[target].dataType))
+    return rows.select(key, F.when(matched, array).otherwise(wrong).alias(target + "s"))
 
 
-def vocab_lookup(df: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    """``(key, ids)``: exact vocabulary match per token; an unknown token is an error."""
-    return _mapped(df, key, tokens, vocab, "token", "id", "Token is not in the vocabulary: ")
+def vocab_lookup(df: DataFrame, key: str, tokens: str, vocab: Vocabulary | DataFrame) -> DataFrame:
+    """``(key, ids)``: exact vocabulary match per token; an unknown token is an error. ``key`` is unique. A null token has
+    a null id, a null array no ids."""
+    return placed(coded_rows(df, key, tokens), key, vocab, "token", "id", "Token is not in the vocabulary: ")
 
 
-def token_strings(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+def token_strings(df: DataFrame, key: str, ids: str, vocab: Vocabulary | DataFrame) -> DataFrame:
     """``(key, tokens)``: ids as token strings; an unknown id is an error."""
-    return _mapped(df, key, ids, vocab, "id", "token", "Id is not in the vocabulary: ")
+    return placed(coded_rows(df, key, ids), key, vocab, "id", "token", "Id is not in the vocabulary: ")
 
 
-def decode_tokens(df: DataFrame, key: str, ids: str, vocab: DataFrame, separator: str = " ") -> DataFrame:
+def decode_tokens(df: DataFrame, key: str, ids: str, vocab: Vocabulary | DataFrame, separator: str = " ") -> DataFrame:
     """``(key, text)``: ids back to text."""
     return token_strings(df, key, ids, vocab).select(key, F.array_join("tokens", separator).alias("text"))

@@ -233,6 +233,47 @@ def test_vocab_errors_and_empty_rows(spark):
         vocab.vocab_lookup(words, "k", "tokens", table.filter("id = 10")).collect()
 
 
+def shuffled_rows(plan):
+    """Rows that each exchange of an executed plan wrote."""
+    found = [plan.metrics().apply("shuffleRecordsWritten").value()] if "ShuffleExchange" in plan.getClass().getSimpleName() else []
+    children = plan.children()
+    return found + [n for i in range(children.size()) for n in shuffled_rows(children.apply(i))]
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 8192])
+def test_look_ups_move_distinct_tokens_once(spark, frequent):
+    data = [(k, ["the", "a"] * 500 + [f"w{k}", None, f"w{k % 7}"] if k % 5 else []) for k in range(200)] + [(500, None)]
+    words = spark.createDataFrame(data, "k int, tokens array<string>")
+    distinct = sum(len({t for t in tokens or [] if t}) for _, tokens in data)
+    coded = vocab.coded_rows(words, "k", "tokens")
+    assert vocab.entry_rows(coded, "k", "token").count() == distinct
+    stored = vocab.store_vocab(vocab.build_coded_vocab(coded, "k").table, frequent)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        looked = vocab.vocab_lookup(words, "k", "tokens", stored)
+        ids = {r["k"]: r["ids"] for r in looked.collect()}
+        moved = shuffled_rows(looked._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Entries to the stored vocabulary (those not known as frequent) and back to their rows, and the rows themselves.
+    assert len(moved) == 3 and max(moved) <= distinct and sum(moved) <= 2 * distinct + len(data)
+    number = {r["token"]: r["id"] for r in stored.table.collect()}
+    assert sorted(number.values()) == list(range(len(number)))
+    assert ids == {k: [number.get(t) for t in tokens or []] for k, tokens in data}
+    back = vocab.token_strings(looked, "k", "ids", stored)
+    assert {r["k"]: r["tokens"] for r in back.collect()} == {k: tokens or [] for k, tokens in data}
+
+
+def test_look_ups_want_unique_keys(spark):
+    table = spark.createDataFrame([("a", 10), ("b", 11)], "token string, id int")
+    for data in ([(1, ["a"]), (1, ["b"])], [(None, ["a"])]):
+        with pytest.raises(PySparkException):
+            vocab.vocab_lookup(spark.createDataFrame(data, "k int, tokens array<string>"), "k", "tokens", table).collect()
+
+
 def test_overlay(spark):
     words = spark.createDataFrame([(1, 0, [0.0], 1), (1, 1, [5.0], -1)], "sample_id int, pos int, vec array<double>, patch_idx int")
     patches = spark.createDataFrame([(1, 0, [8.0]), (1, 1, [9.0])], "sample_id int, patch_idx int, vec array<double>")
