@@ -14,6 +14,7 @@ from pixelquilt.catalog.base import (
     BATCH_SIZE,
     DOC_SIZES,
     DOC_USABLE,
+    MAX_LENGTH,
     PAGE_IMAGE_URL,
     SQL_CHATS,
     doc_sizes,
@@ -165,7 +166,7 @@ def _image_metadata(spark, d):
 
 
 _TEXT_BATCHES = f"""WITH chats AS ({SQL_CHATS}), {sql_plan_main('plan', 'chats', 'conv_id')},
-enc AS (SELECT p.*, {sql_encode('conversations', 1024)} AS ids FROM plan p JOIN chats USING (conv_id)),
+enc AS (SELECT p.*, {sql_encode('conversations', MAX_LENGTH)} AS ids FROM plan p JOIN chats USING (conv_id)),
 sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY epoch, rank, batch_id) AS m FROM enc),
 padded AS (SELECT conv_id, epoch, rank, batch_id, pos, m, len(ids) AS n_real, {sql_pad_right('ids', 'm', C.PAD_ID)} AS ids FROM sized),
 lab AS (SELECT *, {sql_labels('ids')} AS labels FROM padded)
@@ -177,7 +178,7 @@ def text_batches(spark, d, arrange=None):
     """The text-only training path: chats to padded, labelled batch rows."""
     chats = render_chat(table(spark, d, "conversations"))
     plan = plan_main(chats, "conv_id", 4, BATCH_SIZE, 42)
-    return encode_text_batches(chats, plan, "conv_id", "conversations", 1024, arrange=arrange)
+    return encode_text_batches(chats, plan, "conv_id", "conversations", MAX_LENGTH, arrange=arrange)
 
 
 def summarised(rows, key):

@@ -44,6 +44,7 @@ from pixelquilt.session import scratch_path
 from pixelquilt.sources.tables import cached_scan
 
 _OVER = f"OVER (PARTITION BY {', '.join(BATCH)})"
+_OVER_FEED = f"OVER (PARTITION BY {', '.join(feed.FEED_BATCH)})"
 
 
 @query(
@@ -63,7 +64,7 @@ def _ingest(spark, d):
 _MIXED_BATCHES = f"""WITH {sql_plan_main('plan', 'documents', 'doc_id')},
 q AS (SELECT doc_id, {DOC_USABLE} AS usable, {sql_caption('text', 'doc_id')} AS prompt FROM documents),
 g AS (SELECT p.*, prompt, bool_and(usable) {_OVER} AS img FROM plan p JOIN q USING (doc_id)),
-e AS (SELECT *, CASE WHEN img THEN list_concat({SQL_TEMPLATE}, {sql_clip(sql_ids('prompt'), 2048)}) ELSE {sql_encode('prompt', 2048)} END AS ids FROM g),
+e AS (SELECT *, CASE WHEN img THEN list_concat({SQL_TEMPLATE}, {sql_clip(sql_ids('prompt'), MAX_LENGTH)}) ELSE {sql_encode('prompt', MAX_LENGTH)} END AS ids FROM g),
 m AS (SELECT *, max(len(ids)) {_OVER} AS m FROM e),
 x AS (SELECT * EXCLUDE (ids), {sql_pad_right('ids', 'm', C.PAD_ID)} AS ids,
  CASE WHEN img THEN {sql_pad_right(SQL_PATCHES, f'least(m + 10, {C.MAX_POSITIONS})', -1)} END AS patches, len(ids) AS n_real FROM m),
@@ -77,7 +78,7 @@ def image_rows(spark, d):
     docs = table(spark, d, "documents")
     samples = docs.select("doc_id", "source", caption_prompt(F.col("text"), F.col("doc_id"), SEED).alias("prompt"))
     plan = plan_main(samples, "doc_id", WORLD, BATCH_SIZE, SEED)
-    return encode.encode_training_batches(samples, plan, "doc_id", "prompt", doc_usable(), 2048)
+    return encode.encode_training_batches(samples, plan, "doc_id", "prompt", doc_usable(), MAX_LENGTH)
 
 
 @query("image_training_batches", _MIXED_BATCHES)
@@ -100,7 +101,7 @@ def serving_rows(spark, d):
     """Questions to left-padded rows for generation."""
     docs = table(spark, d, "documents").select("doc_id", inference_prompt(F.col("text")).alias("prompt"))
     plan = plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED)
-    return encode.encode_serving_batches(docs, plan, "doc_id", "prompt", 1024)
+    return encode.encode_serving_batches(docs, plan, "doc_id", "prompt", MAX_LENGTH)
 
 
 _QUESTION = f"""'{C.START_HEADER}user{C.END_HEADER}' || chr(10) || chr(10) || text || '{C.END_OF_TURN}{C.START_HEADER}assistant{C.END_HEADER}'"""
@@ -109,7 +110,7 @@ _QUESTION = f"""'{C.START_HEADER}user{C.END_HEADER}' || chr(10) || chr(10) || te
 @query(
     "serving_batches",
     f"""WITH {sql_plan_main('plan', 'documents', 'doc_id')},
-e AS (SELECT p.*, list_concat({SQL_TEMPLATE}, {sql_clip(sql_ids(f'({_QUESTION})'), 1024)}) AS ids FROM plan p JOIN documents USING (doc_id)),
+e AS (SELECT p.*, list_concat({SQL_TEMPLATE}, {sql_clip(sql_ids(f'({_QUESTION})'), MAX_LENGTH)}) AS ids FROM plan p JOIN documents USING (doc_id)),
 m AS (SELECT *, max(len(ids)) {_OVER} AS m, {sql_pad_right(SQL_PATCHES, 'len(ids) + 10', -1)} AS patches FROM e),
 x AS (SELECT *, {sql_pad_left('ids', 'm', C.PAD_ID)} AS i, {sql_pad_left('patches', 'm + 10', -1)} AS pt,
  {sql_pad_left('list_transform(ids, lambda z: 1)', 'm', 0)} AS k FROM m)
@@ -130,25 +131,35 @@ def _serving(spark, d):
     )
 
 
-def feed_rows(spark, d):
-    """Three streams mixed by step, encoded."""
+def feed_rows(spark, d, arrange=None):
+    """Three streams mixed by step, encoded: captions with their images where a whole main batch has them, the texts of
+    the side streams as they are."""
     main, text, math = feed_plans(spark, d)
     rows = feed.plan_feed(main, text, math, text_every=TEXT_N, math_every=MATH_N)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return encode.encode_text_batches(docs, rows, "doc_id", "text", MAX_LENGTH, feed.FEED_BATCH)
+    leads = F.col("lang") == "en"
+    prompt = F.when(leads, caption_prompt(F.col("text"), F.col("doc_id"), SEED)).otherwise(F.col("text"))
+    samples = table(spark, d, "documents").select("doc_id", "lang", "source", prompt.alias("prompt"))
+    return encode.encode_training_batches(samples, rows, "doc_id", "prompt", leads & doc_usable(), MAX_LENGTH, feed.FEED_BATCH, arrange)
 
 
 @query(
     "training_feed",
     f"""WITH {SQL_STEPS}, {sql_schedule(TEXT_N, MATH_N)}, {SQL_SIDES}, feed AS ({SQL_FEED}),
-e AS (SELECT f.*, {sql_encode('text', MAX_LENGTH)} AS ids FROM feed f JOIN documents USING (doc_id)),
-m AS (SELECT *, max(len(ids)) OVER (PARTITION BY rank, global_step, kind) AS m FROM e),
-x AS (SELECT * EXCLUDE (ids), {sql_pad_right('ids', 'm', C.PAD_ID)} AS ids FROM m), l AS (SELECT *, {sql_labels('ids')} AS labels FROM x)
-SELECT epoch, rank, global_step, kind, batch_id, pos, doc_id, m AS n, {sql_digest('ids')} AS ids_md5, {sql_digest('labels')} AS labels_md5 FROM l""",
+q AS (SELECT doc_id, lang = 'en' AND {DOC_USABLE} AS usable, CASE WHEN lang = 'en' THEN {sql_caption('text', 'doc_id')} ELSE text END AS prompt FROM documents),
+g AS (SELECT f.*, prompt, bool_and(usable) {_OVER_FEED} AS img FROM feed f JOIN q USING (doc_id)),
+e AS (SELECT *, CASE WHEN img THEN list_concat({SQL_TEMPLATE}, {sql_clip(sql_ids('prompt'), MAX_LENGTH)}) ELSE {sql_encode('prompt', MAX_LENGTH)} END AS ids FROM g),
+m AS (SELECT *, max(len(ids)) {_OVER_FEED} AS m FROM e),
+x AS (SELECT * EXCLUDE (ids), {sql_pad_right('ids', 'm', C.PAD_ID)} AS ids,
+ CASE WHEN img THEN {sql_pad_right(SQL_PATCHES, f'least(m + 10, {C.MAX_POSITIONS})', -1)} END AS patches FROM m),
+l AS (SELECT *, {sql_labels('ids')} AS labels FROM x)
+SELECT epoch, rank, global_step, kind, batch_id, pos, doc_id, img AS has_images, m AS n, {sql_digest(sql_last_bos('ids', 'ids'))} AS ids_md5,
+ {sql_digest(sql_last_bos('ids', 'labels'))} AS labels_md5, {sql_digest('patches')} AS patches_md5 FROM l""",
 )
 def _training_feed(spark, d):
-    encoded = feed_rows(spark, d)
-    return encoded.select(
+    """Written by ranges of steps and read back from the first."""
+    path = scratch_path(spark, "feed")
+    feed.write_feed(feed_rows(spark, d, feed.arrange_feed), path)
+    return feed.read_feed(spark, path).select(
         "epoch",
         "rank",
         "global_step",
@@ -156,9 +167,11 @@ def _training_feed(spark, d):
         "batch_id",
         "pos",
         "doc_id",
+        "has_images",
         length(F.col("input_ids")).alias("n"),
         digest(F.col("input_ids")).alias("ids_md5"),
         digest(F.col("labels")).alias("labels_md5"),
+        digest(F.col("image_patches_indices")).alias("patches_md5"),
     )
 
 

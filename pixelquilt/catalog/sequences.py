@@ -55,7 +55,7 @@ def _placed(spark, d, **lengths):
 
 
 def _placed_texts(spark, d):
-    return _placed(spark, d, ids_len=T.text_length(F.col("text"), 1024)).withColumn("input_ids", T.encode_text(F.col("text"), 1024)).drop("text")
+    return _placed(spark, d, ids_len=T.text_length(F.col("text"), MAX_LENGTH)).withColumn("input_ids", T.encode_text(F.col("text"), MAX_LENGTH)).drop("text")
 
 
 def _placed_images(spark, d):
@@ -111,7 +111,7 @@ def _decode(spark, d):
 
 @query(
     "encode_text",
-    f"""WITH {_PLAN}, enc AS (SELECT p.*, {sql_encode('text', 1024)} AS ids FROM plan p JOIN documents USING (doc_id)),
+    f"""WITH {_PLAN}, enc AS (SELECT p.*, {sql_encode('text', MAX_LENGTH)} AS ids FROM plan p JOIN documents USING (doc_id)),
 m AS (SELECT *, max(len(ids)) {_OVER} AS m FROM enc)
 SELECT doc_id, m AS n, len(ids) AS n_real, {sql_digest(sql_pad_right('ids', 'm', C.PAD_ID))} AS ids_md5 FROM m""",
 )
@@ -261,16 +261,16 @@ _KEPT = "list_filter(ids, lambda x: x <> 128001)"
 
 @query(
     "drop_token",
-    f"""WITH {_PLAN}, e AS (SELECT p.*, {sql_encode('text', 1024)} AS ids FROM plan p JOIN documents USING (doc_id)),
+    f"""WITH {_PLAN}, e AS (SELECT p.*, {sql_encode('text', MAX_LENGTH)} AS ids FROM plan p JOIN documents USING (doc_id)),
 k AS (SELECT *, {_KEPT} AS kept FROM e), m AS (SELECT *, max(len(kept)) {_OVER} AS m FROM k)
 SELECT doc_id, m AS n, {sql_digest(sql_pad_right('kept', 'm', C.PAD_ID))} AS ids_md5,
  {sql_digest(sql_pad_right(f'list_prepend({C.IGNORED_LABEL}, kept[2:])', 'm', C.IGNORED_LABEL))} AS labels_md5,
  {sql_digest(sql_pad_right('list_transform(kept, lambda x: 1)', 'm', 0))} AS mask_md5 FROM m""",
 )
 def _drop_token(spark, d):
-    ids = T.encode_text(F.col("text"), 1024)
+    ids = T.encode_text(F.col("text"), MAX_LENGTH)
     kept = F.size(F.filter(ids, lambda x: x != C.EOS_ID))
-    rows = _placed(spark, d, ids_len=T.text_length(F.col("text"), 1024), kept_len=kept).withColumn("input_ids", ids).drop("text")
+    rows = _placed(spark, d, ids_len=T.text_length(F.col("text"), MAX_LENGTH), kept_len=kept).withColumn("input_ids", ids).drop("text")
     dropped = B.drop_token(B.with_labels(B.pad_right(rows, ids_len="ids_len")), C.EOS_ID, kept_len="kept_len")
     return dropped.select(
         "doc_id",
@@ -283,7 +283,7 @@ def _drop_token(spark, d):
 
 @query(
     "position_ids",
-    f"""WITH {_PLAN}, e AS (SELECT p.*, {sql_encode('text', 1024)} AS ids FROM plan p JOIN documents USING (doc_id)),
+    f"""WITH {_PLAN}, e AS (SELECT p.*, {sql_encode('text', MAX_LENGTH)} AS ids FROM plan p JOIN documents USING (doc_id)),
 m AS (SELECT *, max(len(ids)) {_OVER} AS m FROM e),
 long AS (SELECT doc_id, unnest(range(m)) AS i, unnest({sql_pad_left(_ONES, 'm', 0)}) AS k FROM m),
 c AS (SELECT doc_id, i, CASE WHEN k = 0 THEN 1 ELSE sum(k) OVER (PARTITION BY doc_id ORDER BY i) - 1 END AS p FROM long)
@@ -308,10 +308,10 @@ def _pair_inputs(spark, d):
 
 @query(
     "batch_max_len",
-    f"""WITH {_PLAN} SELECT epoch, rank, batch_id, max(least(len({sql_tokens('text')}) + 2, 1024)) AS batch_len
+    f"""WITH {_PLAN} SELECT epoch, rank, batch_id, max(least(len({sql_tokens('text')}) + 2, {MAX_LENGTH})) AS batch_len
 FROM plan JOIN documents USING (doc_id) GROUP BY ALL""",
 )
 def _batch_max_len(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    lengths = docs.select("doc_id", T.text_length(F.col("text"), 1024).cast("bigint").alias("n"))
+    lengths = docs.select("doc_id", T.text_length(F.col("text"), MAX_LENGTH).cast("bigint").alias("n"))
     return B.batch_max_len(plan_main(docs, "doc_id", WORLD, BATCH_SIZE, SEED).join(lengths, "doc_id"), F.col("n"))

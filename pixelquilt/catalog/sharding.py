@@ -72,12 +72,21 @@ _TEXT = "(SELECT * FROM documents WHERE lang IN ('fr', 'es'))"
 _MATH = "(SELECT * FROM documents WHERE lang = 'de')"
 
 
-def feed_plans(spark, d):
+def _stream(spark, d, make, *langs):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    main = E.main_plan(docs.filter(F.col("lang") == "en"), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
-    text = E.side_plan(docs.filter(F.col("lang").isin("fr", "es")), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
-    math = E.side_plan(docs.filter(F.col("lang") == "de"), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
-    return main, text, math
+    return make(docs.filter(F.col("lang").isin(*langs)), "doc_id", WORLD, BATCH_SIZE, SEED, EPOCHS)
+
+
+def main_stream(spark, d):
+    return _stream(spark, d, E.main_plan, "en")
+
+
+def text_stream(spark, d):
+    return _stream(spark, d, E.side_plan, "fr", "es")
+
+
+def feed_plans(spark, d):
+    return main_stream(spark, d), text_stream(spark, d), _stream(spark, d, E.side_plan, "de")
 
 
 SQL_STEPS = f"""{sql_plan_main('main', _MAIN, 'doc_id', epochs=EPOCHS)},
@@ -109,8 +118,7 @@ UNION ALL {sql_cycle('text', 'txt')} UNION ALL {sql_cycle('math', 'mth')}"""
 
 @query("mixture_schedule", f"WITH {SQL_STEPS}, {sql_schedule(10, 50)} SELECT * FROM schedule")
 def _schedule(spark, d):
-    main, _, _ = feed_plans(spark, d)
-    schedule = M.mixture_schedule(feed.training_steps(main))
+    schedule = M.mixture_schedule(feed.training_steps(main_stream(spark, d)))
     return schedule.select("epoch", "rank", "global_step", "kind", "kind_order", "k")
 
 
@@ -119,14 +127,13 @@ def _schedule(spark, d):
     f"WITH {SQL_STEPS} SELECT epoch, rank, batch_id, epoch_start, global_step FROM steps WHERE global_step < 25",
 )
 def _step_budget(spark, d):
-    main, _, _ = feed_plans(spark, d)
-    return S.step_budget(feed.training_steps(main), 25)
+    return S.step_budget(feed.training_steps(main_stream(spark, d)), 25)
 
 
 @query("cycle_batches", f"WITH {SQL_STEPS}, {sql_schedule(TEXT_N, MATH_N)}, {SQL_SIDES} {sql_cycle('text', 'txt')}")
 def _cycle(spark, d):
-    main, text, _ = feed_plans(spark, d)
-    schedule = M.mixture_schedule(feed.training_steps(main), TEXT_N, MATH_N)
+    text = text_stream(spark, d)
+    schedule = M.mixture_schedule(feed.training_steps(main_stream(spark, d)), TEXT_N, MATH_N)
     return M.cycle_batches(schedule, text.rows, "text", groups=WORLD * EPOCHS)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelquilt.catalog.base import BATCH_SIZE, SEED, WORLD, digest, query, sql_caption, sql_clip, sql_digest, sql_ids, sql_labels, sql_plan_main, table
+from pixelquilt.catalog.base import BATCH_SIZE, MAX_LENGTH, SEED, WORLD, digest, query, sql_caption, sql_clip, sql_digest, sql_ids, sql_labels, sql_plan_main, table
 from pixelquilt.catalog.metrics import CENTS, cents
 from pixelquilt.operators.batch_udfs import collate_batches, map_batches
 from pixelquilt.plans.epochs import plan_main
@@ -18,14 +18,14 @@ _RULES = {"hq": ["src1"], "text": ["src2", "src1"]}
     "stream_prompts",
     f"""WITH r AS (SELECT doc_id, 'hq' AS category, text FROM documents WHERE starts_with(source, 'src1')
  UNION ALL SELECT doc_id, 'text', text FROM documents WHERE starts_with(source, 'src2') OR starts_with(source, 'src1')),
-e AS (SELECT doc_id, category, {sql_clip(sql_ids(sql_caption('text', 'doc_id')), 1024)} AS ids FROM r)
+e AS (SELECT doc_id, category, {sql_clip(sql_ids(sql_caption('text', 'doc_id')), MAX_LENGTH)} AS ids FROM r)
 SELECT doc_id, category, {sql_digest('ids')} AS ids_md5, {sql_digest(sql_labels('ids'))} AS labels_md5 FROM e""",
 )
 def _stream_prompts(spark, d):
     schema = table(spark, d, "documents").schema
     arrivals = prompts.read_arrivals(spark, f"{d}/documents.parquet*", schema)
     path = scratch_path(spark, "prompts")
-    prompts.drain_to_parquet(prompts.prompt_rows(arrivals, _RULES, "doc_id", "text", 1024, SEED), path, f"{path}-log")
+    prompts.drain_to_parquet(prompts.prompt_rows(arrivals, _RULES, "doc_id", "text", MAX_LENGTH, SEED), path, f"{path}-log")
     rows = spark.read.parquet(path)
     return rows.select(
         "doc_id", "category", digest(F.col("input_ids")).alias("ids_md5"), digest(F.col("labels")).alias("labels_md5")

@@ -47,8 +47,9 @@ def encode_training_batches(
     usable: Column,
     max_length: int,
     batch: list[str] = B.BATCH,
+    arrange: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Training rows of batches that may carry images.
+    """Training rows of batches that may carry images. ``arrange`` as in ``encode_text_batches``.
 
     A batch keeps its images only if every row has one: then ids are the image template and the clipped text,
     with a patch index of its own length. Otherwise the whole batch is text only and the patch index is null.
@@ -68,6 +69,7 @@ def encode_training_batches(
     )
     placed = placed.withColumn("_ids_len", F.when(F.col("has_images"), F.col("_image_len")).otherwise(F.col("_text_len")))
     rows = keyed(placed, key).join(samples.select(key, prompt), key)
+    rows = arrange(rows) if arrange else rows
     text = F.col(prompt)
     encoded = rows.withColumn(
         "_text_ids",

@@ -28,6 +28,22 @@ class EpochPlan:
         size = F.when(rank < extra, F.lit(base + 1)).otherwise(F.lit(base))
         return F.floor(size / self.batch_size).cast("bigint")
 
+    def steps(self) -> DataFrame:
+        """``(epoch, rank, batch_id)`` of every full batch, by arithmetic: no row of the table is looked at."""
+        base, extra = divmod(self.total, self.world)
+        longer, shorter = (base + 1) // self.batch_size, base // self.batch_size
+        head = extra * longer
+        per_epoch = head + (self.world - extra) * shorter
+        at = F.col("id") % max(per_epoch, 1)
+
+        def place(at: Column, first_rank: int, batches: int) -> Column:
+            each = max(batches, 1)
+            return F.struct((first_rank + F.floor(at / each)).cast("bigint").alias("rank"), (at % each).alias("batch_id"))
+
+        where = F.when(at < head, place(at, 0, longer)).otherwise(place(at - head, extra, shorter))
+        numbers = self.rows.sparkSession.range(self.epochs * per_epoch)
+        return numbers.select(F.floor(F.col("id") / max(per_epoch, 1)).cast("bigint").alias("epoch"), where.alias("_at")).select("epoch", "_at.rank", "_at.batch_id")
+
 
 def _finish(shuffled: DataFrame, key: str, total: int, world: int, batch_size: int, epochs: int) -> EpochPlan:
     batched = S.assign_batches(shuffled, batch_size, ["epoch", "rank"], group_rows="shard_rows")

@@ -7,7 +7,9 @@ from tests.paths import SF
 from pyspark.sql import functions as F
 
 from pixelquilt.catalog.intake import _write_pngs
+from pixelquilt.operators import mixture
 from pixelquilt.operators.routing import parse_rules
+from pixelquilt.plans import epochs, feed
 from pixelquilt.plans.ingest import ingest
 from pixelquilt.session import scratch_path
 from pixelquilt.sources import images, tables
@@ -213,3 +215,56 @@ def test_no_cross_joins(spark, name):
 
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def feed_plans(spark, rows=150, world=3):
+    keys = [spark.range(lo, lo + n).select(F.col("id").alias("k")) for lo, n in ((0, rows), (1000, 40), (2000, 30))]
+    return [make(df, "k", world, 4, 7, 2) for make, df in zip((epochs.main_plan, epochs.side_plan, epochs.side_plan), keys)]
+
+
+@pytest.mark.parametrize("rows", [150, 37, 13, 11, 0])
+def test_steps_follow_from_the_numbers_of_a_plan(spark, rows):
+    main = feed_plans(spark, rows)[0]
+    planned = main.rows.select("epoch", "rank", "batch_id").distinct()
+    assert sorted(map(tuple, main.steps().collect())) == sorted(map(tuple, planned.collect()))
+
+
+def test_schedules_read_no_table(spark):
+    schedule = mixture.mixture_schedule(feed.training_steps(feed_plans(spark)[0]))
+    leaves = [n.nodeName() for n in leaves_of(schedule._jdf.queryExecution().optimizedPlan())]
+    assert leaves == ["Range"] and schedule.count() > 0
+
+
+def leaves_of(plan):
+    children = plan.children()
+    return [n for i in range(children.size()) for n in leaves_of(children.apply(i))] or [plan]
+
+
+def test_a_written_feed_goes_on_at_any_step(spark, tmp_path):
+    main, text, math = feed_plans(spark)
+    planned = feed.plan_feed(main, text, math, text_every=3, math_every=5)
+    path = str(tmp_path / "feed")
+    feed.write_feed(feed.arrange_feed(planned, 4), path, 4)
+    columns = ["rank", "global_step", "kind", "batch_id", "pos", "k"]
+    whole = sorted(map(tuple, planned.select(columns).collect()))
+    assert sorted(map(tuple, feed.read_feed(spark, path).select(columns).collect())) == whole
+    for step in (1, 4, 7, 23, 999):
+        resumed = feed.read_feed(spark, path, step)
+        assert sorted(map(tuple, resumed.select(columns).collect())) == [r for r in whole if r[1] >= step]
+        # Files of earlier ranges are not opened.
+        assert all(int(f.split("step_range=")[1].split("/")[0]) >= step // 4 for f in resumed.select("_metadata.file_path").distinct().toPandas()["file_path"])
+    one = feed.read_feed(spark, path, 7, rank=1)
+    assert sorted(map(tuple, one.select(columns).collect())) == [r for r in whole if r[1] >= 7 and r[0] == 1]
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    assert sum(r["rows"] for r in manifest) == len(whole) and all(r["last_step"] - r["first_step"] < 4 for r in manifest)
+    assert {r["rank"]: r["last_step"] for r in feed.last_steps(spark, path).collect()} == {r: max(w[1] for w in whole if w[0] == r) for r in range(3)}
+    # A file holds its rows in the order in which they are taken.
+    for r in manifest:
+        held = [tuple(x) for x in spark.read.parquet(r["file"]).select("global_step", "kind_order", "pos").collect()]
+        assert held == sorted(held)
+
+
+def test_a_feed_without_steps_is_empty(spark, tmp_path):
+    main, text, math = feed_plans(spark, 0)
+    feed.write_feed(feed.arrange_feed(feed.plan_feed(main, text, math)), str(tmp_path / "none"))
+    assert feed.read_feed(spark, str(tmp_path / "none"), 3).count() == 0
