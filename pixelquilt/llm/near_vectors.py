@@ -320,9 +320,13 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     roots = components(met.filter("b IS NOT NULL"))
     degree = met.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     of_class = classes.select("cls", "copies", "least").join(degree, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    of_class = of_class.withColumn("root", F.coalesce("root", "cls"))
-    smallest = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = of_class.join(smallest, "root").select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    of_class = stage(of_class.select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", "root"), "classes-linked")
+    # A component may hold a large part of all classes: its least id is found by parts and written, so that the join
+    # back is one of two written tables, which adaptive execution splits where a component is large.
+    inside = of_class.filter("root IS NOT NULL")
+    smallest = stage(inside.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    lone = of_class.filter("root IS NULL").select("cls", "n_links", F.col("least").alias("component_id"))
+    facts = inside.join(smallest, "root").select("cls", "n_links", "component_id").unionByName(lone)
     linked = rows.filter("cls IS NOT NULL").select("id", "cls").join(facts, "cls").select("id", "n_links", "component_id")
     alone = rows.filter("cls IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     every = linked.unionByName(alone)
