@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import table, task_batches
+from pixelquilt.llm.common import importable, table, task_batches
 from pixelquilt.llm.registry import query
 from pixelquilt.llm.transducer import BpeDecoder, BpeEncoder
 
@@ -73,7 +73,35 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer:
     return rows.mapInArrow(decode, f"key {kind}, decoded string{extra}").withColumnRenamed("key", key)
 
 
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256``: every text encoded and its ids decoded as they come. Besides the
+    text a task holds one window of ids. Nulls and keys as in ``encode_texts``."""
+    importable(df.sparkSession)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def measure(batches):
+        machine = BpeEncoder.of(tokenizer)
+        for batch in batches:
+            out = [measured(machine, t.as_py()) for t in batch.column(1)]
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))]], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(measure, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+
+
+def measured(machine: BpeEncoder, text: str | None) -> tuple[int, str, str]:
+    """The number of ids of a text, and the digests of its ids and of what they decode to."""
+    decoder, count, of_ids, of_text = BpeDecoder(machine.token_of), 0, hashlib.sha256(), hashlib.sha256()
+    for ids in machine.stream(text):
+        of_ids.update(ids)
+        count += len(ids) // 4
+        for piece in pieces(ids):
+            of_text.update(decoder.feed(piece).encode("utf-8"))
+    of_text.update(decoder.end().encode("utf-8"))
+    return count, of_ids.hexdigest(), of_text.hexdigest()
+
+
 @query("op3_bpe_transducer")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_texts(table(spark, sf_dir, "documents"))
-    return decode_ids(encoded, digest=True).select("doc_id", "n_tokens", "ids_sha256", F.col("decoded").alias("decoded_sha256"))
+    return round_trip(table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquilt.llm.common import bitmap_of, fresh, in_bitmap, stage, table, task_batches
+from pixelquilt.llm.hashing import Runs, mixed, span_hashes
 from pixelquilt.llm.registry import query
 
 #: A cut is due every 2^CUT_BITS bytes on average.
@@ -37,9 +38,10 @@ GEAR = np.array([0] + [xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(1, 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-#: For each half of a digest: values of the bytes by rule, and the base of the polynomial.
-VALUES = [np.array([xxhash.xxh64_intdigest(bytes([b]), seed) for b in range(256)], dtype=np.uint64) for seed in (2, 3)]
-BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+#: The base of each half of a digest.
+BASES = [0x9E3779B97F4A7C1, 0x1094D049BB133111]
+#: Seeds of the hashes of words and of the white space between them.
+_WORD, _GAP = 1, 2
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -69,24 +71,6 @@ def cuts_of(data: np.ndarray) -> np.ndarray:
     return np.unique(np.append(ends[(ends > 0) & (ends < n)], n)) if n else np.zeros(0, np.int64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, remembered up to the longest text so far."""
-    if len(_POWERS.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _POWERS[base] = np.multiply.accumulate(steps)
-    return _POWERS[base][:n]
-
-
 def _sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
     """pick (minimum or maximum) of every ``width`` neighbours, by doubling the span."""
     out, span = values, 1
@@ -110,19 +94,21 @@ class Windows:
         if not self.n:
             self.anchors = np.zeros(0, np.int64)
             return
-        self._sums: dict[int, np.ndarray] = {}
+        # Words and gaps in turn: word i is item 2i, the white space after it item 2i + 1.
+        items = np.zeros(2 * len(self.starts) - 1, np.uint64)
+        items[::2] = span_hashes(self.data, self.starts, self.ends, _WORD)
+        items[1::2] = span_hashes(self.data, self.ends[:-1], self.starts[1:], _GAP)
+        self._items, self._runs = items, {}
         half = max(width // 2, 1)
-        self._grams = self._digest(0, self.starts[: len(self.starts) - half + 1], self.ends[half - 1 :])
+        self._grams = self._digest(0, np.arange(len(self.starts) - half + 1), np.arange(half - 1, len(self.starts)))
         self._least = _sliding(np.minimum, self._grams, width - half + 1)
         self.anchors = self._least.view(np.int64)
 
-    def _digest(self, which: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(self.data)
-        if which not in self._sums:
-            terms = VALUES[which][self.data] * _powers(BASES[which], n)
-            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        sums, back = self._sums[which], _powers(pow(BASES[which], -1, 1 << 64), n)
-        return _mixed((sums[end] - sums[begin]) * back[begin])
+    def _digest(self, which: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the text from word ``first`` to the end of word ``last``, white space inside included."""
+        if which not in self._runs:
+            self._runs[which] = Runs(self._items, BASES[which])
+        return self._runs[which].of(2 * first, 2 * last + 1)
 
     def chosen(self, windows: np.ndarray | None = None) -> np.ndarray:
         """The anchors of all windows or of those that are true in ``windows``, once for each place."""
@@ -135,7 +121,7 @@ class Windows:
 
     def digest(self, which: int, first: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Half of the digest of the text of the windows from ``first`` up to before ``after``."""
-        return self._digest(which, self.starts[first], self.ends[after + self.width - 2]).view(np.int64)
+        return self._digest(which, first, after + self.width - 2).view(np.int64)
 
     def units(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First windows and ends of the units with a marked anchor, and which windows have one."""
@@ -151,7 +137,7 @@ class Windows:
 
 def _places(doc: int, first: np.ndarray) -> np.ndarray:
     """A hash of the place of a unit."""
-    return _mixed(_mixed(first.astype(np.uint64)) ^ np.uint64(doc & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+    return mixed(mixed(first.astype(np.uint64)) ^ np.uint64(doc & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
 
 def _identity(key: Column, text: Column) -> Column:

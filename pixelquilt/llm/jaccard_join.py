@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from pixelquilt.llm.common import bitmap_of, in_bitmap, stage, table, task_batches
 from pixelquilt.llm.components import components
+from pixelquilt.llm.hashing import mixed, span_hashes
 from pixelquilt.llm.registry import query
 
 WIDTH = 5
@@ -37,36 +38,17 @@ STAR_ROUNDS = 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 #: Bytes of a text that are hashed at a time.
 BLOCK_BYTES = 1 << 20
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += np.uint64(32)  # A-Z as a-z
-_LETTER = _mixed(_FOLD + _MIX)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0xD6E8FEB86659FD93
-_UNDO = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n - 1, 0), base, np.uint64))])[:n]
-
-
-_UP, _DOWN = _powers(_BASE, 1 << 12), _powers(_UNDO, 1 << 12)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash for every word, of its bytes with A-Z lowered: a polynomial over their mixed values, taken from
-    prefix sums and mixed with the length. Long texts are hashed in blocks that end at white space."""
-    global _UP, _DOWN
+    """A 64-bit hash for every word, of its bytes with A-Z lowered. Long texts are hashed in blocks that end at white
+    space."""
     data = np.frombuffer(raw, np.uint8)
     found, at = [], 0
     while at < len(data):
@@ -75,14 +57,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
             end += 1
         part = data[at:end]
         at = end
-        if len(part) > len(_UP):
-            _UP, _DOWN = _powers(_BASE, 2 * len(part)), _powers(_UNDO, 2 * len(part))
         gap = np.concatenate([[True], _SPACE[part], [True]])
         turns = np.flatnonzero(gap[1:] != gap[:-1])
-        starts, ends = turns[::2], turns[1::2]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[part] * _UP[: len(part)], dtype=np.uint64)])
-        if len(starts):
-            found.append(_mixed((sums[ends] - sums[starts]) * _DOWN[starts] ^ _mixed((ends - starts).astype(np.uint64))))
+        found.append(span_hashes(_FOLD[part], turns[::2], turns[1::2]))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -94,7 +71,7 @@ def grams_of(words: np.ndarray, width: int) -> np.ndarray:
     size = min(width, n)
     found = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
-        found = _mixed((found * _MIX) ^ words[i : n - size + 1 + i])
+        found = mixed((found * _MIX) ^ words[i : n - size + 1 + i])
     return np.unique(found)
 
 

@@ -14,13 +14,12 @@ import codecs
 import heapq
 import json
 import os
-import unicodedata
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import regex
 
-from pixelquilt.llm.encoding import Memory, segments, windows
+from pixelquilt.llm.encoding import LONGEST_REMEMBERED, WINDOW, Memory, load_tokenizer, segments, windows
 
 
 def byte_letters() -> list[str]:
@@ -116,7 +115,11 @@ class Transducer:
 
 
 class BpeEncoder:
-    """A word-level BPE vocabulary file as a chain of small machines: segments, special strings, words, merges."""
+    """A word-level BPE vocabulary file as a chain of small machines: segments, special strings, words, merges.
+
+    Where words begin and end, and which letters are small ones, is up to the library's own normalizer and splitter, whose
+    character tables are of another Unicode version than Python's. Plain ASCII is split here, by the file's pattern.
+    """
 
     _made: dict[str, "BpeEncoder"] = {}
 
@@ -126,14 +129,13 @@ class BpeEncoder:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None:
             raise ValueError(f"{path}: not a lower-casing word vocabulary")
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.library = load_tokenizer(path)
+        self.words = re.compile(_ascii_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), re.ASCII)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.token_of = {**self.merges.text_of, **{i: s for s, i in self.special.items()}}
-        self.byte_ids = [self.merges.id_of[c] for c in byte_letters()]
-        self.end_ids = [self.merges.id_of[c + self.merges.word_end] for c in byte_letters()]
-        self.whole = 4 * self.merges.lookahead
-        self.word_memory = Memory(lambda unknown: [self._packed(w) for w in unknown])
+        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self.word_memory = Memory(lambda unknown: [b"".join(self._word(w)) for w in unknown])
         self.memory = Memory(lambda unknown: [b"".join(self._segment(s)) for s in unknown])
 
     @classmethod
@@ -145,30 +147,44 @@ class BpeEncoder:
             cls._made[name] = cls(name if os.sep in name else public_tokenizers.path(name))
         return cls._made[name]
 
-    def _packed(self, word: str) -> bytes:
-        data = word.encode("utf-8")
-        if len(data) <= self.whole:  # the machine would hold all of it until the word ends
-            ids = self.merges.merge([*[self.byte_ids[b] for b in data[:-1]], self.end_ids[data[-1]]])
-        else:
-            machine = Transducer(self.merges)
-            ids = [i for at in range(0, len(data), machine.room) for i in machine.feed(data[at : at + machine.room])]
-            ids += machine.end()
-        return np.array(ids, dtype="<u4").tobytes()
+    def _word(self, word: bytes) -> Iterator[bytes]:
+        """The machine's ids of one word, as it emits them."""
+        machine = Transducer(self.merges)
+        for at in range(0, len(word), machine.room):
+            yield np.fromiter(machine.feed(word[at : at + machine.room]), dtype="<u4").tobytes()
+        yield np.fromiter(machine.end(), dtype="<u4").tobytes()
+
+    def _split(self, part: str) -> list[bytes]:
+        if part.isascii():
+            return [w.encode() for w in self.words.findall(part.lower())]
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+        return [bytes(map(self.byte_of.__getitem__, letters)) for letters, _ in found]
 
     def _segment(self, segment: str) -> Iterator[bytes]:
         for part in self.cut.split(segment):
             if part in self.special:
                 yield np.array([self.special[part]], dtype="<u4").tobytes()
             elif part:
-                # Lower case letter by letter: no letter's form depends on its neighbours.
-                plain = unicodedata.normalize("NFC", part)
-                plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-                yield from self.word_memory.of(self.words.findall(plain))
+                words = self._split(part)
+                if len(part) > LONGEST_REMEMBERED:
+                    for word in words:
+                        yield from self._word(word)
+                else:
+                    yield from self.word_memory.of(words)
 
     def stream(self, text: str | None) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit bytes, window by window."""
+        """Ids as little-endian unsigned 32-bit bytes, window by window, and piece by piece in words that outlast one."""
         for window in windows(text or ""):
-            yield b"".join(self.memory.of(segments(window)))
+            if len(window) > 2 * WINDOW:
+                for segment in segments(window):
+                    yield from self._segment(segment)
+            else:
+                yield b"".join(self.memory.of(segments(window)))
+
+
+def _ascii_pattern(pattern: str) -> str:
+    """The word pattern for plain ASCII text, where letters and digits are these."""
+    return pattern.replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]")
 
 
 class BpeDecoder:

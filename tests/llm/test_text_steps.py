@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -47,6 +48,58 @@ def test_transducer_matches_library_with_a_bounded_buffer():
         assert BpeDecoder(own.token_of).feed(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_encodes_as_in_the_library():
+    library, own = load_tokenizer("word_bpe_49k.json"), BpeEncoder.of("word_bpe_49k.json")
+    texts = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    for form in ("{}", "a{}b 1{}"):
+        lines = [form.replace("{}", t) for t in texts]
+        want = [packed(e.ids) for e in library.encode_batch(lines, add_special_tokens=False)]
+        off = [t for t, line, ids in zip(texts, lines, want) if b"".join(own.stream(line)) != ids]
+        assert not off, [hex(ord(c)) for c in off[:20]]
+
+
+def test_odd_strings_encode_as_in_the_library():
+    library, own, draw = load_tokenizer("word_bpe_49k.json"), BpeEncoder.of("word_bpe_49k.json"), random.Random(7)
+    pieces = ["\t", "\n", "\x1c", " ", "\x85", "\xa0", "a", "É", "İ", "Σ", "!", "#", "<|endoftext|>", "<|END", "it's ", "I'LL", "\u0301", "12", "日本", "😀", "  ", "\u088f", "ﬁ"]
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(0, 12)))
+        assert b"".join(own.stream(text)) == packed(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_long_texts_are_cut_and_long_words_emitted_piece_by_piece():
+    library, own, draw = load_tokenizer("word_bpe_49k.json"), BpeEncoder.of("word_bpe_49k.json"), random.Random(8)
+    text = " ".join("".join(draw.choice("abcdeé,") for _ in range(draw.randint(1, 9))) for _ in range(120_000))
+    assert len(text) > 2 * (1 << 18)
+    assert b"".join(own.stream(text)) == packed(library.encode(text, add_special_tokens=False).ids)
+    other = Encoder.of("byte_bpe_50k.json")
+    assert other.ids(text) == packed(load_tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids) and Encoder.of("byte_bpe_50k.json", True).count(text) * 4 == len(other.ids(text))
+    word = "".join(draw.choice("etaoin") for _ in range(600_000))
+    pieces = list(own.stream(word))
+    assert len(pieces) > 500 and max(map(len, pieces)) <= 4 * 2 * own.merges.lookahead * 4
+    assert b"".join(pieces) == packed(library.encode(word, add_special_tokens=False).ids)
+
+
+def test_encoding_keeps_little_memory():
+    """A text of 50 MB in windows: what is held besides it does not grow with it."""
+    own = BpeEncoder.of("word_bpe_49k.json")
+    line = " ".join(f"word{i % 5000}" for i in range(20_000)) + " "
+    text = line * (50_000_000 // len(line))
+    tracemalloc.start()
+    count = sum(len(ids) for ids in own.stream(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count > 4 * 5_000_000 and peak < 60_000_000
+
+
+def test_round_trip_query(spark, odd):
+    library = load_tokenizer("word_bpe_49k.json")
+    want = []
+    for r in odd.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert whole(bpe.round_trip(odd)) == sorted(want, key=repr) and bpe.round_trip(odd.limit(0)).count() == 0
+
+
 def test_byte_decoder_holds_back_unfinished_characters():
     library = load_tokenizer("byte_bpe_50k.json")
     ids = library.encode("naïve 😀 日本<|endoftext|>", add_special_tokens=False).ids[:-2]
