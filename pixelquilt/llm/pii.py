@@ -8,6 +8,8 @@ has the key can undo it. Everything is column expressions; documents do not move
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from pixelquilt.functions.binding import let, let_all
 from pixelquilt.llm.common import fresh, table
 from pixelquilt.llm.registry import query
 
-#: Use a secret of your own; whoever has it can turn pseudonyms back.
-KEY = "replace-this-key"
+#: The session's setting that holds the secret; whoever has it can turn pseudonyms back.
+KEY_SETTING = "spark.pixelquilt.pseudonymKey"
 ROUNDS = 8
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -28,6 +30,15 @@ DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\2\d{4})(?![\d]|[./-]\
 SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])|(?<=password=)[^\s\"']{4,64}"
 ANY = "|".join([EMAIL, ADDRESS, CARD, PHONE, IDENTITY, DATE, SECRET])
 
+_drawn: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret of the session's configuration. Where none is set, one is drawn for this application and told to
+    nobody: its pseudonyms agree with each other, and cannot be undone later."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -73,6 +84,7 @@ _KINDS = [
     ("address", r"^(?:\d{1,3}\.){3}\d{1,3}$"),
     ("date", r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"),
     ("card", r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})$"),
+    ("identity", r"^\d{3}-\d{2}-\d{4}$"),
     ("key", r"^AKIA[0-9A-Z]{16}$"),
     ("hex", r"^[0-9a-f]{18,64}$"),
     ("phone", r"^[\d+(][\d ().-]*$"),
@@ -98,7 +110,12 @@ def _kind(value: Column) -> Column:
 
 
 def _day(v: Column) -> Column:
-    """``ok, y, m, d, form`` of a value that has a date's shape: day first, and month first where that is no date."""
+    """``start, form, late, long, values, sizes`` of a value that has a date's shape, null where it is no date.
+
+    A date without its year first is read day first, and month first where that is no date. So that a pseudonym is read
+    the way it was written, days up to 12 and days over 12 are permuted apart, each among those of their century. Days
+    up to 12 are 100 x 12 x 12; days over 12 are 22124, or 22125 where the century has a leap year more.
+    """
     iso, number = v.rlike(r"^\d{4}-"), lambda at, n: F.substring(v, at, n).cast("int")
     swapped = ~iso & (number(4, 2) > 12)
     gap = F.substring(v, 3, 1)
@@ -110,21 +127,37 @@ def _day(v: Column) -> Column:
     def checked(x: Column) -> Column:
         fine = x["y"].between(1000, 9899) & x["m"].between(1, 12) & (x["d"] >= 1)
         fine = F.when(fine, x["d"] <= F.dayofmonth(F.last_day(F.make_date(x["y"], x["m"], F.lit(1))))).otherwise(F.lit(False))
-        century = F.make_date((F.floor(x["y"] / 100) * 100).cast("int"), F.lit(1), F.lit(1))
-        after = F.make_date((F.floor(x["y"] / 100) * 100 + 100).cast("int"), F.lit(1), F.lit(1))
+        first = (F.floor(x["y"] / 100) * 100).cast("int")
+        century = F.make_date(first, F.lit(1), F.lit(1))
+        after = F.make_date(first + 100, F.lit(1), F.lit(1))
 
         def grid(c: Column) -> Column:
-            at = F.datediff(F.make_date(x["y"], x["m"], x["d"]), c["start"])
-            # The days of a century are 36524 = 92 x 397, or 36525 = 75 x 487.
-            rows, columns = F.when(c["long"], 75).otherwise(92), F.when(c["long"], 487).otherwise(397)
-            return F.struct(c["start"].alias("start"), x["form"].alias("form"), F.array(F.floor(at / columns).cast("int"), (at % columns).cast("int")).alias("values"), F.array(rows, columns).alias("sizes"))
+            late, month = x["d"] > 12, (x["y"] % 100) * 12 + x["m"] - 1
+            # Every month has twelve days up to 12.
+            at = F.when(late, F.datediff(F.make_date(x["y"], x["m"], x["d"]), c["start"]) - 12 * (month + 1)).otherwise(month * 12 + x["d"] - 1)
+            rows = F.when(~late, 120).when(c["long"], 125).otherwise(4)
+            columns = F.when(~late, 120).when(c["long"], 177).otherwise(5531)
+            return F.struct(
+                c["start"].alias("start"), x["form"].alias("form"), late.alias("late"), F.array(F.floor(at / columns).cast("int"), (at % columns).cast("int")).alias("values"), F.array(rows, columns).alias("sizes")
+            )
 
         return F.when(fine, let_all({"start": century, "long": F.datediff(after, century) == 36525}, grid))
 
     return let_all({"y": y, "m": m, "d": d, "form": form}, checked)
 
 
-def pseudonym(value: Column, key: str = KEY, backwards: bool = False) -> Column:
+def _date_at(day: Column, at: Column) -> Column:
+    """The date that stands at a place of its permutation: the way back from ``_day``."""
+    first = F.year(day["start"])
+    early = F.make_date((first + F.floor(at / 144)).cast("int"), (F.floor(at / 12) % 12 + 1).cast("int"), (at % 12 + 1).cast("int"))
+    # A month has 18.4 days over 12 on average; the right month is the one that agrees with its own date.
+    guess = F.floor(at * 1200 / 22124.5).cast("int")
+    candidates = F.transform(F.sequence(guess - 2, guess + 2), lambda m: F.struct(m.alias("month"), F.date_add(day["start"], (at + 12 * (m + 1)).cast("int")).alias("date")))
+    agreeing = F.filter(candidates, lambda c: ((F.year(c["date"]) - first) * 12 + F.month(c["date"]) - 1 == c["month"]) & (F.dayofmonth(c["date"]) > 12))
+    return F.when(day["late"], F.get(agreeing, F.lit(0))["date"]).otherwise(early)
+
+
+def pseudonym(value: Column, key: str, backwards: bool = False) -> Column:
     """The pseudonym of a found value, or with ``backwards`` the value of a pseudonym. What does not validate stays.
 
     Letters stay letters of their case, digits stay digits, other characters stay. An email keeps its domain, a phone
@@ -153,8 +186,9 @@ def pseudonym(value: Column, key: str = KEY, backwards: bool = False) -> Column:
             variable = F.filter(places, lambda a: a >= 0)
             octets = F.transform(F.split(s["x"]["v"], r"\."), lambda p: p.cast("int"))
             kind = s["x"]["kind"]
-            values = F.when(kind == "address", octets).when(kind == "date", s["day"]["values"]).otherwise(F.transform(variable, lambda a: a - base(a)))
-            sizes = F.when(kind == "address", F.array(*[F.lit(256)] * 4)).when(kind == "date", s["day"]["sizes"]).otherwise(F.transform(variable, many))
+            parts = F.transform(F.split(s["x"]["v"], "-"), lambda p: p.cast("int") - 1)
+            values = F.when(kind == "address", octets).when(kind == "identity", F.transform(parts, lambda p: F.greatest(p, F.lit(0)))).when(kind == "date", s["day"]["values"]).otherwise(F.transform(variable, lambda a: a - base(a)))
+            sizes = F.when(kind == "address", F.array(*[F.lit(256)] * 4)).when(kind == "identity", F.array(*map(F.lit, (999, 99, 9999)))).when(kind == "date", s["day"]["sizes"]).otherwise(F.transform(variable, many))
             slots = F.filter(F.transform(places, lambda a, i: F.when(a >= 0, i).otherwise(-1)), lambda i: i >= 0)
             known = {"s": s, "bases": F.transform(variable, base), "slots": slots, "values": values.cast("array<int>"), "sizes": sizes.cast("array<int>")}
             return let_all(known, permuted)
@@ -176,9 +210,12 @@ def pseudonym(value: Column, key: str = KEY, backwards: bool = False) -> Column:
         text = F.array_join(F.transform(s["chars"], one), "")
         digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
         real_card = luhn_digit(digits(F.array_join(s["chars"], ""))) == x["tail"]
-        day = F.date_add(s["day"]["start"], F.get(w["new"], F.lit(0)) * F.get(k["sizes"], F.lit(1)) + F.get(w["new"], F.lit(1)))
+        day = let(F.get(w["new"], F.lit(0)) * F.get(k["sizes"], F.lit(1)) + F.get(w["new"], F.lit(1)), lambda at: _date_at(s["day"], at))
+        real = ~x["v"].rlike("^000-|-00-|-0000$")
+        part = lambda i, n: F.lpad((F.get(w["new"], F.lit(i)) + 1).cast("string"), n, "0")
         return (
             F.when(x["kind"] == "address", F.when(F.forall(k["values"], lambda p: p <= 255), F.array_join(w["new"].cast("array<string>"), ".")).otherwise(x["v"]))
+            .when(x["kind"] == "identity", F.when(real, F.concat_ws("-", part(0, 3), part(1, 2), part(2, 4))).otherwise(x["v"]))
             .when(x["kind"] == "date", F.coalesce(F.call_function("date_format", day, s["day"]["form"]), x["v"]))
             .when(x["kind"] == "card", F.when(real_card, let(text, lambda t: F.concat(t, luhn_digit(digits(t))))).otherwise(x["v"]))
             .otherwise(F.concat(x["head"], text, x["tail"]))
@@ -187,7 +224,7 @@ def pseudonym(value: Column, key: str = KEY, backwards: bool = False) -> Column:
     return let_all({"v": value, "kind": _kind(value)}, cut)
 
 
-def mask_text(text: Column, key: str = KEY) -> Column:
+def mask_text(text: Column, key: str) -> Column:
     """A whole text with its personal data replaced. Null stays null; a text without any stays as it is."""
     gaps = F.split(text, ANY, -1)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -201,18 +238,19 @@ def mask_text(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(r"[0-9@]|password=") & text.rlike(ANY), let_all({"gaps": gaps, "found": found}, joined)).otherwise(text)
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """The same rows and columns, with ``text`` masked.
+def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """The same rows and columns, with ``text`` masked; the key is the session's where none is given.
 
     Null and empty texts stay; all other columns, whatever their names, are carried along; an empty table stays empty.
-    Addresses with a part over 255, card numbers with a wrong check digit and impossible dates are not touched.
+    Addresses with a part over 255, card numbers with a wrong check digit, identity numbers with a part of zeros and
+    impossible dates are not touched.
     """
-    return df.withColumn(text, mask_text(F.col(text), key))
+    return df.withColumn(text, mask_text(F.col(text), key or session_key(df.sparkSession)))
 
 
 @query("op8_pseudonyms")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     masked = fresh(docs, "masked")
-    found = docs.withColumn(masked, mask_text(F.col("text")))
+    found = docs.withColumn(masked, mask_text(F.col("text"), session_key(spark)))
     return found.select("doc_id", F.col(masked).alias("text"), F.coalesce(F.col(masked) != F.col("text"), F.lit(False)).alias("changed"))
