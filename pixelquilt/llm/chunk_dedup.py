@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import bitmap_of, fresh, in_bitmap, stage, table, task_batches
+from pixelquilt.llm.common import bitmap_of, fresh, importable, in_bitmap, scratch, stage, table
 from pixelquilt.llm.hashing import Runs, mixed, span_hashes
 from pixelquilt.llm.registry import query
 
@@ -187,7 +187,7 @@ def _judged(spans: DataFrame, width: int) -> DataFrame:
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``key, doc, places``: for every document with any, the spans of its words (first, end) that occur before."""
-    task_batches(df.sparkSession)
+    importable(df.sparkSession)
     context = df.sparkSession.sparkContext
     rows = df.select(F.col(key).alias("key"), _identity(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
 
@@ -204,7 +204,8 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
             return [first] * 5
         return first, after - first, w.digest(0, first, after), w.digest(1, first, after), _places(doc, first)
 
-    judged = stage(_judged(stage(_spans(rows, units), "units"), min_words), "judged-units")
+    with scratch(df.sparkSession) as keep:
+        judged = keep(stage(_judged(stage(_spans(rows, units), "units"), min_words), "judged-units"))
     own = context.broadcast(bitmap_of(judged.filter("NOT later"), F.col("place"), hashed=True))
 
     def open_windows(doc, t):
@@ -262,7 +263,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
     or repeat, and rows with the same key and text are treated as one document. Other columns are carried along
     whatever their names; an empty table stays empty. Only documents with repeats are moved.
     """
-    found = stage(repeats(df, key, text, min_words), "repeats").select(F.struct(F.col("key").alias("k"), F.col("doc").alias("d")).alias("_id"), "places")
+    with scratch(df.sparkSession) as keep:
+        found = keep(stage(repeats(df, key, text, min_words), "repeats"))
+    found = found.select(F.struct(F.col("key").alias("k"), F.col("doc").alias("d")).alias("_id"), "places")
     marked = bitmap_of(found, F.col("_id.d"), hashed=True)
     held = df.sparkSession.sparkContext.broadcast(marked)
     doc, places = fresh(df, "doc"), fresh(df, "places")

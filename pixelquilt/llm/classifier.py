@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import fresh, table, task_batches
+from pixelquilt.llm.common import fresh, importable, table
 from pixelquilt.llm.registry import query
 
 #: Labelled rows that the fit takes at most: for each dictionary, and for the curve. They are those with the smallest
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # At most 2 x DICTIONARY_ROWS + CURVE_ROWS keys. Keys may repeat in the documents, so the rows are bounded again.
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").join(F.broadcast(chosen), "k")
     rows = rows.select("y", "fold", "t", F.xxhash64("k", "t").alias("h"))
-    task_batches(docs.sparkSession)
+    importable(docs.sparkSession)
 
     def sample(batches):
         for batch in batches:
@@ -130,7 +130,7 @@ def score(df: DataFrame, model: tuple[bytes, bytes, float, float], key: str = "d
     not read, an empty table gives an empty result. Nothing is shuffled.
     """
     good, bad, slope, offset = model
-    task_batches(df.sparkSession)
+    importable(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 

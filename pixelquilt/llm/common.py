@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -19,14 +21,72 @@ WORD_GAPS = r"[\x20\x09-\x0D]+"
 BITMAP_WORDS = 1 << 18
 
 
+#: While a staged table is written, shuffle files go as soon as its job is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: The folders of the open scratch blocks, innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write to the cluster's shared folder and read back: cuts the lineage, and survives lost executors."""
+    """Write to the cluster's shared folder and read back: cuts the lineage, and survives lost executors.
+
+    The folder stays until the ``scratch`` block ends in which it was written.
+    """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    # Shuffle files go once the driver's collector has seen that nothing needs them, as its periodic run would do.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _open.get():
+        _open.get()[-1].append(path)
+    found = spark.read.schema(schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders, in whatever store they lie."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose staged tables are deleted at its end, but for those passed to what it yields.
+
+    What leaves the block must not read the others any more: it is itself a staged table that was kept.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.staged_at)
+        return df
+
+    outer = _open.get()
+    token = _open.set((*outer, made))
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        delete(spark, [path for path in made if path not in kept])
+        if outer:
+            outer[-1].extend(kept)
+
+
+@contextmanager
+def left_over(made: list[str]):
+    """A block whose staged tables are listed in ``made`` and stay, for a result that still reads them."""
+    token = _open.set((*_open.get(), made))
+    try:
+        yield
+    finally:
+        _open.reset(token)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -73,12 +133,6 @@ def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let workers on this machine import the package from where the driver has it."""
+    """Let workers on this machine import the package from where the driver has it. Their Arrow batches are bounded in
+    bytes by Spark's own setting, which stays as it is."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-
-
-def task_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small where rows are whole texts (a user's own smaller setting stays)."""
-    importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

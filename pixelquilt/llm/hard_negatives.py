@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import importable, stage, table
+from pixelquilt.llm.common import importable, scratch, stage, table
 from pixelquilt.llm.registry import query
 
 POSITIVES, NEGATIVES = 5, 3
@@ -316,7 +316,11 @@ def mine(df: DataFrame, is_anchor: Column, key: str = "vec_id", vector: str = "e
         return spark.createDataFrame([], OUT)
     if longest >= 2**53:
         raise ValueError("Vectors are too long for exact products")
-    width = max(2, width)
+    with scratch(spark) as keep:
+        return keep(stage(_mined(vectors, is_anchor, rows, max(2, width), positives, negatives), "hard-negatives"))
+
+
+def _mined(vectors: DataFrame, is_anchor: Column, rows: int, width: int, positives: int, negatives: int) -> DataFrame:
     sample = [r["x"] for r in vectors.orderBy(F.xxhash64("id", "x")).select("x").limit(SAMPLE).collect()]
     index, books = build_index(vectors, fit_codebooks(np.array([x + [0.0] * (width - len(x)) for x in sample]), rows))
     anchors = index.filter(is_anchor).select("row", "id", "label", "x")

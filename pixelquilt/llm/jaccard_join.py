@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import bitmap_of, in_bitmap, stage, table, task_batches
+from pixelquilt.llm.common import bitmap_of, importable, in_bitmap, scratch, stage, table
 from pixelquilt.llm.components import components
 from pixelquilt.llm.hashing import mixed, span_hashes
 from pixelquilt.llm.registry import query
@@ -107,7 +107,7 @@ def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``key, text_hash, n`` (size of the set), ``row`` (its digest) and ``c`` (the digest's first 64 bits)."""
-    task_batches(df.sparkSession)
+    importable(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     def sign(batches):
@@ -198,7 +198,8 @@ def _reordered(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
 
 
 def _label(links: DataFrame) -> DataFrame:
-    return stage(components(links), "labels")
+    with scratch(links.sparkSession) as keep:
+        return keep(stage(components(links), "labels"))
 
 
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -290,8 +291,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     but not name it; a component of null keys alone has a null id. Rows may repeat, other columns are not read, an
     empty table gives an empty result.
     """
-    signed, linked = links(df, key, text, width, percent)
-    roots = _label(linked.select("a", "b"))
+    with scratch(df.sparkSession) as keep:
+        signed, linked = links(df, key, text, width, percent)
+        roots = keep(_label(linked.select("a", "b")))
+        keep(signed)
     placed = signed.filter("n > 0").groupBy("row").agg(F.min("key").alias("least")).join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     # Only sets in a component of several need its smallest key.
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -308,8 +311,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     repeat the smallest key of a component all stay, as they are one document to the key. Of a key with several texts,
     each text is judged on its own.
     """
-    found = classes(df, key, text, width, percent)
-    dropped = stage(found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_dropped"), F.col("text_hash").alias("_text_hash")).distinct(), "dropped")
+    with scratch(df.sparkSession) as keep:
+        found = classes(df, key, text, width, percent)
+        dropped = keep(stage(found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_dropped"), F.col("text_hash").alias("_text_hash")).distinct(), "dropped"))
     return df.join(dropped, (F.col(key) == F.col("_dropped")) & (F.xxhash64(F.col(text)) == F.col("_text_hash")), "left_anti")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelquilt.llm.common import importable, stage, table
+from pixelquilt.llm.common import importable, scratch, stage, table
 from pixelquilt.llm.components import components
 from pixelquilt.llm.registry import query
 from pixelquilt.operators.ordinals import bounded_broadcast
@@ -310,6 +310,16 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     importable(spark)
     item = 4 if df.schema[vector].dataType.elementType == T.FloatType() else 8
     rows = stage(vector_rows(df, key, vector), "vectors")
+    with scratch(spark) as keep:
+        facts = keep(stage(_class_facts(rows, item, least, block), "class-facts"))
+    linked = rows.filter("cls IS NOT NULL").select("id", "cls").join(facts, "cls").select("id", "n_links", "component_id")
+    alone = rows.filter("cls IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    every = linked.unionByName(alone)
+    return every.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _class_facts(rows: DataFrame, item: int, least: float, block: int) -> DataFrame:
+    """``cls, n_links, component_id`` of every class of equal vectors."""
     classes = stage(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")), "vector-classes")
     found, longest = classes.agg(F.count(F.lit(1)), F.max(F.length("v"))).first()
     width = (longest or item) // item
@@ -326,11 +336,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     inside = of_class.filter("root IS NOT NULL")
     smallest = stage(inside.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     lone = of_class.filter("root IS NULL").select("cls", "n_links", F.col("least").alias("component_id"))
-    facts = inside.join(smallest, "root").select("cls", "n_links", "component_id").unionByName(lone)
-    linked = rows.filter("cls IS NOT NULL").select("id", "cls").join(facts, "cls").select("id", "n_links", "component_id")
-    alone = rows.filter("cls IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    every = linked.unionByName(alone)
-    return every.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return inside.join(smallest, "root").select("cls", "n_links", "component_id").unionByName(lone)
 
 
 SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import stage, table, task_batches
+from pixelquilt.llm.common import importable, stage, table
 from pixelquilt.llm.encoding import Encoder
 from pixelquilt.llm.registry import query
+from pixelquilt.operators.ordinals import bounded_broadcast
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -30,7 +31,7 @@ def cut_documents(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 
     Null and empty texts are the end id alone. Keys may be null or repeat.
     """
-    task_batches(df.sparkSession, 256)
+    importable(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -103,7 +104,7 @@ def _slots(patterns) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
+def _ranked(pieces: DataFrame, capacity: int) -> DataFrame:
     """Number the pieces of each length from 0. A frequent length is numbered in buckets and these are added up."""
     buckets = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "start", "ids_crc32", "doc_tokens"]
@@ -111,8 +112,8 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1
-    # At most lengths x buckets rows, which parameters bound.
-    return dealt.withColumn("_within", within).join(F.broadcast(offsets), ["length", "_bucket"]).withColumn("_rank", (F.col("_within") + F.col("_offset")).cast("long")).drop("_bucket", "_within", "_offset")
+    offsets = bounded_broadcast(offsets, capacity * buckets)
+    return dealt.withColumn("_within", within).join(offsets, ["length", "_bucket"]).withColumn("_rank", (F.col("_within") + F.col("_offset")).cast("long")).drop("_bucket", "_within", "_offset")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -123,11 +124,11 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", token
     empty table gives no pieces, other columns are not read. What the driver holds is the histogram and the patterns,
     whose size depends on ``capacity`` alone.
     """
-    pieces = stage(cut_documents(df, key, text, tokenizer, capacity, end_id), "pieces")
+    cut = cut_documents(df, key, text, tokenizer, capacity, end_id)
+    pieces = stage(cut if ids else cut.drop("ids"), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = _slots(plan_patterns(histogram, capacity))
-    narrow = pieces if ids else pieces.drop("ids")
-    ranked = _ranked(narrow)
+    ranked = _ranked(pieces, capacity)
     length_at, rank_at = ranked.columns.index("length"), ranked.columns.index("_rank")
 
     def place(batches):

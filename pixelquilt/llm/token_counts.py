@@ -8,23 +8,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import table, task_batches
+from pixelquilt.llm.common import importable, table
 from pixelquilt.llm.encoding import Encoder, segments, windows
 from pixelquilt.llm.registry import query
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Characters that are encoded as one batch.
-BATCH_CHARS = 1 << 18
+#: UTF-8 bytes that are encoded as one batch.
+BATCH_BYTES = 1 << 18
 
 
-def balanced(texts: list[str | None], size: int = BATCH_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Batches of (row, piece) with about ``size`` characters each, whatever the lengths of the texts."""
+def balanced(texts: list[str | None], size: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Batches of (row, piece) of about ``size`` UTF-8 bytes each, whatever the lengths of the texts."""
     batch, filled = [], 0
     for row, text in enumerate(texts):
-        for piece in windows(text or "", size):
+        text = text or ""
+        plain = text.isascii()
+        for piece in windows(text, size if plain else size // 4):
             batch.append((row, piece))
-            filled += len(piece)
+            filled += len(piece) if plain else len(piece.encode())
             if filled >= size:
                 yield batch
                 batch, filled = [], 0
@@ -39,7 +41,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     tokenizer has them. A null text counts as empty (0 bytes, 0 tokens). Keys may be null or repeat; other columns are
     not read, and an empty table gives an empty result. Nothing is shuffled.
     """
-    task_batches(df.sparkSession)
+    importable(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["key"].dataType.simpleString()
 

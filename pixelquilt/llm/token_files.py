@@ -19,9 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import table, task_batches
+from pixelquilt.llm.common import importable, stage, table
 from pixelquilt.llm.encoding import Encoder
 from pixelquilt.llm.registry import query
+from pixelquilt.operators.ordinals import bounded_broadcast
 from pixelquilt.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -95,6 +96,10 @@ class Codes:
         return found
 
 
+#: Characters of a text by which rows of one key are ranged.
+RANGE_CHARS = 64
+
+
 def write_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Encode whole texts and write their ids in ascending order of an integer key.
 
@@ -102,9 +107,10 @@ def write_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     documents next to each other, in the order of their texts. An empty table gives files without segments. Other
     columns are not read.
     """
-    task_batches(df.sparkSession, 256)
+    importable(df.sparkSession)
     ordered = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # What is sampled to set the ranges is the key and the beginning of a text, which orders it among equal keys.
+    ordered = ordered.repartitionByRange(F.col("key").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS).asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -140,7 +146,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each file.
     files = found.groupBy("part").agg(F.sum("n_ids").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0)))
-    return found.join(files.select("part", "_before"), "part").withColumn("first_id", F.col("_before") + F.col("local_start")).drop("_before")
+    totals = stage(files.select("part", "_before"), "file-totals")
+    return found.join(bounded_broadcast(totals, totals.count()), "part").withColumn("first_id", F.col("_before") + F.col("local_start")).drop("_before")
 
 
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -148,7 +155,8 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id", ids: boo
 
     def documents(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 codes = Codes(row["chunks"], row["marks"], row["ranks"])
                 bounds = [*row["doc_starts"], row["n_ids"]]
                 read = [codes.slice(a, b).astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:])]
@@ -158,7 +166,7 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id", ids: boo
                     columns, names = [*columns, pa.array(read, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    task_batches(spark, 8)
+    importable(spark)
     schema = "key long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
     return read_segments(spark, path).mapInArrow(documents, schema).withColumnRenamed("key", key)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import stage, table, task_batches
+from pixelquilt.llm.common import importable, stage, table
 from pixelquilt.llm.registry import query
 
 K = 5
@@ -130,7 +130,7 @@ def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
     the query's id; a query that repeats is answered once. Products must stay below 2^53.
     """
     spark = df.sparkSession
-    task_batches(spark, BLOCK)
+    importable(spark)
     vectors = whole_vectors(df, key, vector, scale)
     width = max(1, vectors.agg(F.max(F.size("x"))).first()[0] or 0)
     chosen = choose_pivots(vectors, width, pivots)

@@ -15,6 +15,7 @@ import heapq
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ import numpy as np
 from pixelquilt.llm.encoding import LONGEST_REMEMBERED, WINDOW, Memory, load_tokenizer, segments, windows
 
 
+#: Symbols up to which a scan over all pairs finds the next rule, and the rank of a pair without one.
+SCANNED, NEVER = 32, 1 << 60
+
+
 def byte_letters() -> list[str]:
     """The printable stand-ins of the 256 bytes in byte-level vocabularies: printable Latin-1 stands for itself, the
     other bytes follow from 256 on."""
@@ -40,6 +45,8 @@ class Merges:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
         for order, (left, right) in enumerate(pairs):
             self.rank[vocabulary[left], vocabulary[right]] = (order, vocabulary[left + right])
+        self.order = {pair: order for pair, (order, _) in self.rank.items()}
+        self.made = {order: made for order, made in self.rank.values()}
         self.lookahead = self._lookahead(pairs)
 
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
@@ -56,11 +63,25 @@ class Merges:
             longest = max(longest, length(made))
         return longest + max([0, *forming.values(), *undoing.values()])
 
+    def _scan(self, ids: list[int]) -> list[int]:
+        """``merge`` for few symbols: looking through all ranks costs less than a heap of them."""
+        order, made = self.order.get, self.made
+        ranks = [order(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = order((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = order((ids[i], ids[i + 1]), NEVER)
+        return ids
+
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the rules by rank, leftmost first, to symbols that lie together."""
         n = len(symbols)
-        if n < 2:
-            return symbols
+        if n <= SCANNED:
+            return self._scan(list(symbols))
         rank, ids = self.rank, list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = [(found[0], i, found[1], ids[i], ids[i + 1]) for i in range(n - 1) if (found := rank.get((ids[i], ids[i + 1])))]
@@ -82,36 +103,41 @@ class Merges:
 
 
 class Transducer:
-    """Encodes the symbols of one word as they come and emits ids once later symbols cannot change them."""
+    """Encodes the symbols of one word as they come and gives ids once later symbols cannot change them. After ``end``
+    it is ready for the next word."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.buffer, self.letters = merges, [], byte_letters()
+        self.merges, self.buffer = merges, []
+        self.of_byte = [merges.id_of[c] for c in byte_letters()].__getitem__
+        self.last = {merges.id_of[c]: merges.id_of[c + merges.word_end] for c in byte_letters()}
         self.room = 4 * merges.lookahead
 
-    def feed(self, data: bytes) -> Iterator[int]:
+    def feed(self, data: bytes) -> list[int]:
         """``data``: the next bytes of the word, of which at least one more must follow or ``end`` be called."""
-        id_of, letters = self.merges.id_of, self.letters
+        found = []
         for at in range(0, len(data), self.room):
-            self.buffer += [id_of[letters[b]] for b in data[at : at + self.room]]
+            self.buffer.extend(map(self.of_byte, data[at : at + self.room]))
             # The last symbol may turn out to be the word's end, which is another symbol.
             if len(self.buffer) > self.room:
-                yield from self._stable()
+                found += self._stable()
+        return found
 
-    def _stable(self) -> Iterator[int]:
-        limit, used = len(self.buffer) - 1 - self.merges.lookahead, 0
+    def _stable(self) -> list[int]:
+        limit, used, found = len(self.buffer) - 1 - self.merges.lookahead, 0, []
         for token in self.merges.merge(self.buffer[:-1]):
             size = len(self.merges.text_of[token])
             if used + size > limit:
                 break
             used += size
-            yield token
+            found.append(token)
         del self.buffer[:used]
+        return found
 
-    def end(self) -> Iterator[int]:
-        if self.buffer:
-            last = self.merges.text_of[self.buffer[-1]] + self.merges.word_end
-            yield from self.merges.merge([*self.buffer[:-1], self.merges.id_of[last]])
-        self.buffer = []
+    def end(self) -> list[int]:
+        symbols, self.buffer = self.buffer, []
+        if symbols:
+            symbols[-1] = self.last[symbols[-1]]
+        return self.merges.merge(symbols)
 
 
 class BpeEncoder:
@@ -129,6 +155,7 @@ class BpeEncoder:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None:
             raise ValueError(f"{path}: not a lower-casing word vocabulary")
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
+        self.machine = Transducer(self.merges)
         self.library = load_tokenizer(path)
         self.words = re.compile(_ascii_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), re.ASCII)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -149,10 +176,11 @@ class BpeEncoder:
 
     def _word(self, word: bytes) -> Iterator[bytes]:
         """The machine's ids of one word, as it emits them."""
-        machine = Transducer(self.merges)
+        machine = self.machine
         for at in range(0, len(word), machine.room):
-            yield np.fromiter(machine.feed(word[at : at + machine.room]), dtype="<u4").tobytes()
-        yield np.fromiter(machine.end(), dtype="<u4").tobytes()
+            if found := machine.feed(word[at : at + machine.room]):
+                yield array("I", found).tobytes()
+        yield array("I", machine.end()).tobytes()
 
     def _split(self, part: str) -> list[bytes]:
         if part.isascii():
