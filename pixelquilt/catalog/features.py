@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelquilt.catalog.base import query, table
 from pixelquilt.operators.features import grid_mean_pool, overlay_embeddings
+from pixelquilt.sources.buckets import stored_by
 
 
 def _long(df, *keys):
@@ -50,4 +51,6 @@ def _overlay(spark, d):
     patches = table_.select(
         F.floor(vec / 20).alias("sample_id"), (vec % 20).alias("patch_idx"), F.transform("embedding", lambda x: -x).alias("vec")
     )
-    return _long(overlay_embeddings(words, patches), "sample_id", "pos")
+    # Both lie by sample and place; the overlay moves neither.
+    keys = ["sample_id", "patch_idx"]
+    return _long(overlay_embeddings(stored_by(words, keys, "words"), stored_by(patches, keys, "patches")), "sample_id", "pos")

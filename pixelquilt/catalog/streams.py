@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelquilt.catalog.base import BATCH_SIZE, MAX_LENGTH, SEED, WORLD, digest, query, sql_caption, sql_clip, sql_digest, sql_ids, sql_labels, sql_plan_main, table
+from pixelquilt.catalog.base import BATCH_SIZE, MAX_LENGTH, SEED, SQL, WORLD, digest, query, sql_caption, sql_clip, sql_digest, sql_ids, sql_labels, sql_plan_main, table
 from pixelquilt.catalog.metrics import CENTS, cents
 from pixelquilt.operators.batch_udfs import collate_batches, map_batches
 from pixelquilt.plans.epochs import plan_main
 from pixelquilt.session import scratch_path
+from pixelquilt.sources.tables import stream_metric_log
 from pixelquilt.streaming import meter, prompts
 
 _RULES = {"hq": ["src1"], "text": ["src2", "src1"]}
@@ -54,6 +55,24 @@ def _stream_meter(spark, d):
     )
 
 
+@query("stream_meter_reset", SQL["meter_reset"])
+def _stream_meter_reset(spark, d):
+    """The loop's meter over arriving events: a reset at each logged step, the order restored from the event numbers."""
+    schema = table(spark, d, "events").schema
+    path, closing = scratch_path(spark, "reset-meters"), scratch_path(spark, "closing")
+    meter.closing_row(spark, schema, "event_id").limit(0).write.parquet(closing)
+
+    def drain():
+        arrivals = prompts.read_arrivals(spark, f"{d}/events.parquet*", schema).unionByName(prompts.read_arrivals(spark, closing, schema))
+        meters = meter.stateful_meter(arrivals, "user_id", "event_id", cents(), F.col("event_type") == "error", 1000)
+        stream_metric_log(meters, path, f"{path}-log")
+
+    drain()
+    meter.closing_row(spark, schema, "event_id").write.mode("append").parquet(closing)
+    drain()
+    return spark.read.parquet(path).drop("trigger")
+
+
 def _with_chars(frame, column):
     return frame.assign(text_chars=frame[column].str.len()).drop(columns=[column])
 

@@ -50,7 +50,9 @@ def overlay_embeddings(
     """Put patch vector ``patch_idx`` over the word vector wherever the index is not negative.
 
     ``words`` is (sample, pos, vec, patch_idx), ``patches`` is (sample, patch_idx, vec). Unused patches are
-    fine, an index without a patch is an error. A null index means none. Rows without an index skip the join, and with it the exchange.
+    fine, an index without a patch is an error. A null index means none. Rows without an index skip the join. Tables that
+    are stored by (sample, index) in equal numbers of buckets (``sources.buckets.stored_by``) are joined where they lie;
+    otherwise the vectors of both sides move.
     """
     plain = words.filter(F.coalesce(F.col(index), F.lit(-1)) < 0)
     placed = words.filter(F.col(index) >= 0).withColumnRenamed(vec, "_word")

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 SAMPLE_SCHEMA = T.StructType(
     [
@@ -114,6 +115,23 @@ def write_samples(df: DataFrame, path: str, batches_per_file: int = 4096, arrang
     rows.write.partitionBy("epoch", "rank").mode("overwrite").parquet(path)
 
 
-def metric_log(records: DataFrame, path: str) -> None:
-    """Append metric records."""
-    records.write.mode("append").parquet(path)
+def metric_log(records: DataFrame, path: str, trigger: int) -> None:
+    """Put the metric records of one trigger (a logging interval, a micro-batch) into the log.
+
+    A trigger is a partition that is written as a whole: one that is put again, because its first writing failed or its
+    caller did not hear of it, replaces itself. The log of all others is not touched.
+    """
+    numbered = records.withColumn("trigger", F.lit(trigger).cast("bigint"))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trigger").parquet(path)
+
+
+def stream_metric_log(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The same for a stream of records, each micro-batch under its own number: every record is in the log once."""
+    query = (
+        records.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(lambda batch, number: metric_log(batch, path, number))
+        .start()
+    )
+    query.awaitTermination()
+    return query

@@ -1,11 +1,16 @@
-"""Windowed meters over a metric stream, with bounded state."""
+"""Meters over a metric stream, with bounded state: per window, and as the training loop keeps them, with resets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _instant(stream: DataFrame, ts: str) -> Column:
@@ -34,6 +39,67 @@ def windowed_meter(stream: DataFrame, key: str, ts: str, value: Column, window:
     return meters.select(F.col("_w.start").alias("window_start"), key, "meter_val", "meter_sum", "meter_count", "meter_avg")
 
 
+_STATE = "segment bigint, total double, n bigint, steps array<bigint>, vals array<double>, resets array<boolean>"
+
+
+def _meter_rows(held: tuple, upto: int) -> tuple[pd.DataFrame, tuple]:
+    """Meters of the waiting updates up to a step, in order, and what is left to wait."""
+    segment, total, n, steps, values, resets = held
+    order = np.argsort(steps, kind="stable")
+    ready, rest = [i for i in order if steps[i] <= upto], [i for i in order if steps[i] > upto]
+    rows = []
+    for i in ready:
+        if values[i] is not None:
+            total, n = total + values[i], n + 1
+        rows.append((steps[i], segment, values[i], total, n, total / n if n else None))
+        if resets[i]:
+            segment, total, n = segment + 1, 0.0, 0
+    out = pd.DataFrame(rows, columns=["step", "segment", "meter_val", "meter_sum", "meter_count", "meter_avg"])
+    return out, (segment, total, n, [steps[i] for i in rest], [values[i] for i in rest], [resets[i] for i in rest])
+
+
+def stateful_meter(stream: DataFrame, key: str, step: str, value: Column, is_reset: Column, lateness: int) -> DataFrame:
+    """The running meter of each key, started again after every reset, over updates that arrive in any order.
+
+    ``step`` numbers the updates of a key from 0, and is the clock (a step is a millisecond): an update may come up to ``lateness`` steps behind the newest
+    one of any key. Until then later updates wait in the key's state; a timer lets them go when nothing earlier can
+    come any more. So the state of a key is its sums and the updates of the last ``lateness`` steps, and results equal
+    those of ``meter_reset`` over all updates that were not too late. Null values are not updates, but may reset. A
+    stream that ends is closed by ``closing_row``.
+    """
+    updates = stream.select(
+        F.col(key).alias("key"), F.col(step).cast("bigint").alias("step"), value.cast("double").alias("value"), F.coalesce(is_reset, F.lit(False)).alias("reset"), F.timestamp_millis(F.col(step).cast("bigint") + 1).alias("_ts")
+    )
+    kind = updates.schema["key"].dataType.simpleString()
+
+    def advance(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        segment, total, n, steps, values, resets = state.get if state.exists else (0, 0.0, 0, [], [], [])
+        held = [segment, total, n, list(steps), list(values), list(resets)]
+        for frame in frames:
+            held[3] += frame["step"].tolist()
+            held[4] += [None if pd.isna(v) else v for v in frame["value"]]
+            held[5] += frame["reset"].tolist()
+        rows, left = _meter_rows(tuple(held), state.getCurrentWatermarkMs() - 1)
+        state.update(left)
+        if left[3]:
+            state.setTimeoutTimestamp(left[3][0] + 1)
+        yield rows.assign(key=group[0])[["key", *rows.columns]]
+
+    timed = updates.withWatermark("_ts", f"{lateness} milliseconds").groupBy("key")
+    schema = f"key {kind}, step bigint, segment bigint, meter_val double, meter_sum double, meter_count bigint, meter_avg double"
+    meters = timed.applyInPandasWithState(advance, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return meters.filter(F.col("step") < CLOSING_STEP).withColumnsRenamed({"key": key, "step": step})
+
+
+#: The step of a closing row; far behind all others, and still an instant.
+CLOSING_STEP = 9_000_000_000_000
+
+
+def closing_row(spark: SparkSession, schema: T.StructType, step: str) -> DataFrame:
+    """The last row of a stream: it moves the clock past every waiting update, and has no meter of its own."""
+    return spark.range(1).select(*[F.lit(CLOSING_STEP if f.name == step else None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each trigger's changed meters below ``path/trigger=<n>``; a repeated trigger overwrites its own."""
 

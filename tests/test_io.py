@@ -1,5 +1,6 @@
 """Sources, sinks and streams."""
 
+import random
 import shutil
 
 import pytest
@@ -7,12 +8,13 @@ from tests.paths import SF
 from pyspark.sql import functions as F
 
 from pixelquilt.catalog.intake import _write_pngs
-from pixelquilt.operators import mixture
+from pixelquilt.operators import meters, mixture
+from pixelquilt.operators.features import overlay_embeddings
 from pixelquilt.operators.routing import parse_rules
 from pixelquilt.plans import epochs, feed
 from pixelquilt.plans.ingest import ingest
 from pixelquilt.session import scratch_path
-from pixelquilt.sources import images, tables
+from pixelquilt.sources import buckets, images, tables
 from pixelquilt.streaming import meter, prompts
 
 
@@ -150,11 +152,88 @@ def test_write_samples_layout(spark, tmp_path):
         assert order == sorted(order)
 
 
-def test_metric_log_appends(spark, tmp_path):
+def test_metric_log_holds_a_trigger_once(spark, tmp_path):
     path = str(tmp_path / "log")
-    for step in (1, 2):
-        tables.metric_log(spark.createDataFrame([(step, 0.5)], "global_step long, loss double"), path)
-    assert spark.read.parquet(path).count() == 2
+    put = lambda trigger, *rows: tables.metric_log(spark.createDataFrame(list(rows), "global_step long, loss double"), path, trigger)
+    put(0, (1, 0.5), (2, 0.4))
+    put(1, (3, 0.3))
+    put(1, (3, 0.3))
+    put(2)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 0.5, 0), (2, 0.4, 0), (3, 0.3, 1)]
+
+
+def test_streamed_records_are_logged_once_after_a_failure(spark, tmp_path, monkeypatch):
+    landing, path, log = (str(tmp_path / n) for n in ("landing", "log", "checkpoint"))
+    schema = "global_step long, loss double"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(landing)
+        tables.stream_metric_log(spark.readStream.schema(schema).parquet(landing), path, log)
+
+    arrive((1, 0.5), (2, 0.4))
+    put = tables.metric_log
+
+    def fails_after_writing(batch, path, trigger):
+        put(batch, path, trigger)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tables, "metric_log", fails_after_writing)
+    with pytest.raises(Exception, match="lost"):
+        arrive((3, 0.3))
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(tables, "metric_log", put)
+    arrive((4, 0.2))  # the failed trigger comes again, with its own rows
+    assert sorted(r["global_step"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
+
+
+def test_stateful_meter_equals_the_meter_with_resets(spark, tmp_path):
+    """Updates out of order over many triggers; one far too late."""
+    draw = random.Random(3)
+    schema = "k string, step long, v double, logged boolean"
+    rows = [(draw.choice(["a", "b", None]), step, draw.choice([None, float(draw.randint(0, 99))]), draw.random() < 0.1) for step in range(600)]
+    arrivals = sorted(rows, key=lambda r: r[1] + draw.randint(0, 40))
+    landing, out, log = (str(tmp_path / n) for n in ("landing", "out", "log"))
+
+    def arrive(data):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        tables.stream_metric_log(meter.stateful_meter(stream, "k", "step", F.col("v"), F.col("logged"), 50), out, log)
+
+    for at in range(0, 600, 150):
+        arrive(arrivals[at : at + 150])
+    got = spark.read.parquet(out)
+    # Meters of the newest steps wait for what may still come.
+    assert 0 < got.count() < 600
+    arrive([("a", 3, 1e6, True)])
+    arrive([tuple(r) for r in meter.closing_row(spark, spark.createDataFrame([], schema).schema, "step").collect()])
+    columns = ["k", "step", "segment", "meter_val", "meter_sum", "meter_count", "meter_avg"]
+    want = meters.meter_reset(spark.createDataFrame(rows, schema), ["k"], "step", F.col("v"), F.col("logged"))
+    assert sorted(map(tuple, spark.read.parquet(out).select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
+
+
+def test_waiting_updates_are_bounded():
+    held = (0, 0.0, 0, [5, 3, 9, 8], [1.0, 2.0, None, 4.0], [False, True, False, False])
+    rows, left = meter._meter_rows(held, 8)
+    assert rows["step"].tolist() == [3, 5, 8] and rows["segment"].tolist() == [0, 1, 1] and rows["meter_sum"].tolist() == [2.0, 1.0, 5.0]
+    assert left == (1, 5.0, 2, [9], [None], [False])
+
+
+def test_stored_vectors_are_overlaid_where_they_lie(spark):
+    words = spark.range(300).select((F.col("id") // 10).alias("sample_id"), (F.col("id") % 10).alias("pos"), F.array(F.col("id").cast("double")).alias("vec"), F.when(F.col("id") % 3 > 0, F.col("id") % 10).otherwise(-1).alias("patch_idx"))
+    patches = spark.range(300).select((F.col("id") // 10).alias("sample_id"), (F.col("id") % 10).alias("patch_idx"), F.array(-F.col("id").cast("double")).alias("vec"))
+    keys = ["sample_id", "patch_idx"]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        overlaid = overlay_embeddings(buckets.stored_by(words, keys, "words"), buckets.stored_by(patches, keys, "patches"))
+        assert "Exchange" not in overlaid._jdf.queryExecution().executedPlan().toString()
+        got = {(r["sample_id"], r["pos"]): r["vec"] for r in overlaid.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(i // 10, i % 10): [float(-i if i % 3 else i)] for i in range(300)}
 
 
 def test_cached_scan(spark, tmp_path):
