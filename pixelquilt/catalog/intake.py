@@ -107,7 +107,7 @@ def _ordered_samples(spark, d):
     """Samples without an id: scanned, numbered by file and row, sharded, shuffled, batched."""
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("source", T.StringType())])
     samples = tables.with_row_order(tables.scan_samples(spark, d, schema, "documents.parquet*"))
-    rows = plan_main(samples, "row_order", 4, BATCH_SIZE, 42).join(samples, "row_order")
+    rows = plan_main(samples, "row_order", 4, BATCH_SIZE, 42, dense=True).join(samples, "row_order")
     return rows.select("row_order", "epoch", "rank", "batch_id", "pos", F.md5("text").alias("text_md5"))
 
 

@@ -35,6 +35,24 @@ def _strided(spark, d):
     return S.shard_strided(_keys(spark, d), "doc_id", 7)
 
 
+_NAMED = "(SELECT 'page-' || page_id AS name FROM pages)"
+
+
+@query(
+    "shard_by_name",
+    f"""WITH o AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS o, count(*) OVER () AS n FROM {_NAMED}),
+s AS (SELECT name, o, n, o % 7 AS strided, CASE WHEN o < (n % 7) * (n // 7 + 1) THEN o // (n // 7 + 1) ELSE n % 7 + (o - (n % 7) * (n // 7 + 1)) // greatest(n // 7, 1) END AS contiguous FROM o)
+SELECT name, contiguous, strided, p.o + p.extra AS padded_ord FROM s JOIN (SELECT name, o, unnest([0, n]) AS extra, n FROM o) p USING (name) WHERE p.extra = 0 OR p.o < (7 - p.n % 7) % 7""",
+)
+def _by_name(spark, d):
+    """The three ways of sharding by a name, which is no number."""
+    names = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"))
+    blocks = S.shard_contiguous(names, "name", 7).select("name", F.col("rank").alias("contiguous"))
+    strides = S.shard_strided(names, "name", 7).select("name", F.col("rank").alias("strided"))
+    padded = S.pad_stride_sample(names, "name", 7).select("name", F.col("ord").alias("padded_ord"))
+    return blocks.join(strides, "name").join(padded, "name")
+
+
 @query("seeded_shuffle", f"WITH {_SHARD_PLAN} SELECT doc_id, epoch, rank, ord FROM plan_p")
 def _seeded(spark, d):
     expanded = S.epoch_expand(S.shard_contiguous(_keys(spark, d), "doc_id", WORLD), 2)
@@ -177,9 +195,9 @@ def _size_weights(spark, d):
 
 @query(
     "weighted_pick",
-    f"""WITH w AS (SELECT source, count(*)::DOUBLE / sum(count(*)) OVER () AS weight FROM documents GROUP BY source),
-c AS (SELECT source, sum(weight) OVER (ORDER BY source) AS hi, coalesce(sum(weight) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w),
-u AS (SELECT event_id, {sql_h60(SEED, 'event_id')}::DOUBLE / {float(1 << 60)}::DOUBLE AS u FROM events)
+    f"""WITH w AS (SELECT source, floor(count(*)::DOUBLE / sum(count(*)) OVER () * {float(M.WEIGHT_UNITS)})::BIGINT AS units FROM documents GROUP BY source),
+c AS (SELECT source, sum(units) OVER (ORDER BY source) AS hi, coalesce(sum(units) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w),
+u AS (SELECT event_id, floor({sql_h60(SEED, 'event_id')}::DOUBLE / {float(1 << 60)}::DOUBLE * (SELECT sum(units) FROM w)::DOUBLE)::BIGINT AS u FROM events)
 SELECT event_id, source FROM u JOIN c ON u >= lo AND u < hi""",
 )
 def _weighted_pick(spark, d):

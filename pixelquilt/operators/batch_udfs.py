@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -34,12 +35,36 @@ def map_batches(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, bat
     return df.mapInPandas(chunks, schema)
 
 
+def _edges(frame: pd.DataFrame, keys: list[str]) -> list[int]:
+    """Where logical batches begin in rows that lie batch by batch, and where the last one ends. Null keys are equal."""
+    own, last = frame[keys].iloc[1:].reset_index(drop=True), frame[keys].iloc[:-1].reset_index(drop=True)
+    new = ((own != last) & ~(own.isna() & last.isna())).any(axis=1)
+    return [0, *(np.flatnonzero(new.to_numpy()) + 1).tolist(), len(frame)]
+
+
 def collate_batches(
     df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, keys: list[str] = BATCH, order: str = "pos", **bound
 ) -> DataFrame:
-    """Apply ``fn`` to each logical batch, its rows in order. A batch has a fixed number of rows."""
+    """Apply ``fn`` to each logical batch, its rows in order. A batch has a fixed number of rows.
+
+    Rows are arranged by batch once and then stream through the workers; every block of rows that arrives is cut into the
+    logical batches it holds, and the one at its end waits for the next block. So what crosses to Python and back are
+    blocks of many batches, and no batch has a round trip of its own.
+    """
+    make = partial(fn, **bound)
 
-    def collate(frame: pd.DataFrame) -> pd.DataFrame:
-        return partial(fn, **bound)(frame.sort_values(order, ignore_index=True))
+    def collate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            edges = _edges(frame, keys)
+            done = [make(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(edges[:-2], edges[1:-1])]
+            held = frame.iloc[edges[-2] :]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield make(held.reset_index(drop=True))
 
-    return df.groupBy(*keys).applyInPandas(collate, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(collate, schema)

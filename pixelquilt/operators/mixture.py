@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquilt import config as C
 from pixelquilt.functions.hashing import hash60, unit_interval
-from pixelquilt.operators.ordinals import bounded_broadcast
+from pixelquilt.operators.ordinals import bounded_broadcast, running_sums
 
 KINDS = ["main", "text", "math"]
 
@@ -106,16 +106,35 @@ def size_weights(df: DataFrame, category: str) -> DataFrame:
     return counts.withColumn("weight", F.col("n_rows").cast("double") / total)
 
 
+#: Weights are cut into so many units; a draw is one of them.
+WEIGHT_UNITS = 1 << 40
+#: Cells of equal width that the units are divided into, at least.
+CELLS = 1024
+
+
+def draw_table(weights: DataFrame, category: str) -> tuple[DataFrame, int, int]:
+    """``(_cell, lo, hi, category)``, the units of all categories, and the width of a cell.
+
+    The units of the categories lie one after the other, in the order of their names; a category stands in every cell
+    that its units touch. There are at least as many cells as categories, so a cell holds two of them on average and
+    the table has at most one row for each category and each cell.
+    """
+    whole = weights.select(category, F.floor(F.col("weight") * F.lit(float(WEIGHT_UNITS))).cast("bigint").alias("_units")).filter("_units > 0")
+    total, count = whole.agg(F.coalesce(F.sum("_units"), F.lit(0)), F.count(F.lit(1))).first()
+    width = max(1, -(-total // max(count, CELLS)))
+    ranges = running_sums(whole, [], category, {"hi": F.col("_units")}).withColumn("lo", F.col("hi") - F.col("_units"))
+    cells = F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))
+    return ranges.select(F.explode(cells).alias("_cell"), "lo", "hi", category), total, width
+
+
 def weighted_pick(steps: DataFrame, weights: DataFrame, category: str, seed: int, step: str) -> DataFrame:
-    """Draw one category per step by weight.
+    """Draw one category per step by weight: a division gives the draw's cell, a comparison the category in it.
 
-    The cumulative bounds (one entry per category) travel as a single array value next to each step, so there
-    is no join. The last bound is closed at 1.
+    The table of cells meets the steps on the cell. Spark broadcasts it while it is small; a table of many categories is
+    joined by cell, and draws are spread evenly over cells. Without weights no step has a category.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(category)
-    bounds = weights.select(category, F.sum("weight").over(order).alias("hi"))
-    ladder = bounds.agg(F.array_sort(F.collect_list(F.struct("hi", category)))).scalar()
-    drawn = steps.withColumn("_ladder", ladder).withColumn("_u", unit_interval(hash60(F.lit(seed), F.col(step))))
-    above = F.filter(F.col("_ladder"), lambda b: b["hi"] > F.col("_u"))
-    hit = F.coalesce(F.get(above, F.lit(0)), F.element_at(F.col("_ladder"), -1))
-    return drawn.withColumn(category, hit[category]).drop("_ladder", "_u")
+    table, total, width = draw_table(weights, category)
+    unit = F.floor(unit_interval(hash60(F.lit(seed), F.col(step))) * F.lit(float(total))).cast("bigint")
+    drawn = steps.withColumn("_unit", unit).withColumn("_cell", F.floor(F.col("_unit") / width))
+    hit = drawn.join(table, "_cell").filter((F.col("_unit") >= F.col("lo")) & (F.col("_unit") < F.col("hi")))
+    return hit.select(*steps.columns, category)

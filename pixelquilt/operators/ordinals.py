@@ -13,11 +13,15 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelquilt import config as C
+from pixelquilt.functions.binding import let
 from pixelquilt.functions.hashing import HASH_BITS
 
 BUCKET = "_bucket"
+#: Sampled values for each cut of a column that is no number.
+SAMPLED_PER_CUT = 16
 _OFFSET = "_offset"
 
 
@@ -47,12 +51,14 @@ def hash_bucket(hashed: Column, buckets: int) -> Column:
 class OrderCuts:
     """Where an order column is cut into even buckets, and how many rows it has."""
 
-    cuts: list[float]
+    cuts: list
     rows: int
 
     def bucket(self, df: DataFrame, order: str, out: str = BUCKET) -> DataFrame:
         if not self.cuts:
             return df.withColumn(out, F.lit(0))
+        if not _numeric(df, order):
+            return df.withColumn(out, F.coalesce(_cuts_passed(F.col(order), self.cuts), F.lit(0)))
         splits = [-float("inf"), *self.cuts, float("inf")]
         numeric = f"{out}_v"
         cut = Bucketizer(splits=splits, inputCol=numeric, outputCol=out)
@@ -60,13 +66,34 @@ class OrderCuts:
         return placed.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
+def _numeric(df: DataFrame, order: str) -> bool:
+    return isinstance(df.schema[order].dataType, T.NumericType)
+
+
+def _cuts_passed(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are not above a value: first among the heads of runs of cuts, then in one run."""
+    run = math.isqrt(len(cuts) - 1) + 1
+    runs = [cuts[i : i + run] for i in range(0, len(cuts), run)]
+    listed = F.array(*[F.array(*map(F.lit, r)) for r in runs])
+    heads = F.array(*[F.lit(r[0]) for r in runs])
+
+    def passed(among: Column) -> Column:
+        return F.size(F.filter(among, lambda c: c <= value))
+
+    return let(passed(heads), lambda n: F.when(n == 0, F.lit(0)).otherwise((n - 1) * run + passed(F.get(listed, n - 1))))
+
+
 def order_cuts(df: DataFrame, order: str, buckets: int | None = None) -> OrderCuts:
-    """Cut a numeric order column at its quantiles, so that clustered or sparse ids still give even buckets.
+    """Cut an order column at its quantiles, so that clustered or sparse keys still give even buckets.
 
-    Reads that column alone, whole. At most ``buckets`` numbers and the row count reach the driver and become constants
-    of the plan: any cuts are correct, only evenness depends on them, and a recomputed task sees the same.
+    Reads that column alone, whole. At most ``buckets`` values and the row count reach the driver and become constants
+    of the plan: any cuts are correct, only evenness depends on them, and a recomputed task sees the same. Numbers are
+    cut at approximate quantiles; values of other types (strings, dates, binaries) at those of a sample of
+    ``SAMPLED_PER_CUT`` values for each cut, the ones of the smallest hashes.
     """
     buckets = buckets or default_buckets(df.sparkSession)
+    if not _numeric(df, order):
+        return _sampled_cuts(df.select(order), order, buckets)
     narrow = df.select(F.col(order).cast("double").alias("v"))
     probabilities = [i / buckets for i in range(1, buckets)]
     # The sketch is merged where the rows lie, and the count comes with it: one pass.
@@ -74,6 +101,15 @@ def order_cuts(df: DataFrame, order: str, buckets: int | None = None) -> OrderCu
     return OrderCuts(sorted(set(found["cuts"] or [])), found["rows"])
 
 
+def _sampled_cuts(narrow: DataFrame, order: str, buckets: int) -> OrderCuts:
+    """Cuts for any type that Spark orders; Spark itself orders the sample."""
+    known = narrow.filter(F.col(order).isNotNull())
+    sample = known.orderBy(F.xxhash64(order), order).limit(SAMPLED_PER_CUT * buckets)
+    values = [r[0] for r in sample.orderBy(order).collect()]
+    step = max(1, len(values) // buckets)
+    return OrderCuts(list(dict.fromkeys(values[step::step])), narrow.count())
+
+
 def bounded_broadcast(small: DataFrame, rows: int | None) -> DataFrame:
     """Hint a broadcast only where parameters bound the rows; otherwise leave the choice to Spark's size check."""
     if rows is not None and rows <= C.BROADCAST_ROWS:
@@ -130,8 +166,11 @@ def ordinal(
     )
 
 
-def id_ordinal(df: DataFrame, order: str, out: str = "ord", buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Zero-based place of each row of the table by a unique numeric column, and the table's row count."""
+def id_ordinal(df: DataFrame, order: str, out: str = "ord", buckets: int | None = None, dense: bool = False) -> tuple[DataFrame, int]:
+    """Zero-based place of each row of the table by a unique column of any type that has an order, and the table's row
+    count. A column that already numbers the rows from 0 without gaps (``dense``) is taken as it is."""
+    if dense:
+        return df.withColumn(out, F.col(order).cast("bigint")), df.select(order).count()
     buckets = buckets or default_buckets(df.sparkSession)
     cuts = order_cuts(df, order, buckets)
     return ordinal(cuts.bucket(df, order), [], [order], out, buckets=buckets), cuts.rows

@@ -31,9 +31,9 @@ def _div(value: Column, by: int) -> Column:
     return F.floor(value / by).cast("bigint")
 
 
-def contiguous(df: DataFrame, key: str, world: int) -> tuple[DataFrame, int]:
-    """``shard_contiguous`` and the table's row count."""
-    placed, rows = id_ordinal(df, key)
+def contiguous(df: DataFrame, key: str, world: int, dense: bool = False) -> tuple[DataFrame, int]:
+    """``shard_contiguous`` and the table's row count. ``dense``: the key numbers the rows from 0 already."""
+    placed, rows = id_ordinal(df, key, dense=dense)
     base, extra = divmod(rows, world)
     longer = extra * (base + 1)
     place = F.col("ord")
@@ -41,9 +41,9 @@ def contiguous(df: DataFrame, key: str, world: int) -> tuple[DataFrame, int]:
     return _with_rank(placed, rank, base, extra), rows
 
 
-def strided(df: DataFrame, key: str, world: int) -> tuple[DataFrame, int]:
-    """``shard_strided`` and the table's row count."""
-    placed, rows = id_ordinal(df, key)
+def strided(df: DataFrame, key: str, world: int, dense: bool = False) -> tuple[DataFrame, int]:
+    """``shard_strided`` and the table's row count. ``dense``: the key numbers the rows from 0 already."""
+    placed, rows = id_ordinal(df, key, dense=dense)
     return _with_rank(placed, F.col("ord") % world, *divmod(rows, world)), rows
 
 

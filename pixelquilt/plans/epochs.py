@@ -50,34 +50,35 @@ def _finish(shuffled: DataFrame, key: str, total: int, world: int, batch_size: i
     return EpochPlan(batched.select(key, *PLACE), total, world, batch_size, epochs)
 
 
-def main_plan(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> EpochPlan:
-    """The main table: contiguous shards, a full shuffle per rank and epoch, full batches."""
-    sharded, total = S.contiguous(samples.select(key), key, world)
+def main_plan(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1, dense: bool = False) -> EpochPlan:
+    """The main table: contiguous shards, a full shuffle per rank and epoch, full batches. ``dense``: the key numbers the
+    rows from 0 without gaps, as ``with_row_order`` does for a whole scan, and needs no numbering."""
+    sharded, total = S.contiguous(samples.select(key), key, world, dense)
     shuffled = S.seeded_shuffle(
         S.epoch_expand(sharded, epochs), key, seed, ["epoch", "rank"], "epoch", groups=world * epochs
     )
     return _finish(shuffled, key, total, world, batch_size, epochs)
 
 
-def side_plan(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> EpochPlan:
+def side_plan(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1, dense: bool = False) -> EpochPlan:
     """A lazily read table: strided shards, a bounded shuffle per rank and epoch, full batches."""
-    sharded, total = S.strided(samples.select(key), key, world)
+    sharded, total = S.strided(samples.select(key), key, world, dense)
     local = sharded.withColumn("ord", F.floor(F.col("ord") / world).cast("bigint"))
     shuffled = S.buffer_shuffle(S.epoch_expand(local, epochs), key, seed, ["epoch", "rank"], "epoch")
     return _finish(shuffled, key, total, world, batch_size, epochs)
 
 
-def plan_main(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
-    return main_plan(samples, key, world, batch_size, seed, epochs).rows
+def plan_main(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1, dense: bool = False) -> DataFrame:
+    return main_plan(samples, key, world, batch_size, seed, epochs, dense).rows
 
 
-def plan_side(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
-    return side_plan(samples, key, world, batch_size, seed, epochs).rows
+def plan_side(samples: DataFrame, key: str, world: int, batch_size: int, seed: int, epochs: int = 1, dense: bool = False) -> DataFrame:
+    return side_plan(samples, key, world, batch_size, seed, epochs, dense).rows
 
 
 def plan_validation(samples: DataFrame, key: str, world: int) -> DataFrame:
     """Strided shards in order, one row per batch."""
-    sharded, total = S.strided(samples.select(key), key, world)
+    sharded, total = S.strided(samples.select(key), key, world, dense)
     local = sharded.withColumn("ord", F.floor(F.col("ord") / world).cast("bigint")).withColumn(
         "epoch", F.lit(0).cast("bigint")
     )

@@ -21,12 +21,31 @@ def image_metadata(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
-def with_image_size(samples: DataFrame, sizes: DataFrame, path: str = "image_path", salts: int = 1024) -> DataFrame:
-    """Attach sizes by resolved path; rows without an image keep nulls.
+#: Paths that are looked up apart because many rows share them, at most, and the parts their rows are dealt into.
+HOT_PATHS, PARTS = 64, 64
 
-    Rows without a path match nothing. They are spread by their content, or all of them would meet in one task.
+
+def shared_paths(samples: DataFrame, path: str, most: int = HOT_PATHS) -> list[str]:
+    """The paths that more than a ``most``-th part of the rows name, by counts that are added up where the rows lie; there
+    are fewer than ``most``."""
+    counts = samples.filter(F.col(path).isNotNull()).groupBy(path).agg(F.count(F.lit(1)).alias("_n"))
+    total = samples.count()
+    return [r[0] for r in counts.filter(F.col("_n") * most > total).select(path).collect()]
+
+
+def with_image_size(samples: DataFrame, sizes: DataFrame, path: str = "image_path", parts: int = PARTS) -> DataFrame:
+    """Attach sizes by resolved path; rows without an image, or whose image has no size, keep nulls.
+
+    Rows without a path do not take part in the join. Rows of a path that very many share are dealt into ``parts`` parts,
+    and the size of that path is there once for each of them, so no task gets them all.
     """
-    without = F.pmod(F.xxhash64(*samples.columns), F.lit(salts))
-    salted = samples.withColumn("_salt", F.when(F.col(path).isNull(), without).otherwise(F.lit(0).cast("bigint")))
-    keyed = sizes.withColumnRenamed("path", path).withColumn("_salt", F.lit(0).cast("bigint"))
-    return salted.join(keyed, [path, "_salt"], "left").drop("_salt")
+    hot = shared_paths(samples, path)
+    own = [f for f in sizes.columns if f != "path"]
+    nothing = [F.lit(None).cast(sizes.schema[c].dataType).alias(c) for c in own]
+    without = samples.filter(F.col(path).isNull()).select("*", *nothing)
+    is_hot = F.col(path).isin(hot) if hot else F.lit(False)
+    dealt = samples.filter(F.col(path).isNotNull()).withColumn("_part", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(F.lit(0).cast("bigint")))
+    keyed = sizes.withColumnRenamed("path", path)
+    copies = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    joined = dealt.join(keyed.withColumn("_part", F.explode(copies)), [path, "_part"], "left")
+    return joined.select(*samples.columns, *own).unionByName(without)

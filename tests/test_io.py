@@ -130,6 +130,27 @@ def test_image_metadata_and_ingest(spark, tmp_path):
     assert found == {("hq", None, True, 5), ("hq", None, False, None), ("text", "text", True, None)}
 
 
+def test_a_path_on_half_of_the_rows_is_dealt_out(spark):
+    samples = spark.range(20_000, numPartitions=4).select("id", F.when(F.col("id") % 2 == 0, F.lit("/hot.png")).when(F.col("id") % 4 == 1, F.format_string("/%d.png", F.col("id"))).alias("image_path"))
+    sizes = spark.range(20_000).filter("id % 8 = 1").select(F.format_string("/%d.png", F.col("id")).alias("path"), F.col("id").alias("width"), F.lit(2).cast("bigint").alias("height"))
+    sizes = sizes.unionByName(spark.createDataFrame([("/hot.png", 5, 6)], sizes.schema))
+    assert images.shared_paths(samples, "image_path") == ["/hot.png"]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = images.with_image_size(samples, sizes)
+        per_task = [r["count"] for r in found.filter("image_path IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+        got = {r["id"]: (r["image_path"], r["width"], r["height"]) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(per_task) < 2 * 15_000 / 8
+    want = {i: ("/hot.png", 5, 6) if i % 2 == 0 else (f"/{i}.png", i if i % 8 == 1 else None, 2 if i % 8 == 1 else None) if i % 4 == 1 else (None, None, None) for i in range(20_000)}
+    assert got == want
+
+
 def test_write_samples_layout(spark, tmp_path):
     df = spark.range(64).select(
         (F.col("id") % 2).alias("epoch"), (F.col("id") % 4).alias("rank"), F.floor(F.col("id") / 8).alias("batch_id"), (F.col("id") % 8).alias("pos")

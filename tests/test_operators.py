@@ -410,6 +410,62 @@ def test_map_batches_sizes(spark):
     assert got == [10, 10, 5]
 
 
+def test_collating_crosses_to_python_by_blocks(spark):
+    """Batches that straddle blocks of rows come whole; null keys are keys."""
+    df = spark.range(3000, numPartitions=3).select((F.col("id") % 2).alias("epoch"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("rank"), F.floor(F.col("id") / 40).alias("batch_id"), F.col("id").alias("pos"))
+
+    def summed(frame):
+        assert frame["pos"].is_monotonic_increasing
+        return frame.iloc[:1].assign(total=frame["pos"].sum(), n=len(frame)).drop(columns=["pos"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = batch_udfs.collate_batches(df, summed, "epoch long, rank long, batch_id long, total long, n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = df.groupBy("epoch", "rank", "batch_id").agg(F.sum("pos").alias("total"), F.count("*").alias("n")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert batch_udfs.collate_batches(df.limit(0), summed, "epoch long, rank long, batch_id long, total long, n long").count() == 0
+
+
+def test_draws_from_very_many_categories(spark):
+    weights = spark.range(100_000).select(F.format_string("c%06d", F.col("id")).alias("source"), F.when(F.col("id") == 7, F.lit(0.5)).otherwise(F.lit(0.5 / 99_999)).alias("weight"))
+    table, total, width = mixture.draw_table(weights, "source")
+    cells = table.groupBy("_cell").count().agg(F.count("*").alias("cells"), F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    assert cells["rows"] <= cells["cells"] + 100_000 and cells["most"] <= 4
+    drawn = mixture.weighted_pick(spark.range(20_000).withColumnRenamed("id", "step"), weights, "source", 1, "step")
+    assert drawn.count() == 20_000 and abs(drawn.filter("source = 'c000007'").count() - 10_000) < 400
+    # Each draw lies among the units of its category.
+    ranges = {r["source"]: (r["lo"], r["hi"]) for r in table.collect()}
+    assert len(ranges) == 100_000 and sum(hi - lo for lo, hi in ranges.values()) == total
+    assert mixture.weighted_pick(spark.range(5).withColumnRenamed("id", "step"), weights.limit(0), "source", 1, "step").count() == 0
+
+
+@pytest.mark.parametrize("key", ["name", "day", "raw"])
+def test_shards_by_any_type(spark, key):
+    n = 5000
+    forms = {"name": F.format_string("s3://bucket/part-%08d.jpg", (F.col("id") * 7919) % 100_003), "day": F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "raw": F.unhex(F.sha2(F.col("id").cast("string"), 256))}
+    keys = spark.range(n).select(forms[key].alias("k"))
+    cuts = order_cuts(keys, "k", 64)
+    sizes = [r["count"] for r in cuts.bucket(keys, "k", "b").groupBy("b").count().collect()]
+    assert cuts.rows == n and len(sizes) > 50 and max(sizes) < 5 * n / 64
+    order = sorted(r["k"] for r in keys.collect())
+    placed = {bytes(r["k"]) if key == "raw" else r["k"]: (r["ord"], r["rank"]) for r in sharding.shard_strided(keys, "k", 7).collect()}
+    assert placed == {bytes(k) if key == "raw" else k: (i, i % 7) for i, k in enumerate(order)}
+    blocks = [r["rank"] for r in sharding.shard_contiguous(keys, "k", 7).orderBy("k").collect()]
+    assert blocks == sorted(blocks) and max(map(blocks.count, range(7))) - min(map(blocks.count, range(7))) <= 1
+    assert sharding.pad_stride_sample(keys, "k", 7).count() == n + -n % 7
+
+
+def test_a_dense_number_is_not_numbered_again(spark):
+    rows = spark.range(100).withColumnRenamed("id", "row_order")
+    again = epochs.plan_main(rows, "row_order", 4, 4, 42)
+    ready = epochs.plan_main(rows, "row_order", 4, 4, 42, dense=True)
+    assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, again.collect()))
+    assert sharding.contiguous(rows, "row_order", 4, dense=True)[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
 def test_collate_orders_rows(spark):
     def joined(frame, sep):
         head = frame.iloc[:1]
