@@ -176,11 +176,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _reordered(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Deciding cells (gram, c, n) in the order that has frequent columns last."""
+    """Deciding cells (gram, c, n, room) in the order that has frequent columns last.
+
+    ``room`` is how many columns a pair can still share whose first common column this is: those that follow in the row.
+    Where it is a frequent one, they are all frequent.
+    """
 
     def lead(batches):
         for batch in batches:
-            code, size, gram = [], [], []
+            code, size, gram, room = [], [], [], []
             column = batch.column(2)
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
             marks = in_bitmap(frequent, batch.column(3).values.to_numpy())
@@ -190,11 +194,17 @@ def _reordered(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                 gram.append(row)
                 code.append(np.full(len(row), c))
                 size.append(np.full(len(row), n))
-            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, code, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined], ["gram", "c", "n"])
+                room.append(n - np.arange(len(row)))
+            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, code, size, room)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined], ["gram", "c", "n", "room"])
 
     hashes = F.transform("grams", lambda g: F.xxhash64(g))
-    return sets.select("c", "n", "grams", hashes.alias("hashes")).mapInArrow(lead, "gram long, c long, n long")
+    return sets.select("c", "n", "grams", hashes.alias("hashes")).mapInArrow(lead, "gram long, c long, n long, room long")
+
+
+def _enough(n1: Column, n2: Column, common: Column, percent: int) -> Column:
+    """Whether two sets of these sizes may link with so many columns in common."""
+    return common * (100 + percent) >= (n1 + n2) * percent
 
 
 def _label(links: DataFrame) -> DataFrame:
@@ -252,7 +262,12 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
     cells = _shared(_reordered(concerned, frequent, percent), "late-cells")
     pairs = stage(_products(cells.filter(F.col("df") <= FREQUENT), percent).select("c1", "c2"), "late-pairs")
     known = stage(linked.unionByName(_verified(pairs, sets, percent)), "links")
-    crowded = stage(cells.filter(F.col("df") > FREQUENT).select("gram", "c", "n"), "crowded")
+    # What is left are pairs whose first common column is a crowded one. Then all others follow it in both rows, so a row
+    # takes part with a column only if enough of its columns follow: rows with a part of their own over a seventh, as
+    # texts on one template have it, meet nobody here.
+    n, room = F.col("n"), F.col("room")
+    least = F.ceil(n * percent / 100)
+    crowded = stage(cells.filter((F.col("df") > FREQUENT) & _enough(n, least, room, percent)).select("gram", "c", "n", "room"), "crowded")
     if crowded.isEmpty():
         return known
     codes = sets.select("row", "c")
@@ -261,7 +276,7 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
         at = codes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("c", F.coalesce("root", "row").alias("root"))
         placed = crowded.join(at, "c")
         # The centre of a column: the row of the smallest hash.
-        order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("c"), F.col("n").alias("n"), F.col("root").alias("root"))
+        order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), *[F.col(x).alias(x) for x in ("c", "n", "root")])
         spread = placed.groupBy("gram").agg(F.min(order).alias("centre"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("gram", "centre")
         spread = stage(spread, "spread")
         if spread.isEmpty():  # every frequent column lies in one component
@@ -271,9 +286,9 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
             met = outside.filter(_close("n", "centre.n", percent)).select(F.col("c").alias("c1"), F.col("centre.c").alias("c2"))
         else:
             # What is left, exactly: rows outside the centre's component with all rows of the column.
-            mine = outside.select("gram", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("root").alias("root1"))
-            others = placed.select("gram", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            met = mine.join(others, "gram").filter((F.col("root1") != F.col("root2")) & _close("n1", "n2", percent)).select("c1", "c2")
+            mine = outside.select("gram", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("root").alias("root1"), F.col("room").alias("room1"))
+            others = placed.select("gram", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("room").alias("room2"))
+            met = mine.join(others, "gram").filter((F.col("root1") != F.col("root2")) & _close("n1", "n2", percent) & _enough(F.col("n1"), F.col("n2"), F.least("room1", "room2"), percent)).select("c1", "c2")
         met = met.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
         new = stage(_verified(met, sets, percent), "links")
         known = known.unionByName(new)
