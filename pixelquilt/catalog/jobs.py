@@ -32,16 +32,16 @@ from pixelquilt.catalog.base import (
     table,
 )
 from pixelquilt.catalog.sharding import MATH_N, SQL_FEED, SQL_SIDES, SQL_STEPS, TEXT_N, feed_plans, sql_schedule
-from pixelquilt.functions.prompts import caption_prompt, inference_prompt
+from pixelquilt.functions.prompts import caption_prompt, inference_prompt, resolve_image_ref
 from pixelquilt.functions.tokens import text_tokens
 from pixelquilt.operators.batching import BATCH
 from pixelquilt.operators.vocab import build_coded_vocab, coded_rows, placed
 from pixelquilt.plans import encode, feed
-from pixelquilt.plans.epochs import plan_main
+from pixelquilt.plans.epochs import plan_main, plan_validation
 from pixelquilt.plans.ingest import ingest
 from pixelquilt.plans.postprocess import clean_outputs
 from pixelquilt.session import scratch_path
-from pixelquilt.sources.tables import cached_scan
+from pixelquilt.sources.tables import cached_scan, drop_columns, scan_file_list
 
 _OVER = f"OVER (PARTITION BY {', '.join(BATCH)})"
 _OVER_FEED = f"OVER (PARTITION BY {', '.join(feed.FEED_BATCH)})"
@@ -50,19 +50,23 @@ _OVER_FEED = f"OVER (PARTITION BY {', '.join(feed.FEED_BATCH)})"
 @query(
     "ingest_samples",
     f"""WITH s AS (SELECT page_id, {PAGE_IMAGE_URL} AS u, regexp_extract(url, '/(en|fr|de|es)/', 1) AS source FROM pages),
-r AS (SELECT *, 'hq' AS category FROM s WHERE starts_with(source, 'e') UNION ALL SELECT *, 'text' FROM s WHERE starts_with(source, 'fr') OR starts_with(source, 'es'))
-SELECT page_id, category, CASE WHEN category <> 'hq' THEN source END AS source, u IS NOT NULL AND trim(u, ' ' || chr(9)) <> '' AS has_image,
- CASE WHEN trim(u, ' ' || chr(9)) = '' THEN NULL WHEN u LIKE '/%' THEN u ELSE '/images/' || u END AS image_path FROM r""",
+r AS (SELECT *, 'hq' AS category FROM s WHERE starts_with(source, 'e') UNION ALL SELECT *, 'text' FROM s WHERE starts_with(source, 'fr') OR starts_with(source, 'es')),
+p AS (SELECT page_id, category, CASE WHEN category <> 'hq' THEN source END AS source, u IS NOT NULL AND trim(u, ' ' || chr(9)) <> '' AS has_image,
+ CASE WHEN trim(u, ' ' || chr(9)) = '' THEN NULL WHEN u LIKE '/%' THEN u ELSE '/images/' || u END AS image_path FROM r)
+SELECT *, CASE WHEN length(image_path) % 3 > 0 THEN 50 + length(image_path) * 37 ELSE -1 END AS width, CASE WHEN length(image_path) % 3 > 0 THEN 50 + length(image_path) * 91 ELSE -1 END AS height FROM p""",
 )
 def _ingest(spark, d):
+    """Samples with the sizes of their images, from a table that has them for two of three paths."""
     pages = table(spark, d, "pages")
     source = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
     samples = pages.select("page_id", page_image_url(F.col("url")).alias("image_url"), source.alias("source"))
-    return ingest(samples, {"hq": ["e"], "text": ["fr", "es"], "math": []}, "/images").drop("image_url")
+    long = F.length("path").cast("bigint")
+    paths = samples.select(resolve_image_ref(F.col("image_url"), "/images").alias("path")).filter("path IS NOT NULL").distinct()
+    sizes = paths.filter(long % 3 > 0).select("path", (50 + long * 37).alias("width"), (50 + long * 91).alias("height"))
+    return ingest(samples, {"hq": ["e"], "text": ["fr", "es"], "math": []}, "/images", sizes).drop("image_url").fillna(-1, ["width", "height"])
 
 
-_MIXED_BATCHES = f"""WITH {sql_plan_main('plan', 'documents', 'doc_id')},
-q AS (SELECT doc_id, {DOC_USABLE} AS usable, {sql_caption('text', 'doc_id')} AS prompt FROM documents),
+_MIXED_ROWS = f"""q AS (SELECT doc_id, {DOC_USABLE} AS usable, {sql_caption('text', 'doc_id')} AS prompt FROM documents),
 g AS (SELECT p.*, prompt, bool_and(usable) {_OVER} AS img FROM plan p JOIN q USING (doc_id)),
 e AS (SELECT *, CASE WHEN img THEN list_concat({SQL_TEMPLATE}, {sql_clip(sql_ids('prompt'), MAX_LENGTH)}) ELSE {sql_encode('prompt', MAX_LENGTH)} END AS ids FROM g),
 m AS (SELECT *, max(len(ids)) {_OVER} AS m FROM e),
@@ -81,9 +85,26 @@ def image_rows(spark, d):
     return encode.encode_training_batches(samples, plan, "doc_id", "prompt", doc_usable(), MAX_LENGTH)
 
 
-@query("image_training_batches", _MIXED_BATCHES)
+@query("image_training_batches", f"WITH {sql_plan_main('plan', 'documents', 'doc_id')}, {_MIXED_ROWS}")
 def _image_batches(spark, d):
-    rows = image_rows(spark, d)
+    return _mixed_digests(image_rows(spark, d))
+
+
+@query(
+    "validation_batches",
+    f"""WITH plan AS (SELECT doc_id, 0::BIGINT AS epoch, o % {WORLD} AS rank, o // {WORLD} AS batch_id, 0::BIGINT AS pos
+ FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents)), {_MIXED_ROWS}""",
+)
+def _validation_batches(spark, d):
+    """The validation path: a list of files, strided over the ranks in order, one row a batch, columns dropped."""
+    files = scan_file_list(spark, f"{d}/documents.parquet", table(spark, d, "documents").schema)
+    usable = files.withColumn("usable", doc_usable())
+    samples = drop_columns(usable.withColumn("prompt", caption_prompt(F.col("text"), F.col("doc_id"), SEED)), "source", "text")
+    plan = plan_validation(samples, "doc_id", WORLD)
+    return _mixed_digests(encode.encode_training_batches(samples, plan, "doc_id", "prompt", F.col("usable"), MAX_LENGTH))
+
+
+def _mixed_digests(rows):
     return rows.select(
         "doc_id",
         *BATCH,
@@ -177,8 +198,9 @@ def _training_feed(spark, d):
 
 @query(
     "clean_outputs",
-    f"""WITH g AS (SELECT doc_id, regexp_extract_all(text, '{C.TOKEN_PATTERN}') AS words, CASE WHEN h <= 336 AND w <= 336 THEN 1.0::DOUBLE
-  ELSE least(336::DOUBLE / h, 336::DOUBLE / w) END AS s FROM (SELECT doc_id, text, 50 + doc_id * 91 % 1400 AS h, 50 + doc_id * 37 % 1900 AS w FROM documents))
+    f"""WITH g AS (SELECT doc_id, regexp_extract_all(text, '{C.TOKEN_PATTERN}') AS words, CASE WHEN h <= th AND w <= tw THEN 1.0::DOUBLE
+  ELSE least(th::DOUBLE / h, tw::DOUBLE / w) END AS s FROM (SELECT doc_id, text, 50 + doc_id * 91 % 1400 AS h, 50 + doc_id * 37 % 1900 AS w,
+   200 + doc_id % 300 AS th, 300 + doc_id % 200 AS tw FROM documents))
 SELECT doc_id, md5(array_to_string(list_concat([''], words[1:3], [' <box>' || concat_ws(', ', 2 * trunc((doc_id % 97) / s)::BIGINT,
  2 * trunc((doc_id % 61) / s)::BIGINT, 2 * trunc((doc_id % 89) / s)::BIGINT, 2 * trunc((doc_id % 53) / s)::BIGINT) || '</box>'], words[4:]), ' ')) AS text_md5 FROM g""",
 )
@@ -195,5 +217,6 @@ def _clean_outputs(spark, d):
     vocab = build_coded_vocab(coded, "doc_id")
     ids = placed(coded, "doc_id", vocab, "token", "id", "Token is not in the vocabulary: ")
     generated = ids.join(outputs.drop("tokens"), "doc_id")
-    cleaned = clean_outputs(generated, "doc_id", "ids", vocab, (336, 336))
+    sizes = outputs.select("doc_id", (200 + k % 300).alias("th"), (300 + k % 200).alias("tw"))
+    cleaned = clean_outputs(generated, "doc_id", "ids", vocab, (336, 336), sizes)
     return cleaned.select("doc_id", F.md5("text").alias("text_md5"))

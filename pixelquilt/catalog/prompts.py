@@ -161,10 +161,12 @@ def _sql_scaled(text, scale):
 FROM seg WHERE is_location""",
 )
 def _scale(spark, d):
-    # Places count the delimiters too, as in a split that keeps them: 2 and 6 here.
-    segments = tags.segment_tags(tags.tags_to_tokens(F.col("tagged")))
-    rows = _tagged(spark, d).select("doc_id", F.posexplode(segments).alias("p", "s")).filter("s.is_location")
-    place = F.when(F.col("p") == 1, F.lit(2)).otherwise(F.lit(6)).cast("bigint")
+    rows = _tagged(spark, d).withColumn("parts", tags.segment_tags(tags.tags_to_tokens(F.col("tagged"))))
+    # Places count the delimiters too, as in a split that keeps them: two for each location before, and its own first.
+    before = lambda i: F.size(F.filter(F.slice("parts", 1, i), lambda s: s["is_location"]))
+    numbered = F.transform("parts", lambda s, i: F.struct(s["text"].alias("text"), s["is_location"].alias("is_location"), (i + 2 * before(i) + 1).cast("bigint").alias("place")))
+    rows = rows.select("doc_id", F.explode(numbered).alias("s")).filter("s.is_location")
+    place = F.col("s.place")
     scaled = F.array_join(tags.scale_tags(F.col("s.text"), 1.0), " ")
     return rows.select("doc_id", place.alias("place"), scaled.alias("tokens"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelquilt.functions.prompts import strip_placeholders
 from pixelquilt.functions.tags import restore_boxes, restore_points
-from pixelquilt.operators.vocab import token_strings
+from pixelquilt.operators.vocab import Vocabulary, token_strings
 
 
 def with_target_sizes(outputs: DataFrame, sizes: DataFrame | None, key: str, default: tuple[int, int]) -> DataFrame:
@@ -26,12 +26,13 @@ def with_target_sizes(outputs: DataFrame, sizes: DataFrame | None, key: str, def
     return joined.withColumns({c: F.when(matched, F.col(c)).otherwise(wrong) for c in ("th", "tw")}).drop("_sizes", "_output")
 
 
-def clean_outputs(outputs: DataFrame, key: str, ids: str, vocab: DataFrame, default: tuple[int, int]) -> DataFrame:
+def clean_outputs(outputs: DataFrame, key: str, ids: str, vocab: Vocabulary | DataFrame, default: tuple[int, int], sizes: DataFrame | None = None) -> DataFrame:
     """``(key, text)``: tokens looked up, boxes and points back in image coordinates, placeholders removed.
 
-    ``outputs`` carries ``height`` and ``width`` of each image.
+    ``outputs`` carries ``height`` and ``width`` of each image; ``sizes`` the target size of each output, else all of
+    them have the default.
     """
-    sized = with_target_sizes(outputs.drop(ids), None, key, default)
+    sized = with_target_sizes(outputs.drop(ids), sizes, key, default)
     tokens = token_strings(outputs, key, ids, vocab).join(sized, key)
     args = [F.col(c) for c in ("height", "width", "th", "tw")]
     boxed = tokens.withColumn("tokens", restore_boxes(F.col("tokens"), *args))

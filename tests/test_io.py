@@ -2,6 +2,7 @@
 
 import random
 import shutil
+import struct
 
 import pytest
 from tests.paths import SF
@@ -151,6 +152,26 @@ def test_a_path_on_half_of_the_rows_is_dealt_out(spark):
     assert got == want
 
 
+def test_sizes_come_from_headers():
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
+    gif = b"GIF89a" + struct.pack("<HH", 12, 34)
+    bmp = b"BM" + bytes(16) + struct.pack("<ii", 5, -7)
+    # A JPEG with an application segment and a table before its frame.
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + bytes(14) + b"\xff\xc4" + struct.pack(">H", 4) + b"ab" + b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 99, 77)
+    assert [images.header_size(x) for x in (png, gif, bmp, jpeg)] == [(640, 480), (12, 34), (5, 7), (77, 99)]
+    assert [images.header_size(x) for x in (b"", png[:20], b"\xff\xd8\xff", b"text")] == [None] * 4
+
+
+def test_header_partitions_are_ranges_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(images, "FILES_PER_PARTITION", 3)
+    for i in range(7):
+        (tmp_path / f"{i}.gif").write_bytes(b"GIF89a" + struct.pack("<HH", i + 1, 9) + bytes(100))
+    reader = images.HeaderReader([str(tmp_path)])
+    parts = reader.partitions()
+    assert [len(p.value[1]) for p in parts] == [3, 3, 1]
+    assert sorted(size for p in parts for _, size, _ in reader.read(p)) == list(range(1, 8))
+
+
 def test_write_samples_layout(spark, tmp_path):
     df = spark.range(64).select(
         (F.col("id") % 2).alias("epoch"), (F.col("id") % 4).alias("rank"), F.floor(F.col("id") / 8).alias("batch_id"), (F.col("id") % 8).alias("pos")
