@@ -17,10 +17,11 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
-from pixelquilt.llm.encoding import LONGEST_REMEMBERED, WINDOW, Memory, load_tokenizer, segments, windows
+from pixelquilt.llm.encoding import LONGEST_REMEMBERED, REMEMBERED, WINDOW, Memory, load_tokenizer, segments, windows
 
 
 #: Symbols up to which a scan over all pairs finds the next rule, and the rank of a pair without one.
@@ -140,6 +141,10 @@ class Transducer:
         return self.merges.merge(symbols)
 
 
+#: A word of its own that stands between parts; parts that hold it are split alone.
+_BETWEEN = "\x01"
+
+
 class BpeEncoder:
     """A word-level BPE vocabulary file as a chain of small machines: segments, special strings, words, merges.
 
@@ -162,8 +167,10 @@ class BpeEncoder:
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.token_of = {**self.merges.text_of, **{i: s for s, i in self.special.items()}}
         self.byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.word_memory = Memory(lambda unknown: [b"".join(self._word(w)) for w in unknown])
-        self.memory = Memory(lambda unknown: [b"".join(self._segment(s)) for s in unknown])
+        self.letter_between = byte_letters()[ord(_BETWEEN)]
+        self.marks = {s[:2] for s in self.special}
+        self.word_ids = lru_cache(REMEMBERED)(lambda word: b"".join(self._word(word)))
+        self.memory = Memory(self._segments)
 
     @classmethod
     def of(cls, name: str) -> "BpeEncoder":
@@ -188,8 +195,25 @@ class BpeEncoder:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
         return [bytes(map(self.byte_of.__getitem__, letters)) for letters, _ in found]
 
+    def _split_together(self, parts: list[str]) -> list[list[bytes]]:
+        """The library's words of many parts by one call, told apart by a word between them that no part holds."""
+        if not parts:
+            return []
+        text, groups, between = f" {_BETWEEN} ".join(parts), [[]], self.letter_between
+        for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            if letters == between:
+                groups.append([])
+            else:
+                groups[-1].append(bytes(map(self.byte_of.__getitem__, letters)))
+        return groups
+
+    def _segments(self, unknown: list[str]) -> list[bytes]:
+        together = [s for s in unknown if not s.isascii() and len(s) <= LONGEST_REMEMBERED and _BETWEEN not in s and not any(m in s for m in self.marks)]
+        words = dict(zip(together, self._split_together(together), strict=True))
+        return [b"".join(map(self.word_ids, words[s])) if s in words else b"".join(self._segment(s)) for s in unknown]
+
     def _segment(self, segment: str) -> Iterator[bytes]:
-        for part in self.cut.split(segment):
+        for part in self.cut.split(segment) if any(m in segment for m in self.marks) else (segment,):
             if part in self.special:
                 yield np.array([self.special[part]], dtype="<u4").tobytes()
             elif part:
@@ -198,7 +222,7 @@ class BpeEncoder:
                     for word in words:
                         yield from self._word(word)
                 else:
-                    yield from self.word_memory.of(words)
+                    yield from map(self.word_ids, words)
 
     def stream(self, text: str | None) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit bytes, window by window, and piece by piece in words that outlast one."""

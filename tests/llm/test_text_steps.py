@@ -61,7 +61,7 @@ def test_every_code_point_encodes_as_in_the_library():
 
 def test_odd_strings_encode_as_in_the_library():
     library, own, draw = load_tokenizer("word_bpe_49k.json"), BpeEncoder.of("word_bpe_49k.json"), random.Random(7)
-    pieces = ["\t", "\n", "\x1c", " ", "\x85", "\xa0", "a", "É", "İ", "Σ", "!", "#", "<|endoftext|>", "<|END", "it's ", "I'LL", "\u0301", "12", "日本", "😀", "  ", "\u088f", "ﬁ"]
+    pieces = ["\t", "\n", "\x1c", " ", "\x85", "\xa0", "a", "É", "İ", "Σ", "!", "#", "<|endoftext|>", "<|END", "it's ", "I'LL", "\x01", " \x01 ", "\u0301", "12", "日本", "😀", "  ", "\u088f", "ﬁ"]
     for _ in range(3000):
         text = "".join(draw.choice(pieces) for _ in range(draw.randint(0, 12)))
         assert b"".join(own.stream(text)) == packed(library.encode(text, add_special_tokens=False).ids), repr(text)
