@@ -127,12 +127,16 @@ def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
     ``is_query`` is a condition on the column ``id``. Ties go to the smaller id; with fewer candidates all are
     returned. A row whose id is null takes no part, nor do rows without a finite vector. Vectors of unequal length are
     compared over the components they share. Repeated rows are candidates of their own, except for rows that repeat
-    the query's id; a query that repeats is answered once. Products must stay below 2^53.
+    the query's id; a query that repeats is answered once. Squared lengths of 2^53 and more are an error.
     """
     spark = df.sparkSession
     importable(spark)
     vectors = whole_vectors(df, key, vector, scale)
-    width = max(1, vectors.agg(F.max(F.size("x"))).first()[0] or 0)
+    squared = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    longest, most = vectors.agg(F.max(F.size("x")), F.max(squared)).first()
+    if most is not None and most >= 2**53:
+        raise ValueError("Vectors are too long for exact products")
+    width = max(1, longest or 0)
     chosen = choose_pivots(vectors, width, pivots)
     schema = "query_id long, neg_score long, vec_id long"
     if not len(chosen):

@@ -4,6 +4,7 @@ import math
 
 import corpus_pipeline
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from pixelquilt.llm import queries, top_k
@@ -25,6 +26,8 @@ def test_top_k_odd_vectors(spark):
     rounded = [(q, r, i) for q, r, i, _ in got]
     assert rounded == [(q, r, i) for q, r, i, _ in sorted(want)]
     assert top_k.top_k(table.limit(0), F.col("id") % 50 == 0).count() == 0
+    with pytest.raises(ValueError):
+        top_k.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0)
 
 
 def test_top_k_twin(spark):
