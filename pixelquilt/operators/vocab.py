@@ -9,6 +9,7 @@ of an array is ever a row of its own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +68,18 @@ def entry_rows(coded: DataFrame, key: str, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A vocabulary at rest: bucketed by token, and by id where decoding asks for it."""
+    """A vocabulary at rest, bucketed by token; bucketed by id as well once decoding asks for it."""
 
-    by_token: DataFrame
-    by_id: DataFrame
+    table: DataFrame
     frequent: DataFrame
 
     @property
-    def table(self) -> DataFrame:
-        return self.by_token
+    def by_token(self) -> DataFrame:
+        return self.table
+
+    @cached_property
+    def by_id(self) -> DataFrame:
+        return stored_by(self.table, ["id"], "vocab_by_id")
 
 
 def _numbered(tokens: DataFrame, first_id: int) -> DataFrame:
@@ -107,11 +111,10 @@ def store_vocab(vocab: DataFrame, frequent: int = C.FREQUENT_TOKENS) -> Vocabula
     rows at most, they go to the entries instead of meeting all of them in a few tasks."""
     kept = vocab.select("token", "id", *(["uses"] if "uses" in vocab.columns else []))
     by_token = stored_by(kept, ["token"], "vocab_by_token")
-    by_id = stored_by(by_token, ["id"], "vocab_by_id")
     if "uses" not in kept.columns:
-        return Vocabulary(by_token, by_id, by_token.limit(0))
+        return Vocabulary(by_token, by_token.limit(0))
     top = cached_scan(by_token.orderBy(F.desc("uses"), "token").limit(frequent), scratch_path(vocab.sparkSession, "frequent"))
-    return Vocabulary(by_token, by_id, top)
+    return Vocabulary(by_token, top)
 
 
 def _partners(entries: DataFrame, key: str, vocab: Vocabulary | DataFrame, source: str, target: str, error: str) -> DataFrame:
