@@ -261,8 +261,8 @@ def test_waiting_updates_are_bounded():
 
 
 def test_stored_vectors_are_overlaid_where_they_lie(spark):
-    words = spark.range(300).select((F.col("id") // 10).alias("sample_id"), (F.col("id") % 10).alias("pos"), F.array(F.col("id").cast("double")).alias("vec"), F.when(F.col("id") % 3 > 0, F.col("id") % 10).otherwise(-1).alias("patch_idx"))
-    patches = spark.range(300).select((F.col("id") // 10).alias("sample_id"), (F.col("id") % 10).alias("patch_idx"), F.array(-F.col("id").cast("double")).alias("vec"))
+    words = spark.range(300).select(F.floor(F.col("id") / 10).alias("sample_id"), (F.col("id") % 10).alias("pos"), F.array(F.col("id").cast("double")).alias("vec"), F.when(F.col("id") % 3 > 0, F.col("id") % 10).otherwise(-1).alias("patch_idx"))
+    patches = spark.range(300).select(F.floor(F.col("id") / 10).alias("sample_id"), (F.col("id") % 10).alias("patch_idx"), F.array(-F.col("id").cast("double")).alias("vec"))
     keys = ["sample_id", "patch_idx"]
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in settings}
