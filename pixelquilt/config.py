@@ -96,7 +96,7 @@ TOKEN_PATTERN = r"<\|[a-z0-9_]+\|>|[^ \t\n\x0B\f\r<]+|<"
 BROADCAST_ROWS = 100_000
 
 # The most used tokens of a vocabulary, which go to the rows that hold them; as many rows at most.
-FREQUENT_TOKENS = 8192
+FREQUENT_TOKENS = 65536
 
 # Steps of a rank that a folder of a written feed holds.
 STEPS_PER_RANGE = 1024

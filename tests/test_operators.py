@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -267,6 +268,39 @@ def test_look_ups_move_distinct_tokens_once(spark, frequent):
     assert {r["k"]: r["tokens"] for r in back.collect()} == {k: tokens or [] for k, tokens in data}
 
 
+def test_a_look_up_works_out_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    words = spark.createDataFrame([(k, ["the", f"w{k}", None, "the"]) for k in range(50)], "k int, tokens array<string>")
+    stored = vocab.build_coded_vocab(vocab.coded_rows(words, "k", "tokens"), "k")
+    number = {r["token"]: r["id"] for r in stored.table.collect()}
+    ids = spark.createDataFrame([(k, [number["the"], None, number[f"w{k}"]]) for k in range(50)], "k int, ids array<int>")
+    for held in (stored, vocab.store_vocab(stored.table, 1), stored.table):
+        seen.value = 0
+        found = vocab.decode_tokens(ids.mapInArrow(counted, ids.schema), "k", "ids", held)
+        assert rows(found, "k", "text") == [(k, f"the w{k}") for k in range(50)]
+        assert seen.value == 50
+
+
+def test_partners_are_put_in_place(spark):
+    words = spark.createDataFrame([(k, ["the"] * (k % 4) + [f"w{k % 9}", "a"]) for k in range(60)], "k int, tokens array<string>")
+    stored = vocab.store_vocab(vocab.build_coded_vocab(vocab.coded_rows(words, "k", "tokens"), "k").table, 2)
+    codes = pa.array([[0, 1, 0], [], [1, -1, 0, 2]], pa.list_(pa.int32())).slice(1)
+    marked = vocab._marked_batch(codes, pa.array([["x", "y"], [], ["z", "x", "v"]]).slice(1), pa.array(["w", "x"]))
+    assert [m.to_pylist() for m in marked[:3]] == [[[], [1, -1, -2, -3]], [0, 3], [0, 2]]
+    found = pa.array([None, [9, 7]], pa.list_(pa.int64()))
+    put = vocab._placed_batch(marked[0], marked[2], pa.array([None, [1, 0]], pa.list_(pa.int32())), found, pa.array([4, 5], pa.int64()))
+    assert put.to_pylist() == [[], [5, None, 7, 9]]
+    number = {r["token"]: r["id"] for r in stored.table.collect()}
+    found = vocab.vocab_lookup(words, "k", "tokens", stored)
+    assert {r["k"]: r["ids"] for r in found.collect()} == {r["k"]: [number[t] for t in r["tokens"]] for r in words.collect()}
+
+
 def test_look_ups_want_unique_keys(spark):
     table = spark.createDataFrame([("a", 10), ("b", 11)], "token string, id int")
     for data in ([(1, ["a"]), (1, ["b"])], [(None, ["a"])]):
