@@ -42,20 +42,30 @@ def windowed_meter(stream: DataFrame, key: str, ts: str, value: Column, window:
 _STATE = "segment bigint, total double, n bigint, steps array<bigint>, vals array<double>, resets array<boolean>"
 
 
-def _meter_rows(held: tuple, upto: int) -> tuple[pd.DataFrame, tuple]:
-    """Meters of the waiting updates up to a step, in order, and what is left to wait."""
+_ROW = ["step", "segment", "meter_val", "meter_sum", "meter_count", "meter_avg"]
+
+
+def _meter_rows(held: tuple, upto: int) -> tuple[dict[str, np.ndarray], tuple]:
+    """Meters of the waiting updates up to a step, in order, as columns, and what is left to wait."""
     segment, total, n, steps, values, resets = held
-    order = np.argsort(steps, kind="stable")
-    ready, rest = [i for i in order if steps[i] <= upto], [i for i in order if steps[i] > upto]
-    rows = []
+    step = np.array(steps, np.int64)
+    order = np.argsort(step, kind="stable")
+    count = int(np.searchsorted(step, upto, "right", sorter=order))
+    ready, rest = order[:count].tolist(), order[count:].tolist()
+    segments, totals, counts = [], [], []
     for i in ready:
         if values[i] is not None:
             total, n = total + values[i], n + 1
-        rows.append((steps[i], segment, values[i], total, n, total / n if n else None))
+        segments.append(segment)
+        totals.append(total)
+        counts.append(n)
         if resets[i]:
             segment, total, n = segment + 1, 0.0, 0
-    out = pd.DataFrame(rows, columns=["step", "segment", "meter_val", "meter_sum", "meter_count", "meter_avg"])
-    return out, (segment, total, n, [steps[i] for i in rest], [values[i] for i in rest], [resets[i] for i in rest])
+    sums, updates = np.array(totals, np.float64), np.array(counts, np.int64)
+    # Without updates there is no average.
+    averages = np.divide(sums, updates, out=np.full(count, np.nan), where=updates > 0)
+    columns = [step[order[:count]], np.array(segments, np.int64), np.array([values[i] for i in ready], np.float64), sums, updates, averages]
+    return dict(zip(_ROW, columns)), (segment, total, n, [steps[i] for i in rest], [values[i] for i in rest], [resets[i] for i in rest])
 
 
 def stateful_meter(stream: DataFrame, key: str, step: str, value: Column, is_reset: Column, lateness: int) -> DataFrame:
@@ -77,13 +87,15 @@ def stateful_meter(stream: DataFrame, key: str, step: str, value: Column, is_res
         held = [segment, total, n, list(steps), list(values), list(resets)]
         for frame in frames:
             held[3] += frame["step"].tolist()
-            held[4] += [None if pd.isna(v) else v for v in frame["value"]]
+            held[4] += [None if v != v else v for v in frame["value"].tolist()]
             held[5] += frame["reset"].tolist()
         rows, left = _meter_rows(tuple(held), state.getCurrentWatermarkMs() - 1)
         state.update(left)
         if left[3]:
             state.setTimeoutTimestamp(left[3][0] + 1)
-        yield rows.assign(key=group[0])[["key", *rows.columns]]
+        # A group with nothing to say costs no frame.
+        if len(rows["step"]):
+            yield pd.DataFrame({"key": [group[0]] * len(rows["step"]), **rows}, copy=False)
 
     timed = updates.withWatermark("_ts", f"{lateness} milliseconds").groupBy("key")
     schema = f"key {kind}, step bigint, segment bigint, meter_val double, meter_sum double, meter_count bigint, meter_avg double"

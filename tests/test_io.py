@@ -228,6 +228,19 @@ def test_streamed_records_are_logged_once_after_a_failure(spark, tmp_path, monke
     assert sorted(r["global_step"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
 
 
+def test_meter_rows_are_columns():
+    """No frame for each key: columns of what is ready, and what waits."""
+    held = (3, 5.0, 2, [4, 1, 9, 2, 6], [1.0, None, 7.0, 2.0, 8.0], [False, False, False, True, False])
+    found, left = meter._meter_rows(held, 6)
+    assert {c: v.tolist() for c, v in found.items() if c not in ("meter_val", "meter_avg")} == {
+        "step": [1, 2, 4, 6], "segment": [3, 3, 4, 4], "meter_sum": [5.0, 7.0, 1.0, 9.0], "meter_count": [2, 3, 1, 2]
+    }
+    assert found["meter_avg"].tolist() == [2.5, 7 / 3, 1.0, 4.5] and str(found["meter_val"].tolist()) == "[nan, 2.0, 1.0, 8.0]"
+    assert left == (4, 9.0, 2, [9], [7.0], [False])
+    none, kept = meter._meter_rows(held, 0)
+    assert not len(none["step"]) and kept[:3] == held[:3] and kept[3] == sorted(held[3])
+
+
 def test_stateful_meter_equals_the_meter_with_resets(spark, tmp_path):
     """Updates out of order over many triggers; one far too late."""
     draw = random.Random(3)
