@@ -308,6 +308,15 @@ def test_look_ups_want_unique_keys(spark):
             vocab.vocab_lookup(spark.createDataFrame(data, "k int, tokens array<string>"), "k", "tokens", table).collect()
 
 
+def test_look_ups_of_frequent_tokens_want_unique_keys_too(spark):
+    stored = vocab.store_vocab(spark.createDataFrame([("a", 10, 2), ("b", 11, 2)], "token string, id int, uses long"))
+    for data in ([(1, ["a"]), (1, ["b"])], [(None, ["a"])], [(1, ["a"]), (1, [])]):
+        with pytest.raises(PySparkException):
+            vocab.vocab_lookup(spark.createDataFrame(data, "k int, tokens array<string>"), "k", "tokens", stored).collect()
+    alone = spark.createDataFrame([(1, []), (1, []), (None, []), (2, ["a", "b"])], "k int, tokens array<string>")
+    assert [sorted(r["ids"]) for r in vocab.vocab_lookup(alone, "k", "tokens", stored).collect() if r["k"] == 2] == [[10, 11]]
+
+
 def test_overlay(spark):
     words = spark.createDataFrame([(1, 0, [0.0], 1), (1, 1, [5.0], -1)], "sample_id int, pos int, vec array<double>, patch_idx int")
     patches = spark.createDataFrame([(1, 0, [8.0]), (1, 1, [9.0])], "sample_id int, patch_idx int, vec array<double>")
