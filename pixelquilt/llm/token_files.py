@@ -125,8 +125,8 @@ def write_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(words.as_py()) + end
+            for doc, words in zip(batch.column(0).to_pylist(), encoder.column(batch.column(1)), strict=True):
+                ids = words + end
                 docs.append(doc)
                 starts.append(filled)
                 held.append(ids)
