@@ -40,8 +40,8 @@ def cut_documents(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             row, start, size, crc, whole, cut = [], [], [], [], [], []
-            for i, words in enumerate(batch.column(1)):
-                ids = encoder.ids(words.as_py()) + end
+            for i, words in enumerate(encoder.column(batch.column(1))):
+                ids = words + end
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at : at + 4 * capacity]
                     row.append(i)
