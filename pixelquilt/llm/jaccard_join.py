@@ -275,8 +275,10 @@ def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, pe
     for turn in range(STAR_ROUNDS + 1):
         at = codes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("c", F.coalesce("root", "row").alias("root"))
         placed = crowded.join(at, "c")
-        # The centre of a column: the row of the smallest hash.
-        order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), *[F.col(x).alias(x) for x in ("c", "n", "root")])
+        # The centre of a column: at first the row with the least of its own, which copies are closest to that have little
+        # in common but their template; then the row of the smallest hash.
+        own = -F.col("room") / F.col("n") if turn == 0 else F.lit(0.0)
+        order = F.struct(own.alias("own"), F.xxhash64("c", F.lit(turn)).alias("h"), *[F.col(x).alias(x) for x in ("c", "n", "root")])
         spread = placed.groupBy("gram").agg(F.min(order).alias("centre"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("gram", "centre")
         spread = stage(spread, "spread")
         if spread.isEmpty():  # every frequent column lies in one component
