@@ -117,12 +117,11 @@ def bitmap_of(df: DataFrame, key: Column, words: int = BITMAP_WORDS, hashed: boo
         .select(F.pmod(F.col("h"), F.lit(words)).alias("w"), F.shiftrightunsigned(F.col("h"), 58).cast("int").alias("b"))
         .groupBy("w")
         .agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
-        .collect()
+        .toArrow()  # two columns of numbers: a row object for each word would take far more of the driver's memory
     )
-    found = np.zeros(words, dtype=np.uint64)
-    for w, bits in marked:
-        found[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
-    return found
+    found = np.zeros(words, dtype=np.int64)
+    found[marked["w"].to_numpy()] = marked["bits"].to_numpy()
+    return found.view(np.uint64)
 
 
 def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
