@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,26 +123,30 @@ class Memory:
 
 
 def _packed(encoded) -> bytes:
-    return np.asarray(encoded.ids, dtype="<u4").tobytes()
+    ids = array("I", encoded.ids)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, or their number."""
 
-    _made: dict[tuple[str, bool], "Encoder"] = {}
+    _made: dict[tuple[str, bool, int], "Encoder"] = {}
 
-    def __init__(self, name: str, lengths_only: bool = False):
+    def __init__(self, name: str, lengths_only: bool = False, remembered: int = REMEMBERED):
         tokenizer, result = load_tokenizer(name), len if lengths_only else _packed
         encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         batches = lambda unknown: (unknown[at : at + BATCH_SEGMENTS] for at in range(0, len(unknown), BATCH_SEGMENTS))
-        self.memory = Memory(lambda unknown: [result(e) for batch in batches(unknown) for e in encode(batch, add_special_tokens=False)])
+        self.memory = Memory(lambda unknown: [result(e) for batch in batches(unknown) for e in encode(batch, add_special_tokens=False)], remembered)
 
     @classmethod
-    def of(cls, name: str, lengths_only: bool = False) -> "Encoder":
+    def of(cls, name: str, lengths_only: bool = False, remembered: int = REMEMBERED) -> "Encoder":
         """One for each worker process."""
-        if (name, lengths_only) not in cls._made:
-            cls._made[name, lengths_only] = cls(name, lengths_only)
-        return cls._made[name, lengths_only]
+        made = (name, lengths_only, remembered)
+        if made not in cls._made:
+            cls._made[made] = cls(*made)
+        return cls._made[made]
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(b"".join(self.memory.of(segments(w))) for w in windows(text or ""))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelquilt.llm.common import importable, stage, table
-from pixelquilt.llm.encoding import Encoder
+from pixelquilt.llm.encoding import REMEMBERED, Encoder
 from pixelquilt.llm.registry import query
 from pixelquilt.operators.ordinals import bounded_broadcast
 from pixelquilt.session import scratch_path
@@ -115,7 +115,7 @@ def write_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def segments(batches):
-        encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(tokenizer, remembered=2 * REMEMBERED), TaskContext.get().partitionId()
         number, start, filled, docs, starts, held = 0, 0, 0, [], [], []
 
         def close():
