@@ -14,14 +14,17 @@ The first occurrence of a window is never in a repeating unit, so none is missed
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquilt.llm.common import bitmap_of, fresh, importable, in_bitmap, scratch, stage, table
+from pixelquilt.llm.common import BITMAP_WORDS, bitmap_of, fresh, importable, in_bitmap, scratch, stage, table
 from pixelquilt.llm.hashing import Runs, mixed, span_hashes
 from pixelquilt.llm.registry import query
 
@@ -42,6 +45,17 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASES = [0x9E3779B97F4A7C1, 0x1094D049BB133111]
 #: Seeds of the hashes of words and of the white space between them.
 _WORD, _GAP = 1, 2
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The hashes of white space of one byte.
+_ONE = span_hashes(np.arange(256, dtype=np.uint8), np.arange(256), np.arange(1, 257), _GAP)
+#: What lies between two texts: as many zero bytes as the gear hash looks back.
+_APART = bytes(WINDOW)
+
+#: Bytes of texts that are hashed together.
+BLOCK_BYTES = 1 << 18
+#: Bits that a bitmap has for each member, and the most words it grows to (32 MB).
+MEMBER_BITS = 8
+MOST_WORDS = 1 << 22
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -49,17 +63,16 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     h = GEAR[data]
     span = 1
     while span < WINDOW:
-        grown = h.copy()
-        grown[span:] += h[:-span] << np.uint32(span)
-        h, span = grown, 2 * span
+        h[span:] += h[:-span] << np.uint32(span)
+        span *= 2
     return h
 
 
-def cuts_of(data: np.ndarray) -> np.ndarray:
-    """Where the chunks of a text end (its length last)."""
+def cuts_of(data: np.ndarray, space: np.ndarray | None = None) -> np.ndarray:
+    """Where the chunks of a text end (its length last); ``space`` tells white space."""
     n = len(data)
-    hits = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - CUT_BITS) == 0)
-    spaces = np.flatnonzero(_SPACE[data])
+    hits = np.flatnonzero(gear_hashes(data) < np.uint32(1 << (32 - CUT_BITS)))
+    spaces = np.flatnonzero(_SPACE[data] if space is None else space)
     at = np.searchsorted(spaces, hits)
     following = np.append(spaces, n + 2 * PATIENCE)[at]
     # Without white space near by, the cut comes between two characters.
@@ -72,7 +85,7 @@ def cuts_of(data: np.ndarray) -> np.ndarray:
 
 
 def _sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
-    """pick (minimum or maximum) of every ``width`` neighbours, by doubling the span."""
+    """pick (of two neighbouring spans) over every ``width`` neighbours, by doubling the span."""
     out, span = values, 1
     while 2 * span <= width:
         out, span = pick(out[:-span], out[span:]), 2 * span
@@ -80,64 +93,98 @@ def _sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
     return pick(out[:-rest], out[rest:]) if rest else out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a ^ (a >> np.uint64(31))) * _MIX + b
+
+
 class Windows:
-    """The windows of ``width`` words of a text, with ``anchors`` (the hash that each window has at least)."""
+    """The windows of ``width`` words of a text, or of each of a list of texts: none reaches into the next text.
+
+    Texts lie one after the other, zero bytes between them, so that all are hashed at once. What is found in a text
+    does not depend on the others. ``owner`` is each window's text, ``idx`` the word of that text where it begins.
+    """
 
-    def __init__(self, text: str | None, width: int):
-        self.raw, self.width = (text or "").encode("utf-8"), width
+    def __init__(self, texts: str | list[str | None] | None, width: int):
+        parts = [(t or "").encode("utf-8") for t in (texts if isinstance(texts, list) else [texts])]
+        self.raw, self.width = _APART.join(parts), width
         self.data = np.frombuffer(self.raw, np.uint8)
-        space = np.concatenate([[True], _SPACE[self.data], [True]])
+        upto = np.cumsum([len(x) + WINDOW for x in parts]) - WINDOW
+        self._space = _SPACE[self.data]
+        self._space[(upto[:-1, None] + np.arange(WINDOW)).ravel()] = True
+        space = np.concatenate([[True], self._space, [True]])
         turns = np.flatnonzero(space[1:] != space[:-1])
         #: Bytes at which words begin and end.
         self.starts, self.ends = turns[::2], turns[1::2]
-        self.n = max(len(self.starts) - width + 1, 0)
-        if not self.n:
-            self.anchors = np.zeros(0, np.int64)
-            return
-        # Words and gaps in turn: word i is item 2i, the white space after it item 2i + 1.
-        items = np.zeros(2 * len(self.starts) - 1, np.uint64)
-        items[::2] = span_hashes(self.data, self.starts, self.ends, _WORD)
-        items[1::2] = span_hashes(self.data, self.ends[:-1], self.starts[1:], _GAP)
-        self._items, self._runs = items, {}
-        half = max(width // 2, 1)
-        self._grams = self._digest(0, np.arange(len(self.starts) - half + 1), np.arange(half - 1, len(self.starts)))
-        self._least = _sliding(np.minimum, self._grams, width - half + 1)
-        self.anchors = self._least.view(np.int64)
-
-    def _digest(self, which: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Of the text from word ``first`` to the end of word ``last``, white space inside included."""
-        if which not in self._runs:
-            self._runs[which] = Runs(self._items, BASES[which])
-        return self._runs[which].of(2 * first, 2 * last + 1)
+        words = np.concatenate([[0], np.searchsorted(self.starts, upto)])
+        each = np.maximum(np.diff(words) - width + 1, 0)
+        self.n = int(each.sum())
+        self.owner = np.repeat(np.arange(len(parts)), each)
+        self.idx = np.arange(self.n) - np.repeat(np.cumsum(each) - each, each)
+        #: The word at which each window begins, counted over all texts.
+        self._at = self.idx + words[self.owner]
+        self._runs: dict[int, Runs] = {}
+
+    @cached_property
+    def _words(self) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, _WORD)
+
+    @cached_property
+    def _items(self) -> np.ndarray:
+        """A hash of every word but the last and the white space after it."""
+        first, after = self.ends[:-1], self.starts[1:]
+        gaps = _ONE[self.data[first]]
+        wide = np.flatnonzero(after - first > 1)
+        gaps[wide] = span_hashes(self.data, first[wide], after[wide], _GAP)
+        return mixed((self._words[:-1] * _MIX) ^ gaps)
+
+    @cached_property
+    def _grams(self) -> np.ndarray:
+        """Hashes of the half-windows. Where they are equal by chance, more is compared."""
+        half = max(self.width // 2, 1)
+        return mixed(_joined(_sliding(_joined, self._items, half - 1), self._words[half - 1 :])) if half > 1 else self._words
+
+    @cached_property
+    def _least(self) -> np.ndarray:
+        return _sliding(np.minimum, self._grams, self.width - max(self.width // 2, 1) + 1)
+
+    @cached_property
+    def anchors(self) -> np.ndarray:
+        """The hash that each window has at least, mixed: least hashes alone have few high bits, of which bitmaps take six."""
+        return mixed(self._least[self._at]).view(np.int64) if self.n else np.zeros(0, np.int64)
 
     def chosen(self, windows: np.ndarray | None = None) -> np.ndarray:
         """The anchors of all windows or of those that are true in ``windows``, once for each place."""
         if not self.n:
             return self.anchors
-        least = self._least if windows is None else np.where(windows, self._least, np.uint64(0))
-        reach = len(self._grams) - self.n + 1
-        edge = np.zeros(reach - 1, np.uint64)
-        return self._grams[_sliding(np.maximum, np.concatenate([edge, least, edge]), reach) == self._grams].view(np.int64)
+        at = self._at if windows is None else self._at[windows]
+        reach = len(self._grams) - len(self._least) + 1
+        least = np.zeros(len(self._least) + 2 * (reach - 1), np.uint64)
+        least[at + (reach - 1)] = self._least[at]
+        return mixed(self._grams[_sliding(np.maximum, least, reach) == self._grams]).view(np.int64)
 
     def digest(self, which: int, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Half of the digest of the text of the windows from ``first`` up to before ``after``."""
-        return self._digest(which, first, after + self.width - 2).view(np.int64)
+        """Half of the digest of the text of the windows from ``first`` up to before ``after``, white space inside included."""
+        if which not in self._runs:
+            self._runs[which] = Runs(self._items, BASES[which])
+        last = self._at[after - 1] + self.width - 1
+        return mixed((self._runs[which].of(self._at[first], last) * _MIX) ^ self._words[last]).view(np.int64)
 
     def units(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First windows and ends of the units with a marked anchor, and which windows have one."""
         marked = in_bitmap(marks, self.anchors)
         if not marked.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64), marked
-        chunk = np.searchsorted(cuts_of(self.data), self.starts[: self.n], "right")
-        first = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1])
+        cut = np.zeros(len(self.starts) + 1, bool)
+        cut[np.searchsorted(self.starts, cuts_of(self.data, self._space))] = True
+        first = np.flatnonzero(cut[self._at] | (self.idx == 0))
         after = np.append(first[1:], self.n)
         some = np.logical_or.reduceat(marked, first)
         return first[some], after[some], marked
 
 
-def _places(doc: int, first: np.ndarray) -> np.ndarray:
-    """A hash of the place of a unit."""
-    return mixed(mixed(first.astype(np.uint64)) ^ np.uint64(doc & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+def _places(docs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of the places of units."""
+    return mixed(mixed(first.astype(np.uint64)) ^ docs.view(np.uint64)).view(np.int64)
 
 
 def _identity(key: Column, text: Column) -> Column:
@@ -145,44 +192,56 @@ def _identity(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
+def _blocks(docs: pa.Array, texts: pa.Array):
+    """Blocks of a batch, of BLOCK_BYTES of text together or one longer text: first row, documents, texts."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+        yield at, docs.slice(at, end - at).to_numpy(), texts.slice(at, end - at).to_pylist()
+        at = end
+
+
 def _each(rows: DataFrame, name: str, find) -> DataFrame:
-    """One column of 64-bit numbers: all that ``find(doc, text)`` gives for ``doc, text``."""
+    """One column of 64-bit numbers: all that ``find(docs, texts)`` gives for blocks of ``doc, text``."""
 
     def numbers(batches):
         for batch in batches:
-            found = [find(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], [name])
+            for _, docs, texts in _blocks(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(find(docs, texts))], [name])
 
     return rows.select("doc", "text").mapInArrow(numbers, f"{name} long")
 
 
-_COLUMNS = ["idx", "n", "d1", "d2", "place"]
-
-
-def _spans(rows: DataFrame, find) -> DataFrame:
-    """``key, doc, idx, n, d1, d2, place``: n windows from word idx on, as ``find(doc, text)`` gives them."""
+def _spans(rows: DataFrame, find, **columns: str) -> DataFrame:
+    """``key, doc`` and ``columns``: what ``find(docs, texts)`` gives for blocks of texts, after each span's text in its block."""
     kind = rows.schema["key"].dataType.simpleString()
+    numbers = {"int": np.int32, "long": np.int64}
 
     def spans(batches):
         for batch in batches:
-            found = [find(d, t) for d, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            taken = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
-            parts = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 5)]
-            columns = [pa.array(p.astype(np.int32 if i < 2 else np.int64)) for i, p in enumerate(parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *columns], ["key", "doc", *_COLUMNS])
+            for at, docs, texts in _blocks(batch.column(1), batch.column(2)):
+                owner, *found = find(docs, texts)
+                taken = pa.array(owner + at, pa.int64())
+                made = [pa.array(x.astype(numbers[k])) for x, k in zip(found, columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *made], ["key", "doc", *columns])
 
-    return rows.mapInArrow(spans, f"key {kind}, doc long, idx int, n int, d1 long, d2 long, place long")
+    return rows.mapInArrow(spans, ", ".join([f"key {kind}, doc long", *(f"{c} {k}" for c, k in columns.items())]))
 
 
-def _judged(spans: DataFrame, width: int) -> DataFrame:
-    """``spans`` with ``later``: whether the content occurs before. What overlaps its own first occurrence does not count."""
+def _owners(spans: DataFrame, *content: str) -> DataFrame:
+    """The first place of every content that stands at more than one.
+
+    Staged, so that a join reads two plain exchanges, whose frequent digests adaptive execution splits."""
     at = F.struct("key", "doc", "idx")
-    owners = spans.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
-    # Staged, so that the join reads two plain exchanges, whose frequent digests adaptive execution splits.
-    owners = stage(owners, "owners")
+    owners = spans.groupBy(*content).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
+    return stage(owners, "owners")
+
+
+def _later(width: int) -> Column:
+    """Whether the content occurs before. What overlaps its own first occurrence does not count."""
     same = F.struct("key", "doc").eqNullSafe(F.struct(F.col("first.key"), F.col("first.doc")))
-    later = F.col("first").isNotNull() & (~same | (F.col("idx") >= F.col("first.idx") + width))
-    return spans.join(owners, ["d1", "d2"], "left").select("key", "doc", "idx", "n", "place", later.alias("later"))
+    return F.col("first").isNotNull() & (~same | (F.col("idx") >= F.col("first.idx") + width))
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -191,47 +250,58 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     context = df.sparkSession.sparkContext
     rows = df.select(F.col(key).alias("key"), _identity(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
 
+    def marks(members: DataFrame):
+        """A bitmap with room for its members, within bounds."""
+        members = stage(members, "members")
+        words = BITMAP_WORDS
+        while words < MOST_WORDS and words * 64 < MEMBER_BITS * members.count():
+            words *= 2
+        return context.broadcast(bitmap_of(members, F.col("d"), words=words, hashed=True))
+
     def twice(numbers: DataFrame):
-        more = numbers.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return context.broadcast(bitmap_of(more, F.col("d"), hashed=True))
+        return marks(numbers.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d"))
 
-    anchors = twice(_each(rows, "d", lambda doc, t: Windows(t, min_words).chosen()))
+    anchors = twice(_each(rows, "d", lambda docs, texts: Windows(texts, min_words).chosen()))
 
-    def units(doc, t):
-        w = Windows(t, min_words)
+    def units(docs, texts):
+        w = Windows(texts, min_words)
         first, after, _ = w.units(anchors.value)
         if not len(first):
-            return [first] * 5
-        return first, after - first, w.digest(0, first, after), w.digest(1, first, after), _places(doc, first)
+            return [first] * 6
+        return w.owner[first], w.idx[first], after - first, w.digest(0, first, after), w.digest(1, first, after), _places(docs[w.owner[first]], w.idx[first])
 
     with scratch(df.sparkSession) as keep:
-        judged = keep(stage(_judged(stage(_spans(rows, units), "units"), min_words), "judged-units"))
-    own = context.broadcast(bitmap_of(judged.filter("NOT later"), F.col("place"), hashed=True))
+        spans = stage(_spans(rows, units, idx="int", n="int", d1="long", d2="long", place="long"), "units")
+        found = spans.join(_owners(spans, "d1", "d2"), ["d1", "d2"], "left")
+        judged = keep(stage(found.select("key", "doc", "idx", "n", "place", _later(min_words).alias("later")), "judged-units"))
+        own = marks(judged.filter("NOT later").select(F.col("place").alias("d")))
 
-    def open_windows(doc, t):
+    def open_windows(docs, texts):
         """Windows with a marked anchor, outside of repeating units."""
-        w = Windows(t, min_words)
+        w = Windows(texts, min_words)
         first, after, marked = w.units(anchors.value)
-        kept = in_bitmap(own.value, _places(doc, first))
+        kept = in_bitmap(own.value, _places(docs[w.owner[first]], w.idx[first]))
         inside = np.zeros(w.n + 1, np.int64)
         inside[first[kept]] += 1
         inside[after[kept]] -= 1
         return w, marked & (np.cumsum(inside)[:-1] > 0)
 
-    def open_anchors(doc, t):
-        w, some = open_windows(doc, t)
+    def open_anchors(docs, texts):
+        w, some = open_windows(docs, texts)
         return w.chosen(some) if some.any() else np.zeros(0, np.int64)
 
     again = twice(_each(rows, "d", open_anchors))
 
-    def windows(doc, t):
-        w, some = open_windows(doc, t)
+    def windows(docs, texts):
+        w, some = open_windows(docs, texts)
         at = np.flatnonzero(some)
         at = at[in_bitmap(again.value, w.anchors[at])]
-        return (at, np.ones_like(at), w.digest(0, at, at + 1), w.digest(1, at, at + 1), np.zeros_like(at)) if len(at) else [at] * 5
+        return (w.owner[at], w.idx[at], w.digest(0, at, at + 1), w.digest(1, at, at + 1)) if len(at) else [at] * 4
 
-    edges = _judged(stage(_spans(rows, windows), "windows"), min_words)
-    later = judged.unionByName(edges).filter("later").select("key", "doc", F.struct(F.col("idx").alias("at"), (F.col("idx") + F.col("n") + (min_words - 1)).alias("upto")).alias("span"))
+    spans = stage(_spans(rows, windows, idx="int", d1="long", d2="long"), "windows")
+    edges = spans.join(_owners(spans, "d1", "d2"), ["d1", "d2"]).filter(_later(min_words)).select("key", "doc", "idx", F.lit(1).alias("n"))
+    later = judged.filter("later").select("key", "doc", "idx", "n").unionByName(edges)
+    later = later.select("key", "doc", F.struct(F.col("idx").alias("at"), (F.col("idx") + F.col("n") + (min_words - 1)).alias("upto")).alias("span"))
     # The units and windows of one document, at most.
     return later.groupBy("key", "doc").agg(F.sort_array(F.collect_set("span")).alias("places"))
 
