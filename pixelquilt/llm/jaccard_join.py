@@ -175,8 +175,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("overlap") * 100 >= (F.col("n1") + F.col("n2") - F.col("overlap")) * percent).select("a", "b", "overlap")
 
 
-def _reordered(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """Deciding cells (gram, c, n, room) in the order that has frequent columns last.
+def _reordered(sets: DataFrame, frequent: np.ndarray, shared: np.ndarray, percent: int) -> DataFrame:
+    """Deciding cells (gram, c, n, room) in the order that has frequent columns last, but for columns that no other row has.
 
     ``room`` is how many columns a pair can still share whose first common column this is: those that follow in the row.
     Where it is a frequent one, they are all frequent.
@@ -187,14 +187,15 @@ def _reordered(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
             code, size, gram, room = [], [], [], []
             column = batch.column(2)
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            marks = in_bitmap(frequent, batch.column(3).values.to_numpy())
+            hashes = batch.column(3).values.to_numpy()
+            marks, met = in_bitmap(frequent, hashes), in_bitmap(shared, hashes)
             for c, n, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, ends[1:]):
-                row = flat[a:b]
-                row = row[np.lexsort((row.view(np.uint64), marks[a:b]))][: leading(n, percent)]
-                gram.append(row)
-                code.append(np.full(len(row), c))
-                size.append(np.full(len(row), n))
-                room.append(n - np.arange(len(row)))
+                order = np.lexsort((flat[a:b].view(np.uint64), marks[a:b]))[: leading(n, percent)]
+                place = np.flatnonzero(met[a:b][order])
+                gram.append(flat[a:b][order[place]])
+                code.append(np.full(len(place), c))
+                size.append(np.full(len(place), n))
+                room.append(n - place)
             joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, code, size, room)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined], ["gram", "c", "n", "room"])
 
@@ -256,10 +257,10 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
 def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Add the links that meet in frequent columns only."""
     concerned = stage(concerned, "concerned")
-    counts = concerned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > FREQUENT)
-    # The bitmap marks frequent columns; one marked by mistake is only ordered later.
-    frequent = bitmap_of(counts, F.col("gram"))
-    cells = _shared(_reordered(concerned, frequent, percent), "late-cells")
+    counts = stage(concerned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
+    # The bitmaps mark frequent columns and those that two rows have; one marked by mistake is only ordered later, or met by nobody.
+    frequent, shared = (bitmap_of(found, F.col("gram")) for found in (counts.filter(F.col("df") > FREQUENT), counts))
+    cells = _shared(_reordered(concerned, frequent, shared, percent), "late-cells")
     pairs = stage(_products(cells.filter(F.col("df") <= FREQUENT), percent).select("c1", "c2"), "late-pairs")
     known = stage(linked.unionByName(_verified(pairs, sets, percent)), "links")
     # What is left are pairs whose first common column is a crowded one. Then all others follow it in both rows, so a row

@@ -19,3 +19,16 @@ def test_copies_that_link_through_their_template_alone_are_few_pairs(spark, monk
     found = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(docs).collect()}
     assert all(found[i + 1] == 1 for i in range(161))
     assert sum(compared) < 20 * len(texts), compared
+
+
+def test_columns_of_one_row_alone_are_not_dealt(spark, monkeypatch):
+    """Words of a copy's own make columns that nothing meets: cells are as many as the template's columns, and same links."""
+    template = [f"w{i}" for i in range(80)]
+    texts = [" ".join(template)] + [" ".join([*template[:at], f"own{i}", *template[at + 1 :]]) for i in range(120) for at in [5 + i * 7 % 70]]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    dealt, shared = [], jaccard_join._shared
+    monkeypatch.setattr(jaccard_join, "_shared", lambda cells, label: dealt.append((label, cells.groupBy("gram").count().filter("count = 1").count())) or shared(cells, label))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(docs).collect()}
+    assert all(found[i + 1] == 1 for i in range(121))
+    alone = dict(dealt)["late-cells"]
+    assert alone < 120, alone  # five columns for each copy before
