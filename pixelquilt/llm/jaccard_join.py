@@ -35,6 +35,9 @@ FREQUENT = 48
 COLUMN_BLOCKS = 2
 #: Rounds in which rows meet one row for each of their frequent columns.
 STAR_ROUNDS = 2
+#: Columns are counted in two to this many parts at least, and in so many that a part has about this many columns.
+MERGED_PARTS_BITS = 8
+MERGED_COLUMNS = 1 << 19
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,6 +178,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("overlap") * 100 >= (F.col("n1") + F.col("n2") - F.col("overlap")) * percent).select("a", "b", "overlap")
 
 
+def _column_blocks(sets: DataFrame, bits: int) -> DataFrame:
+    """``part, grams, rows``: the different columns of a block of sets and how many of its sets have each, as one array
+    for every ``part``, the high ``bits`` of a column."""
+    importable(sets.sparkSession)
+
+    def count(batches):
+        for batch in batches:
+            gram, rows = np.unique(batch.column(0).flatten().to_numpy().view(np.uint64), return_counts=True)
+            part = (gram >> np.uint64(64 - bits)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = pa.array([*first, len(gram)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (gram.view(np.int64), rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), *lists], ["part", "grams", "rows"])
+
+    return sets.select("grams").mapInArrow(count, "part long, grams array<long>, rows array<long>")
+
+
+def _column_counts(sets: DataFrame) -> DataFrame:
+    """``gram, df``: the columns that two of the sets have or more, with their number of sets.
+
+    Columns are counted in arrays where the sets lie, and the arrays of one part are merged, so no column of a set is a
+    row of its own: near copies share nearly all of theirs, and most others belong to one set. There are so many parts
+    that one stays small.
+    """
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(MERGED_PARTS_BITS, (total // MERGED_COLUMNS).bit_length())
+
+    def merge(found: pa.Table) -> pa.Table:
+        gram, at = np.unique(np.concatenate([x.values.to_numpy() for x in found["grams"]]), return_inverse=True)
+        df = np.zeros(len(gram), np.int64)
+        np.add.at(df, at, np.concatenate([x.values.to_numpy() for x in found["rows"]]))
+        return pa.table({"gram": pa.array(gram[df > 1], pa.int64()), "df": pa.array(df[df > 1], pa.int64())})
+
+    return _column_blocks(sets, bits).groupBy("part").applyInArrow(merge, "gram long, df long")
+
+
 def _reordered(sets: DataFrame, frequent: np.ndarray, shared: np.ndarray, percent: int) -> DataFrame:
     """Deciding cells (gram, c, n, room) in the order that has frequent columns last, but for columns that no other row has.
 
@@ -257,7 +296,7 @@ def links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
 def _frequent_links(concerned: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Add the links that meet in frequent columns only."""
     concerned = stage(concerned, "concerned")
-    counts = stage(concerned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
+    counts = stage(_column_counts(concerned), "counts")
     # The bitmaps mark frequent columns and those that two rows have; one marked by mistake is only ordered later, or met by nobody.
     frequent, shared = (bitmap_of(found, F.col("gram")) for found in (counts.filter(F.col("df") > FREQUENT), counts))
     cells = _shared(_reordered(concerned, frequent, shared, percent), "late-cells")

@@ -32,3 +32,16 @@ def test_columns_of_one_row_alone_are_not_dealt(spark, monkeypatch):
     assert all(found[i + 1] == 1 for i in range(121))
     alone = dict(dealt)["late-cells"]
     assert alone < 120, alone  # five columns for each copy before
+
+
+def test_columns_are_counted_in_arrays_where_the_sets_lie(spark):
+    """No column of a set is a row of its own, and counts are those of a plain grouping; empty sets have none."""
+    template = list(range(-300, 300))
+    sets = [sorted({*[(x * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for x in template], i}) for i in range(200)] + [[], [5], [-(2**63), 2**63 - 1]]
+    df = spark.createDataFrame([(len(s), s) for s in sets], "n long, grams array<long>").repartition(4).cache()
+    blocks = jaccard_join._column_blocks(df, 8)
+    assert blocks.count() <= 4 * 256 and blocks.selectExpr("sum(size(grams))").first()[0] < 4 * 601 + 210
+    counts = jaccard_join._column_counts(df)
+    plain = df.selectExpr("explode(grams) AS gram").groupBy("gram").count().filter("count > 1")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect())) and counts.count() == 601
+    assert jaccard_join._column_counts(df.filter("n = 0")).isEmpty() and jaccard_join._column_counts(df.filter("n < 0")).isEmpty()
